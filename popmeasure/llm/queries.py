@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import repeats, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_repeats": repeats.op3_repeats,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
     }
