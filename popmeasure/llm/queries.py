@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import repeats, sharding, simhash
+from . import bpe, repeats, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op3_repeats": repeats.op3_repeats,
+        "op5_bpe": bpe.op5_bpe,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
     }
