@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 
@@ -216,7 +217,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, decoded], names=[*rows.schema.names, "ids", "decoded"])
                 first = last
 
-    return kept.mapInArrow(run, kept.schema.add("ids", "array<int>").add("decoded", "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

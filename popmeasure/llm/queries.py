@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, repeats, sharding, simhash
+from . import bpe, language, novelty, quality, repeats, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_language": language.op1_language,
         "op3_repeats": repeats.op3_repeats,
+        "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
+        "op7_secrets": novelty.op7_secrets,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
     }
