@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language, novelty, quality, repeats, sharding, simhash
+from . import bpe, digest, language, novelty, pseudonyms, quality, repeats, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_language": language.op1_language,
+        "op2_digests": digest.op2_digests,
         "op3_repeats": repeats.op3_repeats,
         "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
         "op7_secrets": novelty.op7_secrets,
+        "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
     }
