@@ -38,9 +38,9 @@ from .common import NULL_ID, documents, next_prime, partitions, text_bytes, writ
 WIDTH = 50
 ANCHOR = 24
 #: Bytes of text that one round of array work holds; windows that one run has at most.
-CHUNK, LONGEST = 1 << 21, 256
+CHUNK, LONGEST = 1 << 19, 256
 #: Runs, and bytes of runs, that one task of a step should get.
-RUNS, BYTES = 400_000, 3_000_000
+RUNS, BYTES = 400_000, 1_000_000
 MASK = (1 << 40) - 1
 BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20240607).integers(1, 2**63, 256).astype(np.uint64)
