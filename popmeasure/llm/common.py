@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order of a document whose id is null: before all others.
@@ -56,6 +57,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
 

@@ -18,22 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, partitions, written
+from .common import NULL_ID, documents, let, partitions, written
 
 #: Groups of copies up to this number reach executors by broadcast (16 bytes each), more by a shuffle.
 BROADCAST_GROUPS = 500_000
-#: White space that decomposition leaves (other kinds become plain spaces).
-SPACES = r"[\x09-\x0D\x1C-\x20\x85\x{1680}\x{2028}\x{2029}]+"
+#: White space that decomposition leaves (other kinds become plain spaces), but for the space itself.
+SPACES = r"\x09-\x0D\x1C-\x1F\x85\x{1680}\x{2028}\x{2029}"
 SEP = "\x01"
 
 
+def fold(c: str) -> str:
+    """Compatibility decomposition of a character in lower case."""
+    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).lower())
+
+
 @lru_cache(maxsize=1)
 def folding() -> tuple[list[int], list[str]]:
     """For each 256-character page its place in the list of characters' foldings, -1 for a page that nothing changes in."""
-
-    def fold(c: str) -> str:
-        return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).casefold())
-
     places, flat = [], []
     for page in range(0x110000 >> 8):
         chars = [chr(c) if not 0xD800 <= c < 0xE000 else "" for c in range(page << 8, (page + 1) << 8)]
@@ -50,42 +51,91 @@ def mark_classes() -> tuple[str, list[int]]:
     return "".join(marks), [unicodedata.combining(c) for c in marks]
 
 
-def mark_pattern() -> str:
-    """A class of a regular expression with all characters of mark_classes()."""
-    codes, out = [ord(c) for c in mark_classes()[0]], []
-    for c in codes:
+@lru_cache(maxsize=1)
+def compositions() -> list[tuple[str, str]]:
+    """For each character of mark_classes() the letters that it composes with, and what they become."""
+    pairs: dict[str, tuple[str, str]] = {}
+    for c in map(chr, range(0xC0, 0x20000)):
+        parts = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c) and "<" not in unicodedata.decomposition(c) else ""
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c and unicodedata.combining(parts[-1]):
+            base = unicodedata.normalize("NFC", parts[:-1])
+            if len(base) == 1:
+                old, new = pairs.get(parts[-1], ("", ""))
+                pairs[parts[-1]] = (old + base, new + c)
+    return [pairs.get(m, ("", "")) for m in mark_classes()[0]]
+
+
+@lru_cache(maxsize=1)
+def stable() -> set[str]:
+    """Characters whose texts need nothing but lower(): no marks, and what they fold to is one character with marks composed."""
+    made = {(b, m): t for m, (old, new) in zip(mark_classes()[0], compositions(), strict=True) for b, t in zip(old, new, strict=True)}
+
+    def composed(text: str) -> str:
+        out = text[:1]
+        for m in text[1:]:
+            out = made.get((out, m), out + m)
+        return out
+
+    chars = (chr(c) for c in range(0xD800))
+    return {c for c in chars if not unicodedata.combining(c) and len(c.lower()) == 1 and composed(fold(c)) == c.lower()}
+
+
+def pattern_class(chars: set[str], start: str = "[") -> str:
+    """A class of a regular expression with these characters."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
         if out and c == out[-1][1] + 1:
             out[-1][1] = c
         else:
             out.append([c, c])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+    return start + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
 
 
 def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(SEP.join(map(str, values))), SEP).cast("array<int>")
 
 
-def _ordered(text: Column) -> Column:
-    """Puts marks that follow each other into canonical order."""
+def _texts(values: list[str]) -> Column:
+    return F.split(F.lit(SEP.join(values)), SEP)
+
+
+def _recomposed(cluster: Column) -> Column:
+    """A character and its marks: the marks in canonical order, each composed with the character where that is possible."""
     marks, classes = mark_classes()
-    many = mark_pattern() + "{2,}"
-    of = lambda c: F.element_at(_numbers(classes), F.greatest(F.call_function("instr", F.lit(marks), c), F.lit(1)))
-    sort = lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)), lambda c, i: F.struct(of(c).alias("class"), i.alias("i"), c.alias("c")))), lambda s: s["c"]), "")
-    whole = F.array_join(F.zip_with(F.split(text, many, -1), F.regexp_extract_all(text, F.lit(many), F.lit(0)), lambda p, r: F.concat(p, F.coalesce(sort(r), F.lit("")))), "")
-    return F.when(text.rlike(many), whole).otherwise(text)
+    table = lambda values, mark: F.element_at(values, F.call_function("instr", F.lit(marks), mark))
+    split = F.regexp_extract_all(cluster, F.lit("(?s)."), F.lit(0))
+    ordered = F.array_sort(F.transform(F.slice(split, 2, F.size(split)), lambda c, i: F.struct(table(_numbers(classes), c).alias("class"), i.alias("i"), c.alias("c"))))
+    olds, news = _texts([o for o, _ in compositions()]), _texts([n for _, n in compositions()])
 
+    def add(s: Column, m: Column) -> Column:
+        tried = F.call_function("translate", s["base"], table(olds, m["c"]), table(news, m["c"]))
+        ok = (tried != s["base"]) & (s["last"] < m["class"])
+        return F.struct(F.when(ok, tried).otherwise(s["base"]).alias("base"), F.when(ok, s["rest"]).otherwise(F.concat(s["rest"], m["c"])).alias("rest"), F.when(ok, s["last"]).otherwise(m["class"]).alias("last"))
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
+    start = F.struct(F.element_at(split, 1).alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    return F.aggregate(ordered, start, add, lambda s: F.concat(s["base"], s["rest"]))
+
+
+def _normalised(text: Column) -> Column:
+    """The long way, for texts with characters that are not stable()."""
     places, flat = folding()
-    table = F.split(F.lit(SEP.join(flat)), SEP)
-    code = lambda c: F.ascii(c)
-    place = lambda c: F.element_at(_numbers(places), (F.shiftright(code(c), 8) + 1).cast("int"))
-    fold = lambda c: F.when(code(c) < 128, F.lower(c)).when(place(c) < 0, c).otherwise(F.element_at(table, (place(c) + code(c) % 256 + 1).cast("int")))
+    page = lambda code: F.element_at(_numbers(places), (F.shiftright(code, 8) + 1).cast("int"))
+    entry = lambda c, code: let(page(code), lambda p: F.when(p < 0, c).otherwise(F.element_at(_texts(flat), (p + code % 256 + 1).cast("int"))))
+    folded = lambda c: let(F.ascii(c), lambda code: F.when(code < 128, F.lower(c)).otherwise(entry(c, code)))
+    mark = pattern_class(set(mark_classes()[0]))
     pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
-    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_ordered(F.array_join(F.transform(pieces, fold), "")))
-    return F.trim(F.regexp_replace(folded, SPACES, " "))
+    clusters = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{mark}+|.(?:(?!.{mark}).)*"), F.lit(0))
+    marked = lambda c: F.when(F.substring(c, 2, 1).rlike(mark), _recomposed(c)).otherwise(c)
+    return let(F.array_join(F.transform(pieces, folded), ""), lambda t: F.when(t.rlike(mark), F.array_join(F.transform(clusters(t), marked), "")).otherwise(t))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null counts as empty. Texts of stable characters alone only need lower case."""
+    text = F.coalesce(text, F.lit(""))
+    latin = pattern_class({c for c in stable() if c < "Ā"}, "[^")
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(latin) | ~text.rlike(pattern_class(stable(), "[^"))
+    folded = F.when(plain, F.lower(text)).otherwise(_normalised(text))
+    return F.trim(F.regexp_replace(folded, f"[ {SPACES}]{{2,}}|[{SPACES}]", " "))
 
 
 def wide_hash(canon: Column) -> Column:

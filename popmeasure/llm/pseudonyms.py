@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, let
 
 KEY = "popmeasure example key: give your own"
 ROUNDS = 8
@@ -66,8 +66,9 @@ def permuted_text(text: Column, key: str, kind: str) -> Column:
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
 
     def turn(s: Column, i: Column) -> Column:
-        left = F.when(i % 2 == 0, _shifted(s["left"], _digest(key, kind, i, F.concat_ws("|", shape, s["right"])))).otherwise(s["left"])
-        right = F.when(i % 2 == 1, _shifted(s["right"], _digest(key, kind, i, F.concat_ws("|", shape, s["left"])))).otherwise(s["right"])
+        moved = lambda part, other: let(_digest(key, kind, i, F.concat_ws("|", shape, other)), lambda d: _shifted(part, d))
+        left = F.when(i % 2 == 0, moved(s["left"], s["right"])).otherwise(s["left"])
+        right = F.when(i % 2 == 1, moved(s["right"], s["left"])).otherwise(s["right"])
         return F.struct(left.alias("left"), right.alias("right"))
 
     start = F.struct(F.substring(text, F.lit(1), half).alias("left"), F.substring(text, half + 1, F.length(text)).alias("right"))
@@ -86,16 +87,17 @@ def _spread(shape: Column, digits: Column) -> Column:
 
 def _card(found: Column, key: str) -> Column:
     """All digits but the last are permuted; the last is then what makes the number valid."""
-    body = permuted_text(F.substring(_digits(found), F.lit(1), F.length(_digits(found)) - 1), key, "card")
-    check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda n: F.call_function("luhn_check", n)), 1)
-    return _spread(found, check)
+    digits = _digits(found)
+    body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    valid = lambda b: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda n: F.call_function("luhn_check", n))
+    return let(let(body, lambda b: F.element_at(valid(b), 1)), lambda new: _spread(found, new))
 
 
 def _ip(found: Column, key: str) -> Column:
     parts = F.transform(F.split(found, r"\."), lambda p: p.cast("long"))
     value = F.aggregate(parts, F.lit(0).cast("long"), lambda v, p: v * 256 + p)
     new = permuted(value, (65536, 65536), key, "ip")
-    return F.aggregate(F.array(new), F.lit(""), lambda _, v: F.concat_ws(".", *(F.shiftrightunsigned(v, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))))
+    return let(new, lambda v: F.concat_ws(".", *(F.shiftrightunsigned(v, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))))
 
 
 def _date(found: Column, key: str) -> Column:
@@ -114,7 +116,7 @@ def _ssn(found: Column, key: str) -> Column:
         area = low + (low >= 666).cast("long")
         return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(v / 9999) % 99 + 1).cast("long").cast("string"), 2, "0"), F.lpad((v % 9999 + 1).cast("string"), 4, "0"))
 
-    return F.aggregate(F.array(permuted(value, (898 * 99, 9999), key, "ssn")), F.lit(""), lambda _, v: text(v))
+    return let(permuted(value, (898 * 99, 9999), key, "ssn"), text)
 
 
 def _phone(found: Column, key: str) -> Column:
@@ -137,10 +139,14 @@ def kind_of(found: Column) -> Column:
 
 def pseudonym(found: Column, key: str = KEY) -> Column:
     """The pseudonym of a string that ANY has matched; the string itself if it isn't valid."""
-    kind, out = kind_of(found), None
-    for name, make in (("email", _email), ("ip", _ip), ("ssn", _ssn), ("date", _date), ("phone", _phone), ("card", _card)):
-        out = F.when(kind == name, make(found, key)) if out is None else out.when(kind == name, make(found, key))
-    return out.otherwise(found)
+
+    def of(kind: Column) -> Column:
+        out = F.when(kind == "email", _email(found, key))
+        for name, make in (("ip", _ip), ("ssn", _ssn), ("date", _date), ("phone", _phone), ("card", _card)):
+            out = out.when(kind == name, make(found, key))
+        return out.otherwise(found)
+
+    return let(kind_of(found), of)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -149,11 +155,13 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null texts stay null and have nothing found, as do empty ones. Row by row: repeated rows and other columns
     stay, an empty table stays empty.
     """
-    may = F.col("text").rlike("[0-9]|@")
-    found = F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), kind_of), lambda k: k.isNotNull())
-    new = F.array_join(F.zip_with(F.split("text", ANY, -1), F.transform(found, lambda m: pseudonym(m, key)), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return docs.withColumns({"found": kinds, "text": F.when(may & (F.size(found) > 0), new).otherwise(F.col("text"))})
+    none = F.array().cast("array<string>")
+    matches = F.when(F.col("text").rlike("[0-9]|@"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none)
+    marked = docs.withColumn("__matches", F.coalesce(matches, none))
+    some = F.size("__matches") > 0
+    new = F.array_join(F.zip_with(F.split("text", ANY, -1), F.transform("__matches", lambda m: pseudonym(m, key)), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    kinds = F.filter(F.transform("__matches", kind_of), lambda k: k.isNotNull())
+    return marked.withColumns({"found": F.when(some, kinds).otherwise(none), "text": F.when(some, new).otherwise(F.col("text"))}).drop("__matches")
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
