@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, language, novelty, pseudonyms, quality, repeats, sharding, simhash
+from . import bpe, digest, language, mixing, novelty, pseudonyms, quality, repeats, sharding, simhash
+
+
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -12,10 +19,12 @@ def queries() -> dict:
         "op3_repeats": repeats.op3_repeats,
         "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
+        "op6_mixing": mixing.op6_mixing,
         "op7_secrets": novelty.op7_secrets,
         "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
+        "pipeline": pipeline,
     }
 
 
