@@ -144,6 +144,10 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(part(F.xxhash64(canon)), part(F.xxhash64(F.lit("second half"), canon)))
 
 
+def fingerprint(text: Column) -> Column:
+    return let(canonical(text), wide_hash)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Of exact digests: 1 if equal, else 0."""
     return F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -154,8 +158,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty. Repeated rows stay. Empty tables give empty results; other columns are not read.
     """
-    canon = canonical(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), wide_hash(canon).alias("fp"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), fingerprint(F.col("text")).alias("fp"))
     prints = written(rows, "digests")
     return _told_apart(docs, prints).withColumnRenamed("fp", "fingerprint")
 
@@ -166,10 +169,11 @@ def _told_apart(docs: DataFrame, prints: DataFrame) -> DataFrame:
     buckets = written(buckets, "buckets")
     if buckets.count() <= BROADCAST_GROUPS:
         buckets = F.broadcast(buckets)
-    canon = canonical(F.col("text"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), canon.alias("canon")).withColumn("fp", wide_hash(F.col("canon")))
-    members = texts.join(buckets, texts["fp"] == F.col("bucket"))
-    firsts = members.where("id = first").groupBy("bucket").agg(F.min("canon").alias("model")).withColumnRenamed("bucket", "own")
+    both = let(canonical(F.col("text")), lambda c: F.struct(c.alias("canon"), wide_hash(c).alias("fp")))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), both.alias("both"))
+    members = texts.join(buckets, F.col("both.fp") == F.col("bucket")).select("id", "row", "bucket", "first", F.col("both.canon").alias("canon"))
+    members = written(members, "members")
+    firsts = written(members.where("id = first").groupBy("bucket").agg(F.min("canon").alias("model")).withColumnRenamed("bucket", "own"), "models")
     odd = members.select("id", "row", "bucket", "canon").join(firsts, F.col("bucket") == F.col("own")).where("canon <> model")
     odd = written(odd.select("id", "row", F.sha2("canon", 256).alias("other")).distinct(), "odd")
     if odd.isEmpty():
@@ -221,9 +225,9 @@ def edited(text: Column, following: Column) -> Column:
 def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.xxhash64("text").alias("row_hash"), wide_hash(canonical(F.col("text"))).alias("fp"))
+    rows = rows.select("*", F.xxhash64("text").alias("row_hash"), fingerprint(F.col("text")).alias("fp"))
     pairs = with_next(rows, ["id", "row_hash"], ["text", "fp"])
     changed = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    prints = changed.select("doc_id", "row_hash", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), wide_hash(canonical(F.col("edited"))).alias("edited_fingerprint"))
+    prints = changed.select("doc_id", "row_hash", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
     told = _told_apart(docs, written(prints, "digests"))
     return told.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
