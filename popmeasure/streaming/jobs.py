@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def failure_rates(stream: DataFrame, failed: Column, time: str = "ts", width: str = "1 day", late: str = "2 days", most: float = 0.75) -> DataFrame:
