@@ -31,31 +31,29 @@ TARGETS = {"high": 0.9, "low": 0.07, "toxic": 0.03}
 SAMPLE, WORDS, LEAST, LIFT = 20_000, 256, 3, 4.0
 STEPS, STEP, CLOSE = 60, 1.5, 1e-6
 SEED = "mixing"
-WORD = r"[^\x20\x09-\x0D]+"
-SPLIT = r"[^\p{L}]+"
+SPACE, MARKS = r"[\x20\x09-\x0D]+", "#*$%&|<>!"
 #: Cuts of each measure into bins.
-CUTS = {"symbols": [0.005, 0.02, 0.06], "bangs": [0.005, 0.02, 0.06], "capitals": [0.1, 0.3, 0.6], "words": [5, 20, 100], "repeats": [0.3, 0.5, 0.7]}
+CUTS = {"marks": [0.001, 0.005, 0.02, 0.06], "words": [5, 20, 100], "repeats": [0.2, 0.3, 0.5, 0.7]}
 HITS = [1, 2, 4]
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:
-    return sum(((value >= c).cast("int") for c in cuts), F.lit(0))
+    """How many of the cuts the value reaches; the value is computed once."""
+    return let(value, lambda v: sum(((v >= c).cast("int") for c in cuts), F.lit(0)))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with __tokens (words), __words (distinct words in lower case) and __bins. A null text has none."""
+    """docs with __tokens (words), __words (distinct words in lower case) and __bins. A null text has none. The text is split once."""
     text = F.coalesce("text", F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    gone = lambda chars: (F.length(text) - F.length(F.call_function("translate", text, F.lit(chars), F.lit("")))) / size
-    measured = docs.withColumns({"__tokens": F.regexp_count(text, F.lit(WORD)).cast("long"), "__split": F.split(F.lower(text), SPLIT)}).withColumn("__words", F.array_distinct("__split"))
+    split = docs.withColumn("__split", F.split(F.trim(F.lower(text)), SPACE))
+    words = split.withColumn("__words", F.array_distinct("__split")).withColumn("__tokens", F.when(F.element_at("__words", 1) == "", F.greatest(F.size("__split") - 1, F.lit(0))).otherwise(F.size("__split")).cast("long"))
+    bare = F.call_function("translate", text, F.lit(MARKS), F.lit(""))
     values = {
-        "symbols": gone("#*$%&|<>"),
-        "bangs": gone("!"),
-        "capitals": gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "marks": (F.octet_length(text) - F.octet_length(bare)) / F.greatest(F.octet_length(text), F.lit(1)),
         "words": F.col("__tokens"),
         "repeats": F.size("__words") / F.greatest(F.size("__split"), F.lit(1)),
     }
-    return measured.withColumn("__bins", F.array(*(_bin(v, CUTS[m]) for m, v in values.items()))).drop("__split")
+    return words.withColumn("__bins", F.array(*(_bin(v, CUTS[m]) for m, v in values.items()))).drop("__split")
 
 
 def labelled(docs: DataFrame, truth: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -76,8 +74,9 @@ class Classifier:
 
 def with_hits(words: list[list[str]]) -> Column:
     """The bins of features() and, for each domain, of how many of its words the text has."""
-    found = [F.size(F.array_intersect("__words", F.split(F.lit(" ".join(own)), " "))) if own else F.lit(0) for own in words]
-    return F.concat("__bins", F.array(*(_bin(n, HITS) for n in found)))
+    texts = lambda own: F.split(F.lit(" ".join(own)), " ") if own else F.array().cast("array<string>")
+    found = F.array_intersect("__words", texts([w for own in words for w in own]))
+    return F.concat("__bins", let(found, lambda f: F.array(*(_bin(F.size(F.array_intersect(f, texts(own))), HITS) for own in words))))
 
 
 def telling_words(rows: DataFrame) -> list[list[str]]:
@@ -178,29 +177,44 @@ def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[lis
         steps.append(move.tolist())
 
 
-def mixed(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs with the added columns tokens, post (array, in the order of DOMAINS), rate and copies (columns of these names are replaced).
+def weighed(docs: DataFrame, model: Classifier) -> DataFrame:
+    """docs with tokens and post (columns of these names are replaced)."""
+    return features(docs).withColumns({"tokens": F.col("__tokens"), "post": posterior(model)}).drop("__tokens", "__words", "__bins")
+
+
+def with_copies(rows: DataFrame, steps: list[list[float]]) -> DataFrame:
+    u = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
+    rated = rows.withColumn("rate", rate_of(F.col("post"), steps))
+    return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+
+
+def sums_by_posterior(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("post").agg(F.sum("tokens").cast("double").alias("tokens")), "posteriors")
+
+
+def rates(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """One row for each row of docs: doc_id, tokens, post (array, in the order of DOMAINS), rate and copies. Texts are read once.
 
     copies is the rate rounded down, and one more with the probability of what is left (by hash of the id, so
     equal ids fare alike). Null texts have no tokens. Without labels the posterior is that of the smoothed
-    counts, alike for all. Rows stay one by one, repeated ones too; an empty table stays empty.
+    counts, alike for all. Repeated rows stay; an empty table stays empty; other columns are not read.
     """
     model = fit_classifier(labelled(docs, truth))
-    rows = features(docs).withColumns({"tokens": F.col("__tokens"), "post": posterior(model)}).drop("__tokens", "__words", "__bins")
-    sums = written(rows.groupBy("post").agg(F.sum("tokens").cast("double").alias("tokens")), "posteriors")
-    steps, _ = fit_rates(sums, targets)
-    u = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    rated = rows.withColumn("rate", rate_of(F.col("post"), steps))
-    return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    rows = written(weighed(docs.select("doc_id", "text"), model).drop("text"), "weighed")
+    steps, _ = fit_rates(sums_by_posterior(rows), targets)
+    return with_copies(rows, steps)
 
 
 def repeated(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs, with their columns, as often as copies says."""
-    rows = mixed(docs.select("*"), truth, targets).where("copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of docs, with their columns, as often as copies says. Rates are worked out anew beside each text, so no text is shuffled."""
+    model = fit_classifier(labelled(docs, truth))
+    steps, _ = fit_rates(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets)
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    rows = with_copies(weighed(own, model), steps).where("copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens, the posterior of each domain, rate and copies of every document."""
-    rows = mixed(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+    rows = rates(documents(spark, sf_dir), labels(spark, sf_dir))
     return rows.select("doc_id", "tokens", *(F.element_at("post", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
