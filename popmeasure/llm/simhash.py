@@ -12,6 +12,8 @@ reduced to a star (at most one link less than members), so no group of copies em
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -162,13 +164,145 @@ def near_copies(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> Dat
     return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, max_distance: int = 3) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Columns as in docs."""
-    groups = near_copies(docs, shingle, max_distance)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Wide fingerprints: near copies by similarity of their word shingles, not by a fixed few bits.
+
+#: 64-bit lanes of a wide fingerprint, and bits of a segment. A segment of two texts with a similarity of 0.8 differs
+#: in one bit at most with a probability of 0.22, so one of the ten does with 0.92; of random texts, with 0.0001.
+LANES, WIDTH = 3, 18
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits that texts with this similarity (Jaccard, of shingle sets) differ in: what is expected, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def wide_majority(hashes: list[int], lanes: int = LANES) -> bytes:
+    """Majority bits over the set of hashes, each mixed anew for each lane; zeros if there are none."""
+    if not hashes:
+        return bytes(8 * lanes)
+    h = np.unique(np.array(hashes, np.uint64))
+    mixed = []
+    for k in range(lanes):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed.append(x ^ (x >> np.uint64(31)))
+    values, votes = np.stack(mixed, axis=1).view(np.uint8).reshape(len(h), -1), np.zeros(64 * lanes, np.int64)
+    for k in range(0, len(values), 255):
+        votes += np.unpackbits(values[k : k + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(h)).tobytes()
+
+
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, print (8 * LANES bytes) of each row of docs."""
+
+    def run(batches):
+        for batch in batches:
+            prints = [wide_majority(shingle_hashes(words_of(t.as_py()), shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["doc_id", "print"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print binary")
+
+
+def wide_keys(prints: np.ndarray) -> np.ndarray:
+    """Keys [print, segment and variant]: each segment's value, and its variants with one bit wildcarded."""
+    bits = np.unpackbits(prints, axis=1).astype(np.uint64)
+    out = []
+    for s in range(bits.shape[1] // WIDTH):
+        value = (bits[:, s * WIDTH : (s + 1) * WIDTH] << np.arange(WIDTH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        for wild in range(WIDTH + 1):
+            masked = value if wild == WIDTH else value & np.uint64(((1 << WIDTH) - 1) ^ (1 << wild))
+            out.append(((masked << np.uint64(12) | np.uint64(s * 32 + wild)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))
+    return np.stack(out, axis=1).astype(np.int64)
+
+
+def near_stars(values: np.ndarray, group: np.ndarray, most: int, hold: int = 500_000) -> np.ndarray:
+    """For each member the least member that links within its group (contiguous) reach. Links are folded in as they are found, so their number doesn't matter."""
+    least = np.arange(len(values))
+    at, step, a, b, held = np.arange(len(values) - 1), 1, [], [], 0
+
+    def fold():
+        x, y = np.concatenate(a), np.concatenate(b)
+        while True:
+            low = np.minimum(least[x], least[y])
+            np.minimum.at(least, least[x], low)
+            np.minimum.at(least, least[y], low)
+            least[:] = least[least]
+            if np.array_equal(least[x], least[y]):
+                return
+
+    while len(at := at[at + step < len(values)]) and len(at := at[group[at] == group[at + step]]):
+        apart = at[least[at] != least[at + step]]
+        hit = apart[np.bitwise_count(values[apart] ^ values[apart + step]).sum(axis=1) <= most]
+        a.append(hit)
+        b.append(hit + step)
+        held += len(hit)
+        if held > hold:
+            fold()
+            a, b, held = [], [], 0
+        step += 1
+    if held:
+        fold()
+    while not np.array_equal(least, least[least]):
+        least = least[least]
+    return least
+
+
+def wide_links(nodes: DataFrame, most: int) -> DataFrame:
+    """nodes: distinct prints. Returns a, b: links between the prints' hashes, as stars within each key; all pairs under a key are compared."""
+    spark, size = nodes.sparkSession, 8 * LANES
+
+    def send(batches):
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            for k in range(0, len(raw), 1000):
+                part = raw[k : k + 1000]
+                prints = np.frombuffer(b"".join(part), np.uint8).reshape(-1, size)
+                keys = wide_keys(prints)
+                data = np.repeat(prints, keys.shape[1], axis=0)
+                offsets = np.arange(len(data) + 1, dtype=np.int32) * size
+                column = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), column], names=["key", "print"])
+
+    def link(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy()
+        raw = table.column("print").to_pylist()
+        values = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LANES)
+        order = np.lexsort((values[:, 0], keys))
+        keys, values = keys[order], values[order]
+        least = near_stars(values, keys, most)
+        far = np.flatnonzero(least != np.arange(len(least)))
+        name = lambda k: xxhash.xxh64_intdigest(raw[order[k]], SEED)
+        pairs = {(name(x), name(y)) for x, y in zip(far.tolist(), least[far].tolist(), strict=True)}
+        ends = np.array(sorted(pairs), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    rows = nodes.count() * (64 * LANES // WIDTH) * (WIDTH + 1)
+    buckets = max(4 * partitions(spark), rows // 200_000 + 1)
+    keyed = nodes.select("print").repartition(max(partitions(spark), rows // 2_000_000 + 1)).mapInArrow(send, "key long, print binary")
+    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(link, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of each row of docs, where texts link if their wide fingerprints say that the sets of their
+    word shingles have this similarity or more. Nulls, repeated rows and empty tables as in near_copies()."""
+    prints = written(wide_prints(docs, shingle).withColumn("id", F.xxhash64("print")), "wide")
+    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("print").alias("print")), "wide-nodes")
+    roots = components(wide_links(nodes, bits_apart(similarity, 64 * LANES)))
+    member = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = member.select(F.col("id").alias("node"), "root").join(least, "root").select("node", "component_id")
+    return prints.join(named, prints["id"] == named["node"]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of similar ones: the one with the smallest doc_id. Columns as in docs."""
+    groups = similar_groups(docs, shingle, similarity)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
