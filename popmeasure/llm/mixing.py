@@ -29,7 +29,7 @@ TARGETS = {"high": 0.9, "low": 0.07, "toxic": 0.03}
 #: Labelled documents that the classifier is fitted on at most (in expectation), words it knows, least documents of a word,
 #: and how many times as frequent as in all a word must be in some domain.
 SAMPLE, WORDS, LEAST, LIFT = 20_000, 256, 3, 4.0
-STEPS, STEP, CLOSE = 60, 1.5, 1e-6
+STEPS, STEP, CLOSE = 24, 1.5, 1e-4
 SEED = "mixing"
 SPACE, MARKS = r"[\x20\x09-\x0D]+", "#*$%&|<>!"
 #: Cuts of each measure into bins.
@@ -162,17 +162,17 @@ def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[lis
     last, plain = math.inf, False
     while True:
         rate = rate_of(F.col("post"), steps)
-        free = (rate > 0).cast("double")
-        row = sums.withColumns({"rate": rate, "free": free}).agg(*(amount(F.col("rate") * p(i)) for i in range(k)), *(amount(F.col("free") * p(i) * p(j)) for i in range(k) for j in range(k))).first()
+        free = (F.col("rate") > 0).cast("double")
+        row = sums.withColumn("rate", rate).withColumn("free", free).agg(*(amount(F.col("rate") * p(i)) for i in range(k)), *(amount(F.col("free") * p(i) * p(j)) for i in range(k) for j in range(k))).first()
         now, gram = np.array(row[:k]), np.array(row[k:]).reshape(k, k)
         there = there or list(now)
         off = now - np.array([targets[d] for d in DOMAINS]) * sum(there)
         off[np.array(there) <= 0] = 0
         miss = {d: o / a for d, o, a in zip(DOMAINS, off, there, strict=True) if a > 0}
         size = max((abs(m) for m in miss.values()), default=0.0)
-        if size < CLOSE or len(steps) >= STEPS:
+        if size < CLOSE or len(steps) >= STEPS or plain and size > last * 0.99:
             return steps, miss
-        plain, last = plain or size > last * 0.999, size
+        plain, last = plain or size > last * 0.99, size
         move = STEP * off / np.maximum(gram.sum(axis=1), 1e-9) if plain else np.linalg.pinv(gram, rcond=1e-9) @ off
         steps.append(move.tolist())
 
@@ -210,8 +210,10 @@ def repeated(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARG
     model = fit_classifier(labelled(docs, truth))
     steps, _ = fit_rates(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets)
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    rows = with_copies(weighed(own, model), steps).where("copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    rows = with_copies(weighed(own, model), steps)
+    # A filter on copies would be pushed below and copy all that copies is made of into itself; so rows without copies go after the explode.
+    times = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))
+    return rows.select("__row", F.explode_outer(times).alias("__copy")).where("__copy is not null").select("__row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
