@@ -222,7 +222,7 @@ def wide_keys(prints: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).astype(np.int64)
 
 
-def near_stars(values: np.ndarray, group: np.ndarray, most: int, hold: int = 500_000) -> np.ndarray:
+def near_stars(values: np.ndarray, group: np.ndarray, most: int, hold: int = 50_000) -> np.ndarray:
     """For each member the least member that links within its group (contiguous) reach. Links are folded in as they are found, so their number doesn't matter."""
     least = np.arange(len(values))
     at, step, a, b, held = np.arange(len(values) - 1), 1, [], [], 0
