@@ -210,3 +210,41 @@ register("r11_least_squares", lambda s, d: T.least_squares(X.lines(s, d).withCol
     (SELECT unit, var_pop(l_quantity / 50) AS c00, covar_pop(l_quantity / 50, l_tax * 10) AS c01, var_pop(l_tax * 10) AS c11, covar_pop(l_quantity / 50, l_discount) AS c02, covar_pop(l_tax * 10, l_discount) AS c12, count(*) AS n FROM lines GROUP BY 1), (VALUES ('q'), ('t')) v(term)""", "lines", "b")
 register("r12_r13_agreement", lambda s, d: X.anchors(s, d).select("unit", "dimension", T.benchmark_agreement(F.col("z") * 3, F.when(F.col("unit") < "N20", F.lit(1))).alias("agrees"), (F.col("z") * -1 >= 0.2).alias("ordered")), "SELECT unit, dimension, CASE WHEN unit < 'N20' THEN sign(z) = 1 AND abs(z * 3) > 1.96 END AS agrees, z * -1 >= 0.2 AS ordered FROM anchors", "anchors")
 register("r14_median_rank", lambda s, d: G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 12)), F.col("policy") == F.concat("unit", F.lit("_adapter"))).agg(F.percentile("own_rank", 0.5).alias("median_rank"), F.max((F.col("n") + 1) / 2).alias("chance")), "SELECT quantile_cont(r, 0.5) AS median_rank, max((n + 1) / 2) AS chance FROM (SELECT policy, unit, rank() OVER (PARTITION BY policy ORDER BY d) AS r, count(*) OVER (PARTITION BY policy) AS n FROM (SELECT policy, unit, round(avg(tvd), 12) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)) WHERE policy = unit || '_adapter'", "evaluated", "median_rank chance")
+
+# Further views of the same tables
+register("a38_value_counts", lambda s, d: X.answers(s, d).groupBy("item", "value").agg(F.count("*").alias("n"), F.min(F.struct("l_orderkey", "l_linenumber"))["l_orderkey"].alias("first_order")), "SELECT item, value, count(*) AS n, min(l_orderkey) AS first_order FROM answers GROUP BY 1, 2", "answers", "value")
+register(
+    "a43_reference_margin",
+    lambda s, d: baseline(s, d).where("relationship = 'matched'").groupBy("unit").agg(F.avg("tvd").alias("tvd"), F.avg("base_tvd").alias("base_tvd"), F.avg(F.col("base_jsd") - F.col("jsd")).alias("jsd_gain"), F.avg((F.col("base_tvd") > F.col("tvd")).cast("double")).alias("improved"), F.count("*").alias("n")),
+    f"SELECT unit, avg(tvd) AS tvd, avg(base_tvd) AS base_tvd, avg(base_jsd - jsd) AS jsd_gain, avg((base_tvd > tvd)::INT) AS improved, count(*) AS n FROM ({CANDIDATES}) WHERE relationship = 'matched' GROUP BY 1",
+    "evaluated",
+    "tvd base_tvd jsd_gain improved",
+)
+register(
+    "b9_policy_comparison",
+    lambda s, d: X.evaluated(s, d).groupBy("unit").pivot("relationship", ["base", "matched"]).agg(F.avg("tvd")).where("matched is not null").select("unit", "base", "matched", (F.col("base") - F.col("matched")).alias("difference"), (F.col("matched") < F.col("base")).alias("wins")),
+    "SELECT unit, base, matched, base - matched AS difference, matched < base AS wins FROM (SELECT unit, avg(tvd) FILTER (relationship = 'base') AS base, avg(tvd) FILTER (relationship = 'matched') AS matched FROM evaluated GROUP BY 1) WHERE matched IS NOT NULL",
+    "evaluated",
+    "base matched difference",
+)
+register(
+    "d6_strong_pairs",
+    lambda s, d: G.euclidean_pairs(X.anchors(s, d).withColumn("z", F.round("z", 9)), least=3).where("passes").select("a", "b", F.round("d", 4).alias("d"), "n_strong"),
+    "SELECT a, b, round(d, 4) AS d, n AS n_strong FROM (SELECT x.unit AS a, y.unit AS b, sqrt(sum((round(x.z, 9) - round(y.z, 9)) * (round(x.z, 9) - round(y.z, 9)))) AS d, count(*) FILTER (abs(round(x.z, 9) - round(y.z, 9)) > 0.3) AS n FROM anchors x JOIN anchors y USING (dimension) WHERE x.unit < y.unit GROUP BY 1, 2) WHERE n >= 3",
+    "anchors",
+    "d",
+)
+
+
+def plane_ranks(s, d):
+    """Each unit's rank among all others from one unit, in the plane of the principal axes and by population distance."""
+    at = G.principal_axes(X.means(s, d).persist())
+    home = at.where("unit = 'N03'").select(F.col("x1").alias("h1"), F.col("x2").alias("h2"))
+    plane = at.where("unit <> 'N03'").crossJoin(F.broadcast(home)).select("unit", F.sqrt(F.pow(F.col("x1") - F.col("h1"), 2) + F.pow(F.col("x2") - F.col("h2"), 2)).alias("d_plane"))
+    far = G.symmetric(X.pairs(s, d)).where("a = 'N03'").select(F.col("b").alias("unit"), "d")
+    both = plane.join(far, "unit")
+    one = W.partitionBy(F.lit(1))
+    return both.withColumns({"rank_plane": F.rank().over(one.orderBy("d_plane")), "rank_distance": F.rank().over(one.orderBy("d"))})
+
+
+register("d11_plane_ranks", plane_ranks)
