@@ -72,8 +72,8 @@ def recode_mean(mean: Column, kind: Column, rule: str = "equal") -> Column:
 def scale_class(response_type: Column, options: Column, ordered: Column) -> Column:
     """Class of an item's scale from its type, number of options and order."""
     return (
-        F.when(response_type == "multi5", "multiple_response_max5")
-        .when(options > 12, "other_numeric")
+        F.when(options > 12, "other_numeric")
+        .when(response_type == "multi5", "multiple_response_max5")
         .when(options == 2, "binary_yn")
         .when(ordered, F.concat(F.lit("ordered_"), options.cast("string"), F.lit("pt")))
         .otherwise(F.concat(F.lit("single_choice_"), options.cast("string")))
@@ -81,7 +81,7 @@ def scale_class(response_type: Column, options: Column, ordered: Column) -> Colu
 
 
 def scale_family(scale: Column) -> Column:
-    return F.when(scale.startswith("ordered"), "ordered").when(scale == "binary_yn", "binary").when(scale.startswith("single"), "nominal").otherwise("other")
+    return F.when(scale == "binary_yn", "binary").when(scale == "multiple_response_max5", "multi_select").when(scale == "other_numeric", "other").otherwise("ordered")
 
 
 #: Other names of units.

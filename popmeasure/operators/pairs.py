@@ -89,20 +89,20 @@ def health(rows: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 
 #: The pairs of levels that are set against each other.
-CONTRASTS = [(3, -3), (3, -1), (2, -2), (2, 1), (1, -1), (1, -3)]
+CONTRASTS = [(-3, 3), (-1, 1), (3, 2), (-3, -2), (1, 2), (-1, -2)]
 
 
 def level_pairs(rows: DataFrame, key: list[str], seed: str = "order") -> DataFrame:
     """rows: key, level, seq, text. For each contrast whose levels a key has, both texts; which one is A is dealt by hash. The last row of a level counts."""
     last = rows.groupBy(*key, "level").agg(F.max_by("text", "seq").alias("text"))
     spark = rows.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(CONTRASTS, "high int, low int"))
-    high = last.select(*key, F.col("level").alias("high"), F.col("text").alias("text_high"))
-    low = last.select(*key, F.col("level").alias("low"), F.col("text").alias("text_low"))
-    both = high.join(wanted, "high").join(low, [*key, "low"])
-    swap = C.hash_int(F.lit(seed), *(F.col(k).cast("string") for k in key), F.col("high").cast("string"), F.col("low").cast("string")) % 2 == 1
+    wanted = F.broadcast(spark.createDataFrame(CONTRASTS, "one int, two int"))
+    first = last.select(*key, F.col("level").alias("one"), F.col("text").alias("text_one"))
+    second = last.select(*key, F.col("level").alias("two"), F.col("text").alias("text_two"))
+    both = first.join(wanted, "one").join(second, [*key, "two"])
+    swap = C.hash_int(F.lit(seed), *(F.col(k).cast("string") for k in key), F.col("one").cast("string"), F.col("two").cast("string")) % 2 == 1
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return both.select(*key, pick("text_high", "text_low").alias("response_a"), pick("text_low", "text_high").alias("response_b"), pick("high", "low").alias("level_a"), pick("low", "high").alias("level_b"))
+    return both.select(*key, pick("text_one", "text_two").alias("response_a"), pick("text_two", "text_one").alias("response_b"), pick("one", "two").alias("level_a"), pick("two", "one").alias("level_b"))
 
 
 def nearest_choice(target: Column, a: Column, b: Column, conservative: bool = True) -> Column:

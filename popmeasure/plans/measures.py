@@ -120,8 +120,8 @@ def scales(s, d):
 register(
     "p11_scale_class",
     scales,
-    f"""SELECT item, n, scale, CASE WHEN scale LIKE 'ordered%' THEN 'ordered' WHEN scale = 'binary_yn' THEN 'binary' WHEN scale LIKE 'single%' THEN 'nominal' ELSE 'other' END AS family FROM
-    (SELECT item, n, CASE WHEN item = 'I1' THEN 'multiple_response_max5' WHEN n > 12 THEN 'other_numeric' WHEN n = 2 THEN 'binary_yn' WHEN item NOT IN {NOT_ORDERED} THEN 'ordered_' || n || 'pt' ELSE 'single_choice_' || n END AS scale FROM (SELECT item, count(DISTINCT value) AS n FROM answers GROUP BY item))""",
+    f"""SELECT item, n, scale, CASE scale WHEN 'binary_yn' THEN 'binary' WHEN 'multiple_response_max5' THEN 'multi_select' WHEN 'other_numeric' THEN 'other' ELSE 'ordered' END AS family FROM
+    (SELECT item, n, CASE WHEN n > 12 THEN 'other_numeric' WHEN item = 'I1' THEN 'multiple_response_max5' WHEN n = 2 THEN 'binary_yn' WHEN item NOT IN {NOT_ORDERED} THEN 'ordered_' || n || 'pt' ELSE 'single_choice_' || n END AS scale FROM (SELECT item, count(DISTINCT value) AS n FROM answers GROUP BY item))""",
     "answers",
 )
 register("p12_p13_names", lambda s, d: X.evaluated(s, d).groupBy("policy").agg(F.count_if(F.col("relationship") == "matched").alias("matched"), F.count_if(F.col("relationship") == "cross").alias("cross"), F.max(C.unit_name(F.col("policy"))).alias("name")), "SELECT policy, count(*) FILTER (relationship = 'matched') AS matched, count(*) FILTER (relationship = 'cross') AS cross, CASE WHEN policy = 'base' THEN 'BASE' ELSE substr(policy, 1, 3) END AS name FROM evaluated GROUP BY policy", "evaluated")

@@ -73,7 +73,7 @@ LEVELS = "SELECT doc_id // 7 % 5 AS scenario, doc_id // 35 AS block, [-3,-2,-1,1
 LAST = f"SELECT scenario, block, level, arg_max(text, doc_id) AS text FROM ({LEVELS}) GROUP BY 1, 2, 3"
 BUILT = f"""SELECT scenario, block, CASE WHEN swap THEN tl ELSE th END AS response_a, CASE WHEN swap THEN th ELSE tl END AS response_b, CASE WHEN swap THEN low ELSE high END AS level_a, CASE WHEN swap THEN high ELSE low END AS level_b FROM
     (SELECT h.scenario, h.block, h.text AS th, l.text AS tl, v.high, v.low, ('0x' || substr(md5('order|' || h.scenario || '|' || h.block || '|' || v.high || '|' || v.low), 1, 8))::BIGINT % 2 = 1 AS swap
-    FROM (VALUES (3, -3), (3, -1), (2, -2), (2, 1), (1, -1), (1, -3)) v(high, low) JOIN ({LAST}) h ON h.level = v.high JOIN ({LAST}) l ON l.level = v.low AND l.scenario = h.scenario AND l.block = h.block)"""
+    FROM (VALUES (-3, 3), (-1, 1), (3, 2), (-3, -2), (1, 2), (-1, -2)) v(high, low) JOIN ({LAST}) h ON h.level = v.high JOIN ({LAST}) l ON l.level = v.low AND l.scenario = h.scenario AND l.block = h.block)"""
 register("q9_level_pairs", lambda s, d: P.level_pairs(levels(s, d), ["scenario", "block"]), BUILT, ints="level_a level_b")
 
 
