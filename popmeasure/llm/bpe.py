@@ -131,7 +131,7 @@ class Vocabulary:
         """Ids of one long word: the same merges, least rank first and leftmost among equals."""
         parts = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        first = self.rank(np.array(parts[:-1]), np.array(parts[1:])).tolist()
+        first = self.rank(np.array(parts[:-1], np.int64), np.array(parts[1:], np.int64)).tolist()
         waiting = [(r, k, parts[k], parts[k + 1]) for k, r in enumerate(first) if r != NEVER]
         heapq.heapify(waiting)
         while waiting:

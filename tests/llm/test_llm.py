@@ -239,7 +239,7 @@ def test_scan_and_heap_agree():
 def test_rates_meet_targets(spark):
     rows = [([0.9, 0.1, 0.0], 600.0), ([0.2, 0.8, 0.0], 300.0), ([0.0, 0.1, 0.9], 100.0)]
     sums = spark.createDataFrame(rows, "post array<double>, tokens double")
-    steps, miss = mixing.fit_rates(sums, {"high": 0.8, "low": 0.15, "toxic": 0.05})
+    steps, miss = mixing.fit_rates(sums, {"high": 0.7, "low": 0.25, "toxic": 0.05})
     assert max(map(abs, miss.values())) < 0.05
     rates = [r[0] for r in sums.select(mixing.rate_of(F.col("post"), steps)).collect()]
     assert min(rates) >= 0 and math.isclose(sum(n * r * p[2] for (p, n), r in zip(rows, rates, strict=True)), 50, abs_tol=5)
