@@ -5,7 +5,7 @@ domains. Document rates are then fitted so that the expected tokens of each doma
 nonnegative and minimise the squared, relative misses, by projected gradient steps (see fit_rates()). A step needs the current
 totals of the domains, one aggregate over all documents; a rate depends on a document's posterior alone, so
 documents with equal posteriors are added up once and steps run over those sums. No rate table is ever
-rewritten: the rate is an expression of the posterior and of the steps so far (a few numbers each).
+rewritten: the rate is an expression of the posterior and of one number a domain.
 
 Domains are toxic, low (labelled quality 0) and high. The classifier is naive Bayes over binned
 measures of the text, among them how many words it has that tell a domain: half of the sample finds these
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ HIGHEST, EPOCHS = 4.0, 1.25
 #: Labelled documents that the classifier is fitted on at most (in expectation), words it knows, least documents of a word,
 #: and how many times as frequent as in all a word must be in some domain.
 SAMPLE, WORDS, LEAST, LIFT = 20_000, 256, 3, 4.0
-STEPS, STEP, CLOSE, RIDGE = 40, 1.5, 1e-4, 0.01
+STEPS, CLOSE, RIDGE = 12, 1e-4, 0.01
 SEED = "mixing"
 SPACE, MARKS = r"[\x20\x09-\x0D]+", "#*$%&|<>!"
 #: Cuts of each measure into bins.
@@ -139,13 +140,9 @@ def _dot(p: Column, s: Column) -> Column:
     return F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, v: x + v)
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """The rate that these steps lead to from 1, each projected to 0 .. HIGHEST."""
-    if not steps:
-        return F.lit(1.0)
-    flat, k = _vector([v for s in steps for v in s]), len(DOMAINS)
-    each = F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda i: F.slice(flat, i * k + 1, k))
-    return F.aggregate(each, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(F.lit(HIGHEST), r - _dot(p, s) - STEP * RIDGE * (r - 1))))
+def rate_of(p: Column, pull: list[float]) -> Column:
+    """A rate of 1 less the gradient along the posterior, projected to 0 .. HIGHEST."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(HIGHEST), 1 - _dot(p, _vector(pull))))
 
 
 def goals(targets: dict[str, float], there: list[float]) -> list[float]:
@@ -164,25 +161,41 @@ def goals(targets: dict[str, float], there: list[float]) -> list[float]:
     return goal
 
 
-def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[list[float]], dict[str, float]]:
-    """Steps, and the relative miss of each domain that remains. sums: post, tokens.
+def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[float], dict[str, float]]:
+    """The gradient that rates end at, one number a domain, and the relative miss of each domain that remains. sums: post, tokens.
 
     Minimised are the squared misses over each domain's own tokens, plus RIDGE times the squared distance of the
     rates from 1 (by tokens): without it, a scarce domain that others barely overlap with would bend all rates.
-    With that scale a step below 2 converges. A domain without tokens has no target.
+    A projected gradient step moves each rate along its posterior and back within its bounds. Steps are scaled by the
+    domains' Gram matrix over documents whose rate is free, so a few are enough; each is one aggregate over all
+    documents. A step that doesn't help is halved. A domain without tokens has no target.
     """
     k = len(DOMAINS)
-    amount = lambda i: F.coalesce(F.sum(F.col("tokens") * F.col("rate") * F.element_at("post", i + 1)), F.lit(0.0))
-    steps: list[list[float]] = []
-    there: list[float] = []
-    while True:
-        now = list(sums.withColumn("rate", rate_of(F.col("post"), steps)).agg(*(amount(i) for i in range(k))).first())
-        there = there or now
-        miss = {d: (n - g) / a for d, n, g, a in zip(DOMAINS, now, goals(targets, there), there, strict=True) if a > 0}
-        move = [STEP * miss.get(d, 0.0) for d in DOMAINS]
-        if len(steps) >= STEPS or max(map(abs, move), default=0.0) < CLOSE or steps and max(abs(x - y) for x, y in zip(move, steps[-1], strict=True)) < CLOSE:
-            return steps, miss
-        steps.append(move)
+    p = lambda i: F.element_at("post", i + 1)
+    amount = lambda c: F.coalesce(F.sum(F.col("tokens") * c), F.lit(0.0))
+    there: np.ndarray | None = None
+    pull, move, best = np.zeros(k), np.zeros(k), (math.inf, np.zeros(k), {})
+    for _ in range(STEPS):
+        rated = sums.withColumn("rate", rate_of(F.col("post"), pull.tolist()))
+        free = ((F.col("rate") > 0) & (F.col("rate") < HIGHEST)).cast("double")
+        row = rated.withColumn("free", free).agg(*(amount(F.col("rate") * p(i)) for i in range(k)), *(amount(F.col("free") * p(i) * p(j)) for i in range(k) for j in range(i, k))).first()
+        now, gram = np.array(row[:k]), np.zeros((k, k))
+        gram[np.triu_indices(k)] = row[k:]
+        gram = gram + np.triu(gram, 1).T
+        there = now if there is None else there
+        own = np.maximum(there, 1e-9)
+        off = np.where(there > 0, now - np.array(goals(targets, there.tolist())), 0.0)
+        wrong = (RIDGE * own * pull - off) / own
+        size = float(np.abs(wrong).max())
+        if size < best[0] * 0.999:
+            best = (size, pull, {d: float(o / a) for d, o, a in zip(DOMAINS, off, there, strict=True) if a > 0})
+            move = -np.linalg.solve(RIDGE * np.diag(own) + gram, wrong * own)
+        else:
+            move = move / 2
+        if size < CLOSE:
+            break
+        pull = best[1] + move
+    return best[1].tolist(), best[2]
 
 
 def weighed(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -190,9 +203,9 @@ def weighed(docs: DataFrame, model: Classifier) -> DataFrame:
     return features(docs).withColumns({"tokens": F.col("__tokens"), "post": posterior(model)}).drop("__tokens", "__words", "__bins")
 
 
-def with_copies(rows: DataFrame, steps: list[list[float]]) -> DataFrame:
+def with_copies(rows: DataFrame, pull: list[float]) -> DataFrame:
     u = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    rated = rows.withColumn("rate", rate_of(F.col("post"), steps))
+    rated = rows.withColumn("rate", rate_of(F.col("post"), pull))
     return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
@@ -209,16 +222,16 @@ def rates(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS
     """
     model = fit_classifier(labelled(docs, truth))
     rows = written(weighed(docs.select("doc_id", "text"), model).drop("text"), "weighed")
-    steps, _ = fit_rates(sums_by_posterior(rows), targets)
-    return with_copies(rows, steps)
+    pull, _ = fit_rates(sums_by_posterior(rows), targets)
+    return with_copies(rows, pull)
 
 
 def repeated(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs, with their columns, as often as copies says. Rates are worked out anew beside each text, so no text is shuffled."""
     model = fit_classifier(labelled(docs, truth))
-    steps, _ = fit_rates(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets)
+    pull, _ = fit_rates(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets)
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    rows = with_copies(weighed(own, model), steps)
+    rows = with_copies(weighed(own, model), pull)
     # A filter on copies would be pushed below and copy all that copies is made of into itself; so rows without copies go after the explode.
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))
     return rows.select("__row", F.explode_outer(times).alias("__copy")).where("__copy is not null").select("__row.*")
