@@ -401,3 +401,42 @@ def test_stars_of_one_large_group():
     values = np.repeat(center[None], 3000, axis=0)
     values[:, 0] ^= np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64)
     assert (simhash.near_stars(values, np.zeros(3000), 4, hold=1000) == 0).all()
+
+
+def test_similar_groups_are_those_of_exact_similarity(spark):
+    rng = random.Random(12)
+    sets = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))}
+    texts = []
+    for size in [60, 150, 300] * 16:
+        text = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts.append(text)
+        for _ in range(3):
+            copy = list(text)
+            for at in rng.sample(range(size), max(1, round(size * rng.choice([0.01, 0.02, 0.025, 0.03, 0.04])))):  # similarities of 0.7 to 0.9
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    hub = [f"h{k}" for k in range(200)]
+    for _ in range(120):  # a large group: those that differ meet only through others
+        copy = list(hub)
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5])):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    all_sets, least, near = [sets(t) for t in texts], list(range(len(texts))), 0
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            same = len(all_sets[a] & all_sets[b])
+            share = same / (len(all_sets[a]) + len(all_sets[b]) - same)
+            near += 0.7 <= share <= 0.9
+            if 5 * same >= 4 * (len(all_sets[a]) + len(all_sets[b]) - same):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert near > 200 and got == {k: root(k) for k in range(len(texts))}
