@@ -2,20 +2,22 @@
 
 A classifier is fitted on a bounded sample of labelled documents and gives every document a posterior over
 domains. Document rates are then fitted so that the expected tokens of each domain meet targets: rates are
-nonnegative and minimise the squared, relative misses, by projected gradient steps (see fit_rates()). A step needs the current
-totals of the domains, one aggregate over all documents; a rate depends on a document's posterior alone, so
-documents with equal posteriors are added up once and steps run over those sums. No rate table is ever
+nonnegative and as near to 1 as the targets allow, and tokens in all stay as many (see fit()). A rate depends on a
+document's posterior alone, so documents with equal posteriors are added up once; posteriors are rounded, so these are
+a few thousand sums however many documents there are, and the fit runs over them on the driver. No rate table is ever
 rewritten: the rate is an expression of the posterior and of one number a domain.
 
 Domains are toxic, low (labelled quality 0) and high. The classifier is naive Bayes over binned
 measures of the text, among them how many words it has that tell a domain: half of the sample finds these
 words, the other half counts the bins. All of it is DataFrame operations; no Python runs on
-executors. Only counts of the sample (domains x (WORDS + bins)) and domain totals reach the driver.
+executors. Only counts of the sample (domains x (WORDS + bins)) and tokens by rounded posterior reach the driver.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +28,11 @@ from .common import documents, labels, let, written
 DOMAINS = ["high", "low", "toxic"]
 #: Share of expected tokens that each domain should have, of as many tokens as there are.
 TARGETS = {"high": 0.9, "low": 0.07, "toxic": 0.03}
-#: Highest rate of a document, and how many times its tokens a domain's target may be; what that cuts off goes to the other domains.
-HIGHEST, EPOCHS = 4.0, 1.25
 #: Labelled documents that the classifier is fitted on at most (in expectation), words it knows, least documents of a word,
 #: and how many times as frequent as in all a word must be in some domain.
 SAMPLE, WORDS, LEAST, LIFT = 20_000, 256, 3, 4.0
-STEPS, CLOSE, RIDGE = 12, 1e-4, 0.01
+#: Newton steps at most, when a fit is done and when it has converged after these steps (of all tokens), the miss (of its goal) that is told of, and the weight of nearness to 1 beside a miss.
+STEPS, DONE, ENOUGH, CLOSE, RIDGE = 500, 1e-8, 1e-6, 1e-4, 1e-7
 SEED = "mixing"
 SPACE, MARKS = r"[\x20\x09-\x0D]+", "#*$%&|<>!"
 #: Cuts of each measure into bins.
@@ -141,61 +142,70 @@ def _dot(p: Column, s: Column) -> Column:
 
 
 def rate_of(p: Column, pull: list[float]) -> Column:
-    """A rate of 1 less the gradient along the posterior, projected to 0 .. HIGHEST."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(HIGHEST), 1 - _dot(p, _vector(pull))))
-
-
-def goals(targets: dict[str, float], there: list[float]) -> list[float]:
-    """Tokens that each domain should have: its share of all tokens, but EPOCHS times its own at most."""
-    total, most = sum(there), [EPOCHS * t for t in there]
-    goal, left, free = [0.0] * len(DOMAINS), total, [k for k, t in enumerate(there) if t > 0]
-    while free and left > 1e-9 * total:
-        shares = sum(targets[DOMAINS[k]] for k in free)
-        if shares <= 0:
-            break
-        given = {k: min(most[k] - goal[k], left * targets[DOMAINS[k]] / shares) for k in free}
-        for k, g in given.items():
-            goal[k] += g
-        left -= sum(given.values())
-        free = [k for k in free if most[k] - goal[k] > 1e-9 * total]
-    return goal
+    """A rate of 1 less the pull along the posterior, 0 at least."""
+    return F.greatest(F.lit(0.0), 1 - _dot(p, _vector(pull)))
 
 
-def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[float], dict[str, float]]:
-    """The gradient that rates end at, one number a domain, and the relative miss of each domain that remains. sums: post, tokens.
+class Fit(NamedTuple):
+    """What rates end at (one number a domain), and each domain's goal in tokens and the share of it that is missed."""
+
+    pull: list[float]
+    goal: dict[str, float]
+    miss: dict[str, float]
+
+
+def _solved(p: np.ndarray, w: np.ndarray, share: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The pull where weights w of posteriors p, times their rates, add up to share, or miss it least by scale."""
+    pull, bend = np.zeros(p.shape[1]), RIDGE * (np.diag(scale) - np.outer(scale, scale) / scale.sum())
+
+    def value(x):
+        return 0.5 * float(w @ np.maximum(0.0, 1 - p @ x) ** 2) + float(share @ x) + 0.5 * float(x @ bend @ x)
+
+    def slope(x):
+        return share + bend @ x - p.T @ (w * np.maximum(0.0, 1 - p @ x))
 
-    Minimised are the squared misses over each domain's own tokens, plus RIDGE times the squared distance of the
-    rates from 1 (by tokens): without it, a scarce domain that others barely overlap with would bend all rates.
-    A projected gradient step moves each rate along its posterior and back within its bounds. Steps are scaled by the
-    domains' Gram matrix over documents whose rate is free, so a few are enough; each is one aggregate over all
-    documents. A step that doesn't help is halved. A domain without tokens has no target.
-    """
-    k = len(DOMAINS)
-    p = lambda i: F.element_at("post", i + 1)
-    amount = lambda c: F.coalesce(F.sum(F.col("tokens") * c), F.lit(0.0))
-    there: np.ndarray | None = None
-    pull, move, best = np.zeros(k), np.zeros(k), (math.inf, np.zeros(k), {})
     for _ in range(STEPS):
-        rated = sums.withColumn("rate", rate_of(F.col("post"), pull.tolist()))
-        free = ((F.col("rate") > 0) & (F.col("rate") < HIGHEST)).cast("double")
-        row = rated.withColumn("free", free).agg(*(amount(F.col("rate") * p(i)) for i in range(k)), *(amount(F.col("free") * p(i) * p(j)) for i in range(k) for j in range(i, k))).first()
-        now, gram = np.array(row[:k]), np.zeros((k, k))
-        gram[np.triu_indices(k)] = row[k:]
-        gram = gram + np.triu(gram, 1).T
-        there = now if there is None else there
-        own = np.maximum(there, 1e-9)
-        off = np.where(there > 0, now - np.array(goals(targets, there.tolist())), 0.0)
-        wrong = (RIDGE * own * pull - off) / own
-        size = float(np.abs(wrong).max())
-        if size < best[0] * 0.999:
-            best = (size, pull, {d: float(o / a) for d, o, a in zip(DOMAINS, off, there, strict=True) if a > 0})
-            move = -np.linalg.solve(RIDGE * np.diag(own) + gram, wrong * own)
-        else:
-            move = move / 2
-        if size < CLOSE:
-            break
-        pull = best[1] + move
-    return best[1].tolist(), best[2]
+        wrong = slope(pull)
+        if np.abs(wrong).max() < DONE:
+            return pull
+        free = w * (p @ pull < 1)
+        move = -np.linalg.lstsq(p.T @ (free[:, None] * p) + bend, wrong, rcond=1e-15)[0]
+        size, now, down = 1.0, value(pull), float(wrong @ move)
+        while size > 1e-9 and value(pull + size * move) > now + 1e-4 * size * down + 1e-14 * (1 + abs(now)):
+            size /= 2
+        pull = pull + size * move
+    if np.abs(slope(pull)).max() < ENOUGH:  # as near as the numbers' precision allows
+        return pull
+    raise RuntimeError(f"rates did not converge: {np.abs(slope(pull)).max()} of all tokens off after {STEPS} steps")
+
+
+def fit(sums: DataFrame, targets: dict[str, float] = TARGETS) -> Fit:
+    """Fits rates to the targets as they are given. sums: post, tokens.
+
+    Minimised is the squared distance of the rates from 1 (by tokens) among the nonnegative rates that meet all
+    goals; tokens in all stay as many. Goals that no rates meet are missed by the least squares (over each goal).
+    It is solved over the dual, one number a domain, by Newton steps that are halved until they help. Raises
+    RuntimeError where that doesn't converge; misses are returned and logged.
+    """
+    rows = sums.groupBy("post").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").collect()
+    p, w = np.array([r["post"] for r in rows]).reshape(-1, len(DOMAINS)), np.array([r["tokens"] for r in rows], float)
+    total, share = float(w.sum()), np.array([targets[d] for d in DOMAINS], float)
+    share = share / share.sum()
+    if not total:
+        return Fit([0.0] * len(DOMAINS), dict.fromkeys(DOMAINS, 0.0), dict.fromkeys(DOMAINS, 0.0))
+    w, scale = w / total, np.maximum(share, 1e-3)
+    pull = _solved(p, w, share, scale)
+    off = p.T @ (w * np.maximum(0.0, 1 - p @ pull)) - share
+    miss = {d: float(o / s) for d, o, s in zip(DOMAINS, off, scale, strict=True)}
+    if max(map(abs, miss.values())) > CLOSE:
+        logging.getLogger(__name__).warning("targets %s are missed by (share of each goal) %s", targets, miss)
+    return Fit(pull.tolist(), {d: float(s * total) for d, s in zip(DOMAINS, share, strict=True)}, miss)
+
+
+def fit_rates(sums: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[float], dict[str, float]]:
+    """What rates end at, one number a domain, and the relative miss of each domain that remains. sums: post, tokens."""
+    found = fit(sums, targets)
+    return found.pull, found.miss
 
 
 def weighed(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -214,7 +224,8 @@ def sums_by_posterior(rows: DataFrame) -> DataFrame:
 
 
 def rates(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """One row for each row of docs: doc_id, tokens, post (array, in the order of DOMAINS), rate and copies. Texts are read once.
+    """One row for each row of docs: doc_id, tokens, post (array, in the order of DOMAINS), rate, copies, and the fit's goal
+    and miss of each domain (arrays, alike for all rows). Texts are read once.
 
     copies is the rate rounded down, and one more with the probability of what is left (by hash of the id, so
     equal ids fare alike). Null texts have no tokens. Without labels the posterior is that of the smoothed
@@ -222,14 +233,14 @@ def rates(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS
     """
     model = fit_classifier(labelled(docs, truth))
     rows = written(weighed(docs.select("doc_id", "text"), model).drop("text"), "weighed")
-    pull, _ = fit_rates(sums_by_posterior(rows), targets)
-    return with_copies(rows, pull)
+    found = fit(sums_by_posterior(rows), targets)
+    return with_copies(rows, found.pull).withColumns({"goal": _vector(list(found.goal.values())), "miss": _vector(list(found.miss.values()))})
 
 
 def repeated(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs, with their columns, as often as copies says. Rates are worked out anew beside each text, so no text is shuffled."""
+    """The rows of docs, with their columns, as often as copies says; misses are logged by fit(). Rates are worked out anew beside each text, so no text is shuffled."""
     model = fit_classifier(labelled(docs, truth))
-    pull, _ = fit_rates(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets)
+    pull = fit(sums_by_posterior(weighed(docs.select("doc_id", "text"), model)), targets).pull
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
     rows = with_copies(weighed(own, model), pull)
     # A filter on copies would be pushed below and copy all that copies is made of into itself; so rows without copies go after the explode.
@@ -238,6 +249,6 @@ def repeated(docs: DataFrame, truth: DataFrame, targets: dict[str, float] = TARG
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, the posterior of each domain, rate and copies of every document."""
+    """doc_id, tokens, the posterior of each domain, rate and copies of every document; goal and miss of each domain."""
     rows = rates(documents(spark, sf_dir), labels(spark, sf_dir))
-    return rows.select("doc_id", "tokens", *(F.element_at("post", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
+    return rows.select("doc_id", "tokens", *(F.element_at("post", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies", *(F.element_at(c, i + 1).alias(f"{c}_{d}") for c in ("goal", "miss") for i, d in enumerate(DOMAINS)))

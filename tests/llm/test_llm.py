@@ -245,6 +245,25 @@ def test_rates_meet_targets(spark):
     assert min(rates) >= 0 and math.isclose(sum(n * r * p[2] for (p, n), r in zip(rows, rates, strict=True)), 50, abs_tol=5)
 
 
+def test_feasible_targets_are_met_as_given(spark):
+    rows = [([0.9, 0.1, 0.0], 600.0), ([0.2, 0.8, 0.0], 300.0), ([0.0, 0.1, 0.9], 100.0)]
+    for targets in ({"high": 0.8, "low": 0.15, "toxic": 0.05}, {"high": 0.2, "low": 0.2, "toxic": 0.6}):  # rates up to 6.7
+        sums = spark.createDataFrame(rows, "post array<double>, tokens double")
+        steps, miss = mixing.fit_rates(sums, targets)
+        assert max(map(abs, miss.values())) < 1e-5
+        rates = [r[0] for r in sums.select(mixing.rate_of(F.col("post"), steps)).collect()]
+        have = [sum(n * r * p[k] for (p, n), r in zip(rows, rates, strict=True)) for k in range(3)]
+        assert min(rates) >= 0 and all(math.isclose(h, 1000 * targets[d], abs_tol=1e-2) for h, d in zip(have, mixing.DOMAINS, strict=True))
+
+
+def test_targets_out_of_reach_are_told_of(spark, caplog):
+    sums = spark.createDataFrame([([0.9, 0.1, 0.0], 600.0), ([0.2, 0.7, 0.1], 400.0)], "post array<double>, tokens double")
+    found = mixing.fit(sums, {"high": 0.3, "low": 0.3, "toxic": 0.4})
+    assert found.goal == pytest.approx({"high": 300, "low": 300, "toxic": 400}) and found.miss["toxic"] < -0.5 and "missed" in caplog.text
+    rates = [r[0] for r in sums.select(mixing.rate_of(F.col("post"), found.pull)).collect()]
+    assert math.isclose(600 * rates[0] + 400 * rates[1], 1000, rel_tol=1e-6)
+
+
 def test_mixing_tells_domains_apart(spark):
     rng = random.Random(1)
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "do"]
