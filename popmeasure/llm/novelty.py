@@ -29,8 +29,13 @@ KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: A candidate: at least 16 token characters with digits and letters. Its context: a sensitive word at most REACH characters before it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: at least 16 token characters with digits and letters, "=" at its end only. Its context: a sensitive word, or the end of
+#: a reported string, at most REACH characters before it. What joins a word to its value within a token is not part of the value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+TOKEN, JOINTS = re.compile(r"[A-Za-z0-9+/_-]"), re.compile(r"[_-]*")
+#: A private key's block: every line of its body is measured, whatever its distance from a sensitive word.
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?=-----END |\Z)", re.DOTALL)
+LINE = re.compile(r"[A-Za-z0-9+/]{4,}={0,2}")
 CONTEXT_WORDS = ("auth", "bearer", "credential", "passphrase", "private", "apikey", "api_key", "api-key", "access_key", "access-key", "client_id", "secret", "token", "password", "passwd", "pwd", "signature", "session")
 SENSITIVE = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.IGNORECASE | re.ASCII)
 REACH, AROUND, RARE = 40, 400, 0.62
@@ -72,26 +77,49 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _block_spans(text: str) -> list[tuple[int, int]]:
+    """Lines of private keys' bodies. The body is measured as a whole: a short last line alone says too little."""
+    out = []
+    for block in BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
+        tokens = [(block.start(1) + m.start(), block.start(1) + m.end()) for m in LINE.finditer(block[1])]
+        # Header lines such as "Proc-Type: 4,ENCRYPTED" have short tokens before the first long one.
+        while tokens and tokens[0][1] - tokens[0][0] < 16:
+            tokens.pop(0)
+        body = "".join(text[a:b] for a, b in tokens)
+        if body and novelty(text[max(0, block.start() - AROUND) : block.start(1)], body, "") >= RARE:
+            out += tokens
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further spans: candidates in a sensitive context that overlap no fixed span and whose novelty is at least RARE."""
-    low, out, seen = text.lower(), [], -1
+    low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
-        return out
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen), word.end() + REACH + 200):
-            if m.start() > word.end() + REACH:
+        return []
+    found = dict.fromkeys(s for s in _block_spans(text) if not any(a < s[1] and s[0] < b for a, _, b in taken))
+    held = sorted([(a, b) for a, _, b in taken] + list(found))
+    tried, contexts = set(), [m.end() for m in SENSITIVE.finditer(text)][::-1]
+    while contexts:
+        at = contexts.pop()
+        limit = at + REACH
+        start = joined = JOINTS.match(text, at).end()  # a value joined to the word: measured without the word
+        while m := CANDIDATE.search(text, start):
+            if m.start() > limit:
                 break
-            seen = m.end()
-            end = CANDIDATE.match(text, m.start()).end()  # whole, however long
-            token = text[m.start() : end]
-            if m.start() and CANDIDATE.match("x" * 15 + text[m.start() - 1]) or not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)):
+            a, b = m.span()
+            start = b
+            # Not from within a longer token, unless that begins with the word and what joins it.
+            if a and not at < joined == a and TOKEN.match(text[a - 1]) or (a, b) in tried:
                 continue
-            if any(a < end and m.start() < b for a, _, b in taken):
+            tried.add((a, b))
+            token = text[a:b]
+            if not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)) or any(x < b and a < y for x, y in held):
                 continue
-            if novelty(text[max(0, m.start() - AROUND) : m.start()], token, text[end : end + AROUND]) >= RARE:
-                out.append((m.start(), 3, end))
-            seen = end
-    return out
+            if novelty(text[max(0, a - AROUND) : a], token, text[b : b + AROUND]) >= RARE:
+                found[a, b] = None
+                held.append((a, b))
+                contexts.append(b)
+    return [(a, 3, b) for a, b in sorted(found)]
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
