@@ -12,17 +12,14 @@ reduced to a star (at most one link less than members), so no group of copies em
 
 from __future__ import annotations
 
-import math
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, written
+from .common import documents, dropped, partitions, ready, written
 from .components import components
 
 SEED = 42
@@ -134,18 +131,39 @@ def linked(keys: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def fingerprint_links(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
-    """nodes: distinct fp. Returns a, b: links whose components are those of all pairs within max_distance."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = linked(pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), max_distance)
-        pairs = np.unique(np.stack([a.view(np.int64), b.view(np.int64)]), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    """nodes: distinct fp. Returns a, b: links whose components are those of all pairs within max_distance.
 
+    Members of a key with more than WIDE of them are not compared at once: they meet again under sub-keys, one for each of
+    max_distance + 1 pieces of the whole fingerprint, one of which any linked pair has alike. So no key holds a task up.
+    """
     spark = nodes.sparkSession
     rows = nodes.count() * (64 + max_distance // 2 + 1)
     buckets = max(4 * partitions(spark), rows // 100_000 + 1)
+
+    def compared(own: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+        a, b = linked(own, fps.view(np.uint64), max_distance)
+        pairs = np.unique(np.stack([a.view(np.int64), b.view(np.int64)]), axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1], "key": pd.array([None] * pairs.shape[1], "Int64")})
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        many = pdf.groupby("key")["key"].transform("size").to_numpy() > WIDE
+        few, rest = pdf[~many], pdf[many]
+        found = compared(few["key"].to_numpy(), few["fp"].to_numpy())
+        return pd.concat([found, pd.DataFrame({"a": rest["fp"], "b": rest["fp"], "key": rest["key"].astype("Int64")})]) if len(rest) else found
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return compared(pdf["key"].to_numpy(), pdf["fp"].to_numpy())[["a", "b"]]
+
     keyed = nodes.select("fp", F.explode(index_keys("fp", max_distance)).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInPandas(run, "a long, b long")
+    found = written(keyed.groupBy("bucket").applyInPandas(first, "a long, b long, key long"), "fingerprint-links")
+    wide, links = found.where("key is not null"), found.where("key is null").select("a", "b")
+    if wide.isEmpty():
+        return links
+    cuts = np.linspace(0, 64, max_distance + 2).astype(int).tolist()
+    piece = lambda low, high: F.shiftrightunsigned(F.col("a"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+    subs = F.array(*(F.xxhash64("key", F.lit(j), piece(low, high)) for j, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
+    parts = wide.select(F.col("a").alias("fp"), F.explode(subs).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    return links.union(parts.groupBy("bucket").applyInPandas(again, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
@@ -155,226 +173,20 @@ def near_copies(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> Dat
     component_id, which is null where all are. Repeated rows stay, with the same values. An empty table
     gives an empty result. Other columns of docs are not read.
     """
+    ready(docs.sparkSession)
     prints = written(fingerprints(docs, shingle), "simhash")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = written(first, "simhash-nodes")
     roots = components(fingerprint_links(nodes.select("fp"), max_distance))
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.select("fp", "root").join(least, "root").select(F.col("fp").alias("node"), "component_id")
+    member = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    # Written first: then both sides of the join are plain shuffles, and Spark splits the root of a very large component.
+    least = written(member.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"), "simhash-least")
+    named = written(member.join(least, F.col("root") == F.col("__root")).select(F.col("fp").alias("node"), "component_id"), "simhash-named")
+    dropped(nodes, member, least)
     return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal) and component_id of every document; odd rows as in near_copies()."""
     found = near_copies(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: 64-bit lanes of the fingerprints that near_stars() takes.
-LANES = 3
-
-
-def near_stars(values: np.ndarray, group: np.ndarray, most: int, hold: int = 50_000) -> np.ndarray:
-    """For each member the least member that links within its group (contiguous) reach. Links are folded in as they are found, so their number doesn't matter."""
-    least = np.arange(len(values))
-    at, step, a, b, held = np.arange(len(values) - 1), 1, [], [], 0
-
-    def fold():
-        x, y = np.concatenate(a), np.concatenate(b)
-        while True:
-            low = np.minimum(least[x], least[y])
-            np.minimum.at(least, least[x], low)
-            np.minimum.at(least, least[y], low)
-            least[:] = least[least]
-            if np.array_equal(least[x], least[y]):
-                return
-
-    while len(at := at[at + step < len(values)]) and len(at := at[group[at] == group[at + step]]):
-        apart = at[least[at] != least[at + step]]
-        hit = apart[np.bitwise_count(values[apart] ^ values[apart + step]).sum(axis=1) <= most]
-        a.append(hit)
-        b.append(hit + step)
-        held += len(hit)
-        if held > hold:
-            fold()
-            a, b, held = [], [], 0
-        step += 1
-    if held:
-        fold()
-    while not np.array_equal(least, least[least]):
-        least = least[least]
-    return least
-
-
-# Near copies by exact similarity of word shingles: prefix filter for candidates, every candidate verified on the sets.
-
-#: Documents (in expectation) whose shingles are counted to order them, and how many of the commonest are kept.
-SAMPLE, COMMON = 20_000, 200_000
-#: Rounds in which candidates are only compared with one member under each key, and bits of the filter of candidates.
-STARS, FILTER = 2, 1 << 24
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles."""
-    return np.unique(np.array(shingle_hashes(words_of(text), size), np.uint64))
-
-
-def set_id(values: np.ndarray) -> int:
-    """One signed long for equal sets."""
-    return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63)
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that several documents of a sample have, rarest first. They only order shingles, so any sample gives right results."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["key"])
-
-    every = max(1, math.ceil(docs.count() / SAMPLE))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    seen = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    top = seen.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    return top.column("key").to_numpy()[::-1].view(np.uint64).copy()
-
-
-def prefix(values: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: Fraction) -> np.ndarray:
-    """The first shingles in the order of all (rare ones by hash, then common ones by rank): two sets that are similar enough share one of them."""
-    ordered, rank = common
-    place = np.zeros(len(values), np.int64)
-    if len(ordered):
-        at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-        place = np.where(ordered[at] == values, rank[at] + 1, 0)
-    return values[np.lexsort((values, place))][: len(values) - math.ceil(least * len(values)) + 1] if len(values) else values
-
-
-def prefixes(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, id (of the set), size and prefix of each row of docs."""
-    ranked = common_shingles(docs, shingle)
-    order = np.argsort(ranked)
-    common = (ranked[order], order)
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "id", "size", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, size int, prefix array<long>")
-
-
-def meeting(nodes: DataFrame) -> DataFrame:
-    """key, id, size, at (place in the prefix) where several nodes have the key."""
-    rows = nodes.select("id", "size", F.posexplode("prefix").alias("at", "key"))
-    several = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select(F.col("key").alias("__key"))
-    return rows.join(several, F.col("key") == F.col("__key"), "left_semi").select("key", "id", "size", "at")
-
-
-def may_match(least: Fraction) -> Column:
-    """Whether a pair that shares a shingle at given places of the order can reach the similarity: sizes alike, and enough shingles left."""
-    num, den = least.numerator, least.denominator
-    sizes = (F.col("size") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size") * num)
-    # Not the first that they share: then what precedes counts as well, but the first is itself among the keys and passes.
-    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
-    return sizes & (left * (num + den) >= (F.col("size") + F.col("size_b")) * num)
-
-
-def with_roots(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return shared.withColumn("root", F.col("id"))
-    return shared.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("id") == F.col("__node"), "left").select(*shared.columns, F.coalesce("__root", "id").alias("root"))
-
-
-def star_pairs(rows: DataFrame, turn: int, least: Fraction) -> DataFrame:
-    """Pairs a, b of each member and one (by hash) under the same key."""
-    b = rows.groupBy("key").agg(F.min_by(F.struct("id", "size", "at", "root"), F.struct(F.xxhash64(F.lit(turn), "id"), "id")).alias("b")).select(F.col("key").alias("__key"), "b")
-    met = rows.join(b, F.col("key") == F.col("__key")).select("id", "size", "at", "root", F.col("b.id").alias("id_b"), F.col("b.size").alias("size_b"), F.col("b.at").alias("at_b"), F.col("b.root").alias("root_b"))
-    return met.where((F.col("root") != F.col("root_b")) & may_match(least)).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-
-
-def open_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
-    """All pairs a, b under a key that are not in the same group yet. A key's largest group meets only those outside it."""
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("key").alias("__key"), "main")
-    kept = rows.join(most, F.col("key") == F.col("__key")).select("key", "id", "size", "at", "root", "main")
-    other = kept.where("root <> main").select(F.col("key").alias("key_b"), F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-    met = kept.join(other, F.col("key") == F.col("key_b")).where((F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("id_b"))) & may_match(least))
-    return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-
-
-def candidate_sets(docs: DataFrame, shared: DataFrame, shingle: int) -> DataFrame:
-    """id, set (hashes as bytes) of the nodes in shared. A bit filter of fixed size keeps most other sets from the shuffle."""
-    spark = docs.sparkSession
-    bit = shared.select(F.pmod(F.col("id"), F.lit(FILTER)).alias("bit"))
-    place = F.floor(F.col("bit") / 32768).cast("int")
-    held = np.zeros(FILTER // 8, np.uint8)
-    for r in bit.groupBy(place.alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).toLocalIterator():
-        held[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = spark.sparkContext.broadcast(held)
-
-    def run(batches):
-        held = sent.value
-        for batch in batches:
-            ids, sets = [], []
-            for t in batch.column(0):
-                s = shingle_set(t.as_py(), shingle)
-                k = set_id(s)
-                if held[k % FILTER >> 3] >> (k % FILTER & 7) & 1:
-                    ids.append(k)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    return docs.select("text").mapInArrow(run, "id long, set binary").groupBy("id").agg(F.first("set").alias("set")).join(shared.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs a, b whose sets have at least this similarity, exactly."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(same * least.denominator >= (len(both) - same) * least.numerator)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = (sets.select(F.col("id").alias(f"id_{n}"), F.col("set").alias(f"set_{n}")) for n in "ab")
-    met = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of each row of docs, where texts link if the sets of their word shingles have this
-    similarity (Jaccard) or more. Nulls, repeated rows and empty tables as in near_copies().
-
-    Exact: similar sets share a shingle of their prefixes, so they meet under its key. In the first rounds members
-    under a key are compared with one of them; then all pairs that meet and are not in one group yet are compared.
-    So a pair is left out only if it is in one group already.
-    """
-    least = Fraction(str(similarity))
-    prints = written(prefixes(docs, shingle, least), "prefixes")
-    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "prefix-nodes")
-    shared = written(meeting(nodes), "meeting")
-    sets = written(candidate_sets(docs, shared, shingle), "sets")
-    links, roots = None, None
-    for turn in range(STARS + 1):
-        rows = with_roots(shared, roots)
-        pairs = star_pairs(rows, turn, least) if turn < STARS else open_pairs(rows, least)
-        found = written(verified(pairs, sets, least), "similar")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "similar-roots")
-    member = nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    groups = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.select(F.col("id").alias("node"), "root").join(groups, "root").select("node", "component_id")
-    return prints.select("doc_id", "id").join(named, prints["id"] == named["node"]).select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of similar ones: the one with the smallest doc_id. Columns as in docs."""
-    groups = similar_groups(docs, shingle, similarity)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from popmeasure.llm import bpe, components, digest, language, mixing, novelty, pseudonyms, quality, repeats, sharding, simhash
+from popmeasure.llm import bpe, components, digest, language, mixing, novelty, pseudonyms, quality, repeats, sharding, shingles, similar, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,7 +64,7 @@ def test_empty_tables(awkward, truth, name):
     assert OPERATORS[name](awkward.where("false"), truth.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("run", [lambda d, t: quality.passing(d, t), lambda d, t: simhash.one_of_each(d), lambda d, t: novelty.redacted(d), lambda d, t: mixing.repeated(d, t)])
+@pytest.mark.parametrize("run", [lambda d, t: quality.passing(d, t), lambda d, t: similar.one_of_each(d), lambda d, t: novelty.redacted(d), lambda d, t: mixing.repeated(d, t)])
 def test_stages_keep_columns(awkward, truth, run):
     assert run(awkward, truth).columns == awkward.columns
     assert run(awkward.where("false"), truth).collect() == []
@@ -390,6 +390,13 @@ def test_links_reach_all_within_the_distance(spark, monkeypatch, wide):
     values = {center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
     v = np.array(sorted(values), np.uint64)
     a, b = simhash.linked(np.zeros(len(v), np.int64), v, 3)
+    nodes = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    spread = [(r["a"], r["b"]) for r in simhash.fingerprint_links(nodes).collect()]
+    for a, b in ((a, b), np.array(spread, np.int64).T.view(np.uint64)):
+        check_links(v, a, b)
+
+
+def check_links(v, a, b):
     part = {int(x): int(x) for x in v}
 
     def root(x):
@@ -403,6 +410,24 @@ def test_links_reach_all_within_the_distance(spark, monkeypatch, wide):
         for y in part:
             if (x ^ y).bit_count() <= 3:
                 assert root(x) == root(y)
+    assert all((int(x) ^ int(y)).bit_count() <= 64 for x, y in zip(a, b, strict=True))
+
+
+def test_window_hashes_tell_windows_apart():
+    texts = [b"a b c d e f", b"  A b\tC d\n e f ", b"a b", b"", b" \n", b"a b c d e", b"ab c d e f", "é è ê ë ē".encode(), b"x" * 3000 + b" y"]
+    got = shingles.window_hashes(texts, 5)
+    assert [len(g) for g in got] == [2, 2, 1, 0, 0, 1, 1, 1, 1]
+    assert got[0].tolist() == got[1].tolist() and got[0][0] == got[5][0]
+    assert len({int(x) for g in got for x in g}) == 6
+    assert [len(g) for g in shingles.window_hashes([], 5)] == []
+    rng = random.Random(3)
+    many = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    own = collections.defaultdict(set)
+    for text, hashes in zip(many, shingles.window_hashes([t.encode() for t in many], 3), strict=True):
+        words = text.split()
+        for k, h in enumerate(hashes.tolist()):
+            own[tuple(words[k : k + 3])].add(h)
+    assert all(len(v) == 1 for v in own.values()) and len({next(iter(v)) for v in own.values()}) == len(own)
 
 
 def test_components_of_a_long_path(spark):
@@ -424,18 +449,10 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
         rows.append((10 * k + 1, " ".join(copy)))
         rows.append((10 * k + 2, " ".join(text).upper()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
     assert all(got[10 * k] == got[10 * k + 2] == 10 * k for k in range(40))
     assert sum(got[10 * k + 1] == 10 * k for k in range(40)) >= 38
-    assert [r["doc_id"] for r in simhash.one_of_each(df).where("doc_id % 10 = 2").collect()] == []
-
-
-def test_stars_of_one_large_group():
-    rng = np.random.default_rng(1)
-    center = rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64)
-    values = np.repeat(center[None], 3000, axis=0)
-    values[:, 0] ^= np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64)
-    assert (simhash.near_stars(values, np.zeros(3000), 4, hold=1000) == 0).all()
+    assert [r["doc_id"] for r in similar.one_of_each(df).where("doc_id % 10 = 2").collect()] == []
 
 
 def test_similar_groups_are_those_of_exact_similarity(spark):
@@ -473,5 +490,5 @@ def test_similar_groups_are_those_of_exact_similarity(spark):
                 x, y = sorted((root(a), root(b)))
                 least[y] = x
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
     assert near > 200 and got == {k: root(k) for k in range(len(texts))}
