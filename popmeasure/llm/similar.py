@@ -8,10 +8,15 @@ meet under its key by an equality join. A pair is left unverified only if other
 
 1. One pass makes each text's set, its fingerprint and its prefix. Equal sets are one node from here on.
 2. Keys that two nodes have are kept; nodes without such a key are alone and cost nothing more.
-3. Pairs of nodes with linked fingerprints are verified (join to the sets, intersection in the JVM).
+3. Pairs of nodes with linked fingerprints are verified.
 4. Under each key, every node is compared with one of them, and the groups are formed anew.
 5. All pairs under a key that are in different groups still are compared; a key's largest group meets only those outside it.
 
+To verify pairs, first their parity sketches are compared (a bit for each cell of hashes, whether it holds an odd number of
+the set's members): two sketches differ in no more bits than the sets have members apart, so a pair that differs in more
+bits than the similarity leaves room for is none, exactly. What is left, few pairs but similar ones, is joined to the sets
+of just these nodes, and the JVM intersects them.
+
 Fixed-size bit filters keep rows that can't match from being shuffled; false positives are removed by exact joins.
 """
 
@@ -76,12 +81,27 @@ def prefix(values: np.ndarray, common: np.ndarray, least: Fraction) -> np.ndarra
     return values[order[: len(values) - math.ceil(least * len(values)) + 1]] if len(values) else values
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """The parity of the number of members in each of at least 64 cells, about as many cells (a power of two) as members."""
+    cells = 1 << max(6, (len(values) - 1).bit_length())
+    odd = np.bincount((values >> np.uint64(20) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one a row) over fewer cells: those that fall together are added up."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def row_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, row (hash of the text), id (of the set), size, fp and prefix of each row of docs."""
+    """doc_id, row (hash of the text), id (of the set), size, fp, sketch and prefix of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(how_common(docs, shingle))
 
     def run(batches):
@@ -93,12 +113,12 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 firsts = [prefix(s, common, least).view(np.int64) for s in sets]
                 ends = np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-                own = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([majority(h) for h in hashes], pa.int64()), lists]
+                own = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), lists]
                 rows = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *own], names=["doc_id", "row", "id", "size", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *own], names=["doc_id", "row", "id", "size", "fp", "sketch", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, sketch binary, prefix array<long>")
 
 
 def bit_filter(values: DataFrame) -> np.ndarray:
@@ -220,12 +240,41 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame
     return rows.join(nodes.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs a, b whose sets have at least this similarity, exactly."""
+def plausible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs a, b whose sketches leave room for the similarity."""
+    num, den = least.numerator, least.denominator
+
+    def run(batches):
+        for batch in batches:
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            room = (batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()) * (den - num) // (den + num)
+            alike, keep = {}, np.zeros(len(one), bool)
+            for k, (x, y) in enumerate(zip(one, two, strict=True)):
+                alike.setdefault((len(x), len(y)), []).append(k)
+            for (m, n), at in alike.items():
+                x = np.frombuffer(b"".join(one[k] for k in at), np.uint8).reshape(-1, m)
+                y = np.frombuffer(b"".join(two[k] for k in at), np.uint8).reshape(-1, n)
+                apart = np.bitwise_count(folded(x, min(m, n)) ^ folded(y, min(m, n))).sum(axis=1, dtype=np.int64)
+                keep[at] = apart <= room[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    one, two = (nodes.select(F.col("id").alias(f"id_{n}"), F.col("sketch").alias(f"sketch_{n}"), F.col("size").alias(f"size_{n}")) for n in "ab")
+    met = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    return met.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The pairs a, b of nodes whose sets have at least this similarity, exactly. Written, as all tables on the way there."""
+    pairs = written(plausible(pairs, nodes, least), "plausible")
+    ends = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
+    own = written(nodes.select("id", "first").join(ends, F.col("id") == F.col("__id"), "left_semi"), "plausible-nodes")
+    sets = written(candidate_sets(docs, own, shingle), "sets")
     one, two = (sets.select(F.col("id").alias(f"id_{n}"), F.col("set").alias(f"set_{n}")) for n in "ab")
     met = pairs.join(one, F.col("a") == F.col("id_a")).select("a", "b", "set_a").join(two, F.col("b") == F.col("id_b"))
     same, num, den = F.size(F.array_intersect("set_a", "set_b")), least.numerator, least.denominator
-    return met.where(same * (num + den) >= (F.size("set_a") + F.size("set_b")) * num).select("a", "b")
+    out = written(met.where(same * (num + den) >= (F.size("set_a") + F.size("set_b")) * num).select("a", "b"), "similar")
+    dropped(pairs, own, sets)
+    return out
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -239,14 +288,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     least = Fraction(str(similarity))
     ready(docs.sparkSession)
     prints = written(prints_of(docs, shingle, least), "prefixes")
-    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "prefix-nodes")
+    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch"))), "prefix-nodes")
     shared = meeting(prints)
     some = written(nodes.join(shared.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi"), "meeting-nodes")
-    sets = written(candidate_sets(docs, some, shingle), "sets")
     found, roots = [], None
     for propose in (lambda _: print_pairs(some.select("id", "fp")), lambda r: star_pairs(r, least), lambda r: open_pairs(r, least)):
         pairs = propose(with_roots(shared, roots) if roots is not None else None)
-        new = written(verified(pairs, sets, least), "similar")
+        new = verified(docs, pairs, some, shingle, least)
         dropped(pairs)
         found.append(new)
         if roots is not None:
@@ -256,7 +304,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             new = new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         before, roots = roots, written(components(new), "similar-roots")
         dropped(*([before] if before is not None else []))
-    dropped(shared, some, sets, *found)
+    dropped(shared, some, *found)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     member = prints.select("doc_id", "row", "id").join(roots.withColumnRenamed("root", "__root"), F.col("id") == F.col("node"), "left").select("doc_id", "row", F.coalesce("__root", "id").alias("root"))
     member = written(member, "members")

@@ -455,6 +455,17 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert [r["doc_id"] for r in similar.one_of_each(df).where("doc_id % 10 = 2").collect()] == []
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 63, 64, 65, 700, 3000):
+        for gone, more in ((0, 0), (n // 10, n // 7), (n, 3 * n)):
+            values = np.unique(rng.integers(0, 2**63, n + more + 1).astype(np.uint64))
+            a, b = values[:n], values[gone : n + more]
+            x, y = (np.frombuffer(similar.sketch(s), np.uint8)[None] for s in (a, b))
+            width = min(x.shape[1], y.shape[1])
+            assert int(np.bitwise_count(similar.folded(x, width) ^ similar.folded(y, width)).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_similar_groups_are_those_of_exact_similarity(spark):
     rng = random.Random(12)
     sets = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))}
