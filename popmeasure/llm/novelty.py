@@ -2,11 +2,15 @@
 
 Fixed kinds are assign, access and hex. The kind novel holds further strings: tokens near a sensitive word,
 whose marginal cost is measured. The text before and after the token is compressed with zstandard, primed
-with a dictionary of identifiers and common words, once with and once without the token; the difference, in
-bytes, for each byte of the token is its novelty. Identifiers, words and strings that the surroundings
-repeat cost little; random keys cost near their full entropy and are reported.
+with a dictionary, once with and once without the token; the difference, in bytes, for each byte of the token
+is its novelty. Identifiers, words and strings that the surroundings repeat cost little; random keys cost near
+their full entropy and are reported.
 
-Each text is handled by itself: one pass over the table, without any shuffle.
+The dictionary holds general names of code and configuration, and before them what the table itself uses: its
+most frequent long words, counted over the texts of all rows. Words with digits are left out, so that a key that
+many copies of a text share doesn't become known. Its size is fixed.
+
+One pass counts words (combined before the only shuffle), one pass measures; each text is handled by itself.
 """
 
 from __future__ import annotations
@@ -53,15 +57,33 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 000000000000000
 """
 
 
-@lru_cache(maxsize=1)
-def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+#: Words of the table that the dictionary has at most, characters of them in all, and rows that must have a word.
+WORDS, SIZE, ROWS = 4_000, 48_000, 3
+GENERAL = IDENTIFIERS.encode()
+
+
+def dictionary(docs: DataFrame) -> bytes:
+    """The table's most frequent long words (by rows times length, then by name), the most frequent nearest to the end, and the general names after them."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_]{8,40}"), F.lit(0)))).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= ROWS)
+    top, size = [], 0
+    for r in often.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(WORDS).collect():
+        size += len(r["word"]) + 1
+        if size <= SIZE:
+            top.append(r["word"])
+    return " ".join(reversed(top)).encode() + GENERAL
+
+
+@lru_cache(maxsize=2)
+def _compressor(known: bytes) -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=6)
     return zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(before: str, token: str, after: str) -> float:
+def novelty(before: str, token: str, after: str, known: bytes = GENERAL) -> float:
     """Bytes that the token adds to its compressed surroundings, for each of its own bytes."""
-    size = lambda text: len(_compressor().compress(text.encode()))
+    size = lambda text: len(_compressor(known).compress(text.encode()))
     return (size(before + " " + after + " " + token) - size(before + " " + after)) / max(1, len(token.encode()))
 
 
@@ -77,7 +99,7 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _block_spans(text: str) -> list[tuple[int, int]]:
+def _block_spans(text: str, known: bytes) -> list[tuple[int, int]]:
     """Lines of private keys' bodies. The body is measured as a whole: a short last line alone says too little."""
     out = []
     for block in BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
@@ -86,17 +108,17 @@ def _block_spans(text: str) -> list[tuple[int, int]]:
         while tokens and tokens[0][1] - tokens[0][0] < 16:
             tokens.pop(0)
         body = "".join(text[a:b] for a, b in tokens)
-        if body and novelty(text[max(0, block.start() - AROUND) : block.start(1)], body, "") >= RARE:
+        if body and novelty(text[max(0, block.start() - AROUND) : block.start(1)], body, "", known) >= RARE:
             out += tokens
     return out
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], known: bytes = GENERAL) -> list[tuple[int, int, int]]:
     """Further spans: candidates in a sensitive context that overlap no fixed span and whose novelty is at least RARE."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = dict.fromkeys(s for s in _block_spans(text) if not any(a < s[1] and s[0] < b for a, _, b in taken))
+    found = dict.fromkeys(s for s in _block_spans(text, known) if not any(a < s[1] and s[0] < b for a, _, b in taken))
     held = sorted([(a, b) for a, _, b in taken] + list(found))
     tried, contexts = set(), [m.end() for m in SENSITIVE.finditer(text)][::-1]
     while contexts:
@@ -115,19 +137,19 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             token = text[a:b]
             if not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)) or any(x < b and a < y for x, y in held):
                 continue
-            if novelty(text[max(0, a - AROUND) : a], token, text[b : b + AROUND]) >= RARE:
+            if novelty(text[max(0, a - AROUND) : a], token, text[b : b + AROUND], known) >= RARE:
                 found[a, b] = None
                 held.append((a, b))
                 contexts.append(b)
     return [(a, 3, b) for a, b in sorted(found)]
 
 
-def scan(text: str | None) -> list[tuple[int, int, int]]:
+def scan(text: str | None, known: bytes = GENERAL) -> list[tuple[int, int, int]]:
     """All spans of a text in order of start, then kind. Offsets are code points; the end is exclusive."""
     if not text:
         return []
     fixed = fixed_spans(text)
-    return sorted(fixed + novel_spans(text, fixed))
+    return sorted(fixed + novel_spans(text, fixed, known))
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -138,21 +160,23 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id and secrets (array of kind, start, end) of each row of docs, in order of start, then kind.
 
     Null and empty texts have none. Repeated rows stay, an empty table stays empty, other columns are not read.
+    Of spans that begin alike, the kinds' order decides.
     """
     ready(docs.sparkSession)
+    known = dictionary(docs)
 
     def run(batches):
         for batch in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t.as_py())] for t in batch.column(1)]
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t.as_py(), known)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(SPAN))], names=["doc_id", "secrets"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, secrets {SPANS}")
 
 
-def hidden(text: str) -> str:
+def hidden(text: str, known: bytes = GENERAL) -> str:
     """text with each secret replaced by <secret>; spans that overlap are one."""
     out, last = [], 0
-    for a, _, b in scan(text):
+    for a, _, b in scan(text, known):
         if a >= last:
             out += [text[last:a], "<secret>"]
         last = max(last, b)
@@ -160,13 +184,17 @@ def hidden(text: str) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with secrets in text replaced by <secret>, and n_chars (where there is such a column) counted anew for texts that changed."""
+    """docs with secrets in text replaced by <secret>, and n_chars (where there is such a column) counted anew for texts that changed.
+
+    Null and empty texts stay as they are. Row by row: repeated rows and other columns, whatever their names, stay, and an empty table stays empty.
+    """
     ready(docs.sparkSession)
+    known = dictionary(docs)
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for batch in batches:
-            texts = [t if not t else hidden(t) for t in batch.column(at).to_pylist()]
+            texts = [t if not t else hidden(t, known) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     old = docs.withColumn("__length", F.length("text"))
@@ -177,6 +205,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, how many spans each fixed kind has, their digest, all spans, and how many are novel, of every document."""
     rows = secret_spans(documents(spark, sf_dir))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "novel")

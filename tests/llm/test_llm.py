@@ -315,6 +315,33 @@ def test_secrets_joined_to_their_word_and_private_keys_are_found():
     assert novelty.scan("session_configuration_default_1 and authenticationprovider2configuration in client_id_configuration_settings_1") == []
 
 
+def test_dictionary_is_learned_from_all_rows_and_keys_are_found(spark):
+    import zstandard
+
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(20, 44))) + "a7"
+    names = ["".join(rng.choice(["flux", "core", "gate", "user", "meter", "quanta", "relay", "vertex"]) for _ in range(4)) for _ in range(60)]
+    shared = key()
+    texts = [f"def {rng.choice(names)}(self): return {rng.choice(names)}_session {rng.choice(names)}" for _ in range(300)]
+    keys = [key() for _ in range(100)]
+    texts += [f"{rng.choice(names)} = {rng.choice(names)}\n{rng.choice(['bearer ', 'auth: ', 'session=', 'credential '])}{k}\n{rng.choice(names)}" for k in keys]
+    texts += [f"bearer {shared} again"] * 50
+    texts += [f"session {n}_{k}_{m}" for k, (n, m) in enumerate(zip(names, reversed(names), strict=True))]
+    docs = docs_of(spark, texts)
+    known = novelty.dictionary(docs)
+    assert shared.encode() not in known and sum(n.encode() in known for n in names) > 50
+    got = {r["doc_id"]: r["secrets"] for r in novelty.secret_spans(docs).collect()}
+    found = sum(any(texts[i][s["start"] : s["end"]].strip("=") in keys[i - 300] and s["end"] - s["start"] > 15 for s in got[i]) for i in range(300, 400))
+    assert found >= 90 and all(got[i] for i in range(400, 450))
+    false = sum(bool(got[i]) for i in [*range(300), *range(450, 510)])
+    assert false <= 3, false
+    assert {r["doc_id"] for r in novelty.redacted(docs).where("text like '%<secret>%'").collect()} == {i for i, s in got.items() if s}
+    plain = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    cost = (len(plain.compress(f"x = 1  y {keys[0]}".encode())) - len(plain.compress(b"x = 1  y"))) / len(keys[0])
+    assert novelty.novelty("x = 1 ", keys[0], "y", known) == pytest.approx(cost, abs=0.08)
+
+
 # Pseudonyms
 
 
