@@ -9,7 +9,7 @@ meet under its key by an equality join. A pair is left unverified only if other
 1. One pass makes each text's set, its fingerprint and its prefix. Equal sets are one node from here on.
 2. Keys that two nodes have are kept; nodes without such a key are alone and cost nothing more.
 3. Pairs of nodes with linked fingerprints are verified.
-4. Under each key, every node is compared with one of them, and the groups are formed anew.
+4. Under each key, nodes are compared with a centre, and the groups are formed anew; again with others while that links many.
 5. All pairs under a key that are in different groups still are compared; a key's largest group meets only those outside it.
 
 To verify pairs, first their parity sketches are compared (a bit for each cell of hashes, whether it holds an odd number of
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, ready, written
@@ -40,6 +41,8 @@ from .simhash import SEED, fingerprint_links
 EVERY = 16
 #: Cells of the table of how common shingles are, and bits of a filter. Both sizes are fixed.
 CELLS, BITS = 1 << 22, 1 << 26
+#: Turns in which nodes are compared with centres at most, centres of a key in a turn, and the share of nodes that a turn must link for another one to follow.
+TURNS, TRIES, FEW = 3, 4, 0.01
 #: Bits that fingerprints of proposed pairs may differ in.
 DISTANCE = 3
 
@@ -88,6 +91,17 @@ def sketch(values: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
+def short_sketch(values: np.ndarray) -> np.ndarray:
+    """The same over 512 cells for all sets, as eight longs."""
+    odd = np.bincount((values >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def room(size: str, other: str, least: Fraction) -> Column:
+    """Members that sets of these sizes may have apart at most."""
+    return F.floor((F.col(size) + F.col(other)) * (least.denominator - least.numerator) / (least.denominator + least.numerator))
+
+
 def folded(rows: np.ndarray, width: int) -> np.ndarray:
     """Sketches (one a row) over fewer cells: those that fall together are added up."""
     while rows.shape[1] > width:
@@ -101,7 +115,7 @@ def row_hash() -> Column:
 
 
 def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, row (hash of the text), id (of the set), size, fp, sketch and prefix of each row of docs."""
+    """doc_id, row (hash of the text), id (of the set), size, fp, sketches and prefix of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(how_common(docs, shingle))
 
     def run(batches):
@@ -113,12 +127,12 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 firsts = [prefix(s, common, least).view(np.int64) for s in sets]
                 ends = np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-                own = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), lists]
+                own = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([majority(h) for h in hashes], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([short_sketch(s) for s in sets], pa.list_(pa.int64())), lists]
                 rows = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *own], names=["doc_id", "row", "id", "size", "fp", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *own], names=["doc_id", "row", "id", "size", "fp", "sketch", "short", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, sketch binary, short array<long>, prefix array<long>")
 
 
 def bit_filter(values: DataFrame) -> np.ndarray:
@@ -196,23 +210,35 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def star_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs a, b of each node and one (the least hash) under the same key."""
-    chosen = F.min_by(F.struct("id", "size", "at", "root"), F.struct(F.xxhash64("id"), "id")).alias("b")
-    centres = written(rows.groupBy("key").agg(chosen).select(F.col("key").alias("__key"), "b"), "centres")
-    met = rows.join(centres, F.col("key") == F.col("__key")).select("id", "size", "at", "root", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "size", "at", "root")))
-    out = written(met.where((F.col("root") != F.col("root_b")) & may_match(least)).select(*pair("id", "id_b")).distinct(), "star-pairs")
+def star_pairs(rows: DataFrame, turn: int, least: Fraction) -> DataFrame:
+    """Pairs a, b: each node with a few others, those that most of its keys have as their centres (nodes of the least hashes under the key).
+
+    So there are no more pairs than TRIES times the nodes, however large a group is. Turns choose other centres; the first
+    takes one for each key, later ones pass over keys of two nodes, which the first has seen.
+    """
+    tries = TRIES if turn else 1
+    chosen = [F.min_by(F.struct("id", "size", "at", "root"), F.struct(F.xxhash64(F.lit(TRIES * turn + j), "id"), "id")) for j in range(tries)]
+    centres = rows.groupBy("key").agg(F.array(*chosen).alias("b"), F.count("*").alias("n")).where(F.col("n") > (2 if turn else 1))
+    centres = written(centres.select(F.col("key").alias("__key"), "b"), "centres")
+    met = rows.join(centres, F.col("key") == F.col("__key")).select("id", "size", "at", "root", F.explode(F.array_distinct("b")).alias("b"))
+    met = met.select("id", "size", "at", "root", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "size", "at", "root")))
+    votes = met.where((F.col("root") != F.col("root_b")) & may_match(least)).groupBy("id", "id_b").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), F.xxhash64(F.lit(turn), "id_b"), "id_b"))
+    out = written(votes.withColumn("place", place).where(F.col("place") <= tries).select(*pair("id", "id_b")).distinct(), "star-pairs")
     dropped(centres)
     return out
 
 
-def open_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
-    """All pairs a, b under a key that are not in the same group yet. A key's largest group meets only those outside it."""
+def open_pairs(rows: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """All pairs a, b under a key that are not in the same group yet. A key's largest group meets only those outside it, and the short sketches let through few pairs that aren't similar."""
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     most = written(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("key").alias("__key"), "main"), "main-groups")
-    kept = written(rows.join(most, F.col("key") == F.col("__key")).select("key", "id", "size", "at", "root", "main"), "open")
-    other = kept.where("root <> main").select(*(F.col(c).alias(f"{c}_b") for c in ("key", "id", "size", "at", "root")))
-    met = kept.join(other, F.col("key") == F.col("key_b")).where((F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("id_b"))) & may_match(least))
+    kept = rows.join(most, F.col("key") == F.col("__key")).join(nodes.select(F.col("id").alias("__id"), "short"), F.col("id") == F.col("__id"))
+    kept = written(kept.select("key", "id", "size", "at", "root", "main", "short"), "open")
+    other = kept.where("root <> main").select(*(F.col(c).alias(f"{c}_b") for c in ("key", "id", "size", "at", "root", "short")))
+    apart = sum((F.bit_count(F.col("short")[k].bitwiseXOR(F.col("short_b")[k])) for k in range(8)), F.lit(0))
+    new = (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("id_b")))
+    met = kept.join(other, (F.col("key") == F.col("key_b")) & new & may_match(least) & (apart <= room("size", "size_b", least)))
     out = written(met.select(*pair("id", "id_b")).distinct(), "open-pairs")
     dropped(most, kept)
     return out
@@ -247,7 +273,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
     def run(batches):
         for batch in batches:
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            room = (batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()) * (den - num) // (den + num)
+            left = (batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()) * (den - num) // (den + num)
             alike, keep = {}, np.zeros(len(one), bool)
             for k, (x, y) in enumerate(zip(one, two, strict=True)):
                 alike.setdefault((len(x), len(y)), []).append(k)
@@ -255,7 +281,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
                 x = np.frombuffer(b"".join(one[k] for k in at), np.uint8).reshape(-1, m)
                 y = np.frombuffer(b"".join(two[k] for k in at), np.uint8).reshape(-1, n)
                 apart = np.bitwise_count(folded(x, min(m, n)) ^ folded(y, min(m, n))).sum(axis=1, dtype=np.int64)
-                keep[at] = apart <= room[at]
+                keep[at] = apart <= left[at]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     one, two = (nodes.select(F.col("id").alias(f"id_{n}"), F.col("sketch").alias(f"sketch_{n}"), F.col("size").alias(f"size_{n}")) for n in "ab")
@@ -288,23 +314,31 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     least = Fraction(str(similarity))
     ready(docs.sparkSession)
     prints = written(prints_of(docs, shingle, least), "prefixes")
-    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch"))), "prefix-nodes")
+    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "short"))), "prefix-nodes")
     shared = meeting(prints)
     some = written(nodes.join(shared.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi"), "meeting-nodes")
-    found, roots = [], None
-    for propose in (lambda _: print_pairs(some.select("id", "fp")), lambda r: star_pairs(r, least), lambda r: open_pairs(r, least)):
-        pairs = propose(with_roots(shared, roots) if roots is not None else None)
+    nodes_met = some.count()
+    roots = None
+
+    def linked(pairs: DataFrame) -> int:
+        """Verifies pairs, dropping them, and takes the links into roots; how many links there are."""
+        nonlocal roots
         new = verified(docs, pairs, some, shingle, least)
-        dropped(pairs)
-        found.append(new)
-        if roots is not None:
-            if new.isEmpty():
-                continue
+        count = new.count()
+        if roots is None or count:
             # What is linked already stays so: each node and its root, and the new pairs.
-            new = new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        before, roots = roots, written(components(new), "similar-roots")
-        dropped(*([before] if before is not None else []))
-    dropped(shared, some, *found)
+            links = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            before, roots = roots, written(components(links), "similar-roots")
+            dropped(*([before] if before is not None else []))
+        dropped(pairs, new)
+        return count
+
+    linked(print_pairs(some.select("id", "fp")))
+    for turn in range(TURNS):
+        if linked(star_pairs(with_roots(shared, roots), turn, least)) < FEW * nodes_met:
+            break
+    linked(open_pairs(with_roots(shared, roots), some, least))
+    dropped(shared, some)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     member = prints.select("doc_id", "row", "id").join(roots.withColumnRenamed("root", "__root"), F.col("id") == F.col("node"), "left").select("doc_id", "row", F.coalesce("__root", "id").alias("root"))
     member = written(member, "members")
