@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, ready
 
-#: Trigrams are hashed to this many values; added to each count; factor of the penalty; rounds of fitting; languages a text has at most.
-GRAMS, SMOOTH, PENALTY, ROUNDS, MOST = 1 << 15, 0.1, 6.0, 25, 8
+#: Trigrams are hashed to this many values; added to each count; factor of the penalty; rounds of fitting.
+GRAMS, SMOOTH, PENALTY, ROUNDS = 1 << 15, 0.1, 6.0, 25
 UNKNOWN = "und"
 
 
@@ -76,6 +76,7 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """rows: lang, text; rows without either are not used. Ties and the order of rows change nothing: counts are sums."""
+    ready(rows.sparkSession)
     found = gram_counts(rows.where("lang is not null and text is not null")).toPandas()
     names = sorted(found["lang"].unique())
     counts = np.zeros((GRAMS, len(names)))
@@ -103,7 +104,7 @@ def mixture(model: Model, grams: np.ndarray) -> dict[int, float]:
     single = model.log[grams].sum(axis=0)
     chosen, share, best, n = [int(single.argmax())], np.ones(1), float(single.max()), len(grams)
     gain = PENALTY * np.log(n) / 2
-    while len(chosen) < min(MOST, len(model.names)):
+    while len(chosen) < len(model.names):
         p = model.p[grams]
         slope = (p / (p[:, chosen] @ share)[:, None]).mean(axis=0)
         slope[chosen] = 0
@@ -149,6 +150,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and n_languages of every document; the model is trained on those not held out."""
     docs = documents(spark, sf_dir)
     model = train(docs.where(~held_out()))
     found = languages(docs, model)
