@@ -148,11 +148,6 @@ def fingerprint(text: Column) -> Column:
     return let(canonical(text), wide_hash)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of exact digests: 1 if equal, else 0."""
-    return F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, row_hash (of the text), fingerprint, with byte comparison inside equal fingerprints.
 
@@ -165,21 +160,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _told_apart(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """prints (doc_id, row_hash, fp and more) with another fp for rows whose canonical bytes differ from the first of their bucket."""
+    odd = _odd(docs, prints)[0]
+    if odd.isEmpty():
+        return prints
+    same = (F.coalesce(prints["doc_id"], F.lit(NULL_ID)) == odd["id"]) & (prints["row_hash"] == odd["row"])
+    return prints.join(odd, same, "left").withColumn("fp", _apart("fp")).drop("id", "row", "other")
+
+
+def _apart(fp: str) -> Column:
+    return F.when(F.col("other").isNotNull(), F.concat_ws("-", fp, "other")).otherwise(F.col(fp))
+
+
+def _odd(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, row) whose canonical bytes differ from those of the first of their bucket, with a digest of these bytes as other; and the first's bytes of each bucket (own, model).
+
+    Only texts whose hash is that of a member of a bucket are brought into canonical form again.
+    """
     buckets = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")).where("n > 1").select(F.col("fp").alias("bucket"), "first")
     buckets = written(buckets, "buckets")
-    if buckets.count() <= BROADCAST_GROUPS:
-        buckets = F.broadcast(buckets)
-    both = let(canonical(F.col("text")), lambda c: F.struct(c.alias("canon"), wide_hash(c).alias("fp")))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), both.alias("both"))
-    members = texts.join(buckets, F.col("both.fp") == F.col("bucket")).select("id", "row", "bucket", "first", F.col("both.canon").alias("canon"))
-    members = written(members, "members")
+    hashes = written(prints.select("fp", "row_hash").distinct().join(buckets, F.col("fp") == F.col("bucket")).select(F.col("row_hash").alias("member"), "bucket", "first"), "bucket-members")
+    if hashes.count() <= BROADCAST_GROUPS:
+        hashes = F.broadcast(hashes)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
+    members = written(texts.join(hashes, F.col("row") == F.col("member")).select("id", "row", "bucket", "first", canonical(F.col("text")).alias("canon")), "members")
     firsts = written(members.where("id = first").groupBy("bucket").agg(F.min("canon").alias("model")).withColumnRenamed("bucket", "own"), "models")
     odd = members.select("id", "row", "bucket", "canon").join(firsts, F.col("bucket") == F.col("own")).where("canon <> model")
-    odd = written(odd.select("id", "row", F.sha2("canon", 256).alias("other")).distinct(), "odd")
-    if odd.isEmpty():
-        return prints
-    same = (F.coalesce(prints["doc_id"], F.lit(NULL_ID)) == odd["id"]) & (prints["row_hash"] == odd["row"])
-    return prints.join(odd, same, "left").withColumn("fp", F.when(F.col("other").isNotNull(), F.concat_ws("-", "fp", "other")).otherwise(F.col("fp"))).drop("id", "row", "other")
+    return written(odd.select("id", "row", F.sha2("canon", 256).alias("other")).distinct(), "odd"), firsts
 
 
 def block_of(value: Column, splits: list[int]) -> Column:
@@ -223,11 +229,33 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, the digests of every document and of its edited text, and how like they are to it and to the next's.
+
+    Likeness is that of canonical bytes: where two fingerprints are equal, the bytes decide. Odd rows as in fingerprints().
+    """
     docs = documents(spark, sf_dir)
+    prints = written(_with_edited(docs), "digests")
+    odd, models = _odd(docs, prints)
+    told = prints if odd.isEmpty() else _edited_told_apart(docs, prints, odd, models)
+    return told.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("row_hash"), fingerprint(F.col("text")).alias("fp"))
-    pairs = with_next(rows, ["id", "row_hash"], ["text", "fp"])
-    changed = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    prints = changed.select("doc_id", "row_hash", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    told = _told_apart(docs, written(prints, "digests"))
-    return told.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    return with_next(rows, ["id", "row_hash"], ["text", "fp"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+
+
+def _with_edited(docs: DataFrame) -> DataFrame:
+    changed = _pairs(docs).withColumn("edited_fp", fingerprint(F.col("edited")))
+    alike = lambda fp, text: F.when(F.col("fp") == F.col(fp), (canonical(F.col("text")) == canonical(F.col(text))).cast("double")).otherwise(F.lit(0.0))
+    return changed.select("doc_id", "row_hash", "fp", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "edited_fp", alike("edited_fp", "edited").alias("near_edited"), alike("next_fp", "next_text").alias("near_next"))
+
+
+def _edited_told_apart(docs: DataFrame, prints: DataFrame, odd: DataFrame, models: DataFrame) -> DataFrame:
+    """For tables where different texts do have one hash: edited texts of such buckets, too, are compared with the bucket's first text."""
+    own = prints.join(odd, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("id")) & (F.col("row_hash") == F.col("row")), "left").withColumn("fp", _apart("fp")).drop("id", "row", "other")
+    canon = _pairs(docs).select(F.col("id").alias("__id"), F.col("row_hash").alias("__row"), canonical(F.col("edited")).alias("canon"), fingerprint(F.col("edited")).alias("bucket"))
+    other = canon.join(models, F.col("bucket") == F.col("own")).where("canon <> model").select("__id", "__row", F.sha2("canon", 256).alias("other")).distinct()
+    same = (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__id")) & (F.col("row_hash") == F.col("__row"))
+    return own.join(other, same, "left").withColumn("edited_fp", _apart("edited_fp")).drop("__id", "__row", "other")

@@ -132,6 +132,26 @@ def test_digests_against_brute_force(spark):
     assert got[plain[0]]["fingerprint"][:16] == f"{xxhash.xxh64_intdigest(canon.encode(), 42):016x}"
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(digest, "wide_hash", lambda canon: F.substring(F.hex(F.xxhash64(canon)), 1, F.lit(1)))
+    rng = random.Random(14)
+    words = ["Ab", "ba", "c"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(120)]
+    docs_of(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in digest.op2_digests(spark, f"file://{tmp_path}").collect()}
+    canon = lambda t: " ".join(t.lower().split())
+    of = collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        n = texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        of[canon(t)].add(got[k]["fingerprint"])
+        assert got[k]["near_edited"] == float(canon(t) == canon(e)) and got[k]["near_next"] == float(canon(t) == canon(n))
+        if canon(e) in {canon(t) for t in texts}:
+            of[canon(e)].add(got[k]["edited_fingerprint"])
+    assert all(len(v) == 1 for v in of.values()) and len({next(iter(v)) for v in of.values()}) == len(of)
+
+
 def test_one_document_follows_itself(spark):
     rows = docs_of(spark, ["abcdef"]).select(F.col("doc_id").alias("id"), "text")
     assert digest.with_next(rows, ["id"], ["text"]).first()["next_text"] == "abcdef"
