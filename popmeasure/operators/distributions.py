@@ -29,14 +29,15 @@ def option_grid(spec: DataFrame) -> DataFrame:
     return rows.select("item", "option_index", F.col("o.codes").alias("code"), F.col("o.labels").alias("label"), F.expr("try_cast(o.codes AS double)").alias("value"))
 
 
-def distribution(answers: DataFrame, group: list[str], least: int = 0, mode: str = "negative") -> DataFrame:
+def distribution(answers: DataFrame, group: list[str], least: int = 0, mode: str = "negative", count: str | None = None) -> DataFrame:
     """Over the options that were answered: group, item, value, n, weight, prob, n_valid, total_weight.
 
     answers: group, item, value, weight. Missing codes and weights that aren't above 0 are left out; so are
-    cells with fewer than `least` answers. Sums are combined before the one shuffle.
+    cells with fewer than `least` answers. Sums are combined before the one shuffle. Where rows are sums over
+    answers already, count names the column that says of how many.
     """
     valid = answers.withColumns({"value": C.mask_missing(F.col("value"), mode), "weight": C.clean_weight(F.col("weight"))}).where("value is not null and weight is not null")
-    counts = valid.groupBy(*group, "item", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    counts = valid.groupBy(*group, "item", "value").agg((F.sum(count) if count else F.count("*")).alias("n"), F.sum("weight").alias("weight"))
     cell = W.partitionBy(*group, "item")
     out = counts.withColumns({"n_valid": F.sum("n").over(cell), "total_weight": F.sum("weight").over(cell)}).withColumn("prob", F.col("weight") / F.col("total_weight"))
     return out.where(F.col("n_valid") >= least) if least else out

@@ -5,6 +5,8 @@ Random draws come from MD5 of seed and keys, so any engine repeats them and lost
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,15 +48,20 @@ def bootstrap_mean(rows: DataFrame, group: list[str], value: str, order: list[st
     return indexed.groupBy(*group).agg(F.count("*").alias("n"), F.avg("__x").alias("mean")).join(bounds, group)
 
 
-def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps: int = 200, seed: str = "boot") -> DataFrame:
-    """As bootstrap_mean, with Poisson(1) weights: each row draws its own weight in each resample, sums combine before the shuffle."""
-    u = C.hash_int(F.lit(seed), F.col(key).cast("string"), F.col("__rep").cast("string")) / float(2**32)
-    cuts, total, term = [], 0.0, 0.36787944117144233
+def poisson_cuts() -> list[float]:
+    """Cumulative probabilities of Poisson(1) at 0 to 8: a uniform draw's weight is how many of them it reaches."""
+    cuts, total, term = [], 0.0, math.exp(-1)
     for k in range(9):
         total += term
         cuts.append(total)
         term /= k + 1
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
+    return cuts
+
+
+def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps: int = 200, seed: str = "boot") -> DataFrame:
+    """As bootstrap_mean, with Poisson(1) weights: each row draws its own weight in each resample, sums combine before the shuffle."""
+    u = C.hash_int(F.lit(seed), F.col(key).cast("string"), F.col("__rep").cast("string")) / float(2**32)
+    weight = sum(((u >= c).cast("int") for c in poisson_cuts()), F.lit(0))
     drawn = rows.where(F.col(value).isNotNull()).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__w", weight)
     means = drawn.groupBy(*group, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("__m"))
     return means.groupBy(*group).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
@@ -68,11 +75,11 @@ def permutations(units: DataFrame, label: str, reps: int, seed: str = "perm") ->
     return dealt.join(F.broadcast(base.select("__i", label)), "__i").select("rep", "unit", label)
 
 
-def permutation_p(null: DataFrame, value: str, observed: float | Column, less: bool = True, plus_one: bool = False) -> DataFrame:
-    """p (share of the null at most, or at least, as large as observed), and the null's 5th and 95th percentile and deviation."""
+def permutation_summary(value: str, observed: Column, less: bool = True, plus_one: bool = False) -> list[Column]:
+    """Aggregates over the null's values: p (share at most, or at least, as large as observed), their 5th and 95th percentile and deviation."""
     hit = F.col(value) <= observed if less else F.col(value) >= observed
     k = 1 if plus_one else 0
-    return null.agg(((F.count_if(hit) + k) / (F.count(value) + k)).alias("p"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95"), F.stddev_samp(value).alias("null_sd"))
+    return [((F.count_if(hit) + k) / (F.count(value) + k)).alias("p"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95"), F.stddev_samp(value).alias("null_sd")]
 
 
 def linear_fit(rows: DataFrame, group: list[str], x: str, y: str, least: int = 4) -> DataFrame:

@@ -54,6 +54,15 @@ def specificity(rows: DataFrame, group: list[str], metric: str) -> DataFrame:
     return paired.where("n_cross = 1 and matched is not null").withColumn("advantage", F.col("cross") - F.col("matched"))
 
 
+def correlation_and_shift(rows: DataFrame, policy: list[str], base: str) -> DataFrame:
+    """For each policy and dimension the guarded correlation of its items' means with people's (to 9 digits: a side that is constant but
+    for the last ones counts as constant), n, and its mean total variation less that of the base policy in the dimension."""
+    near = rows.withColumns({"__q": F.round("mean_q", 9), "__p": F.round("mean_p", 9)})
+    own = near.groupBy(*policy, "dimension").agg(C.guarded_corr("__q", "__p").alias("r"), F.count("__q").alias("n"), F.avg("tvd").alias("__tvd"))
+    over = W.partitionBy("dimension")
+    return own.withColumn("delta_tvd", F.col("__tvd") - F.max(F.when(F.col(policy[0]) == base, F.col("__tvd"))).over(over)).drop("__tvd")
+
+
 def matched_and_cross(rows: DataFrame, group: list[str], metric: str) -> DataFrame:
     """For each group the matched policy's mean, and the mean and least of all cross policies' means."""
     means = rows.where("relationship in ('matched', 'cross')").groupBy(*group, "policy", "relationship").agg(F.avg(metric).alias("m"))

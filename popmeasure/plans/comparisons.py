@@ -36,10 +36,18 @@ register(
 register("a19_items_per_dimension", lambda s, d: X.evaluated(s, d).select("item", "dimension", "class", "is_ordered").dropDuplicates(["item"]).groupBy("dimension").agg(F.count_distinct("item").alias("items"), F.count_distinct("class").alias("classes"), F.count_if("is_ordered").alias("ordered")), "SELECT dimension, count(DISTINCT item) AS items, count(DISTINCT class) AS classes, count(*) FILTER (is_ordered) AS ordered FROM (SELECT DISTINCT item, dimension, class, is_ordered FROM evaluated) GROUP BY 1", "evaluated")
 register("j3_a20_improvement", lambda s, d: S.improvements(baseline(s, d), ["policy"], METRICS), "SELECT policy, metric, avg(gain) AS mean_gain, avg(CASE WHEN gain > 0 THEN 1.0 WHEN gain <= 0 THEN 0.0 END) AS share_better, count(gain) AS n FROM (SELECT policy, " + ", ".join(f"base_{m} - {m} AS {m}" for m in METRICS) + f" FROM ({CANDIDATES})) UNPIVOT INCLUDE NULLS (gain FOR metric IN ({', '.join(METRICS)})) GROUP BY 1, 2", "evaluated", "mean_gain share_better")
 register("a20_null_as_false", lambda s, d: S.improvements(baseline(s, d), ["policy"], METRICS, null_as_false=True), "SELECT policy, metric, avg(gain) AS mean_gain, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) AS share_better, count(gain) AS n FROM (SELECT policy, " + ", ".join(f"base_{m} - {m} AS {m}" for m in METRICS) + f" FROM ({CANDIDATES})) UNPIVOT INCLUDE NULLS (gain FOR metric IN ({', '.join(METRICS)})) GROUP BY 1, 2", "evaluated", "mean_gain share_better")
+def specificity_of_all(s, d):
+    """Every unit's matched policy against each of the cross policies on it."""
+    rows = X.evaluated(s, d)
+    rivals = rows.where("relationship = 'cross'").select("unit", F.col("policy").alias("rival")).distinct()
+    paired = rows.join(rivals, "unit").where("relationship = 'matched' or (relationship = 'cross' and policy = rival)")
+    return S.specificity(paired, ["unit", "item", "rival"], "tvd").withColumnRenamed("cross", "crossed")
+
+
 register(
     "j4_a21_specificity",
-    lambda s, d: S.specificity(X.evaluated(s, d).where("policy in ('N03_adapter', 'N07_adapter', 'N01_adapter') and unit in ('N03', 'N07')").where("policy <> 'N01_adapter'"), ["unit", "item"], "tvd").withColumnRenamed("cross", "crossed"),
-    "SELECT m.unit, m.item, m.tvd AS matched, c.tvd AS crossed, 1 AS n_cross, c.tvd - m.tvd AS advantage FROM evaluated m JOIN evaluated c USING (unit, item) WHERE m.relationship = 'matched' AND c.relationship = 'cross' AND m.policy IN ('N03_adapter', 'N07_adapter') AND c.policy IN ('N03_adapter', 'N07_adapter')",
+    lambda s, d: specificity_of_all(s, d),
+    "SELECT m.unit, m.item, c.policy AS rival, m.tvd AS matched, c.tvd AS crossed, 1 AS n_cross, c.tvd - m.tvd AS advantage FROM evaluated m JOIN evaluated c USING (unit, item) WHERE m.relationship = 'matched' AND c.relationship = 'cross'",
     "evaluated",
     "matched crossed advantage",
     "n_cross",
@@ -78,7 +86,14 @@ register(
 )
 register("a30_b6_pooled", lambda s, d: S.pooled(X.evaluated(s, d), ["relationship"], "unit", "wasserstein"), "SELECT relationship, sum(s) / sum(n) AS item_pooled, avg(s / n) AS unit_pooled, sum(n) AS n FROM (SELECT relationship, unit, sum(wasserstein) AS s, count(wasserstein) AS n FROM evaluated GROUP BY 1, 2) GROUP BY 1", "evaluated", "item_pooled unit_pooled", "n")
 register("a32_two_units", lambda s, d: S.two_units(X.answers(s, d), "N03", "N07"), "SELECT item, avg(value) FILTER (unit = 'N03') AS mean_a, avg(value) FILTER (unit = 'N07') AS mean_b, count(*) FILTER (unit = 'N03') AS n_a, count(*) FILTER (unit = 'N07') AS n_b, avg(value) FILTER (unit = 'N03') - avg(value) FILTER (unit = 'N07') AS difference, 'ok' AS status FROM answers WHERE unit IN ('N03', 'N07') GROUP BY 1", "answers", "mean_a mean_b difference")
-register("a23_guarded_correlation", lambda s, d: X.evaluated(s, d).groupBy("policy", "dimension").agg(C.guarded_corr("mean_q", "mean_p").alias("r"), F.count("mean_q").alias("n")), "SELECT policy, dimension, CASE WHEN count(mean_q) >= 3 AND max(mean_q) > min(mean_q) AND max(mean_p) > min(mean_p) THEN covar_pop(mean_q, mean_p) / sqrt(var_pop(mean_q) * var_pop(mean_p)) END AS r, count(mean_q) AS n FROM evaluated GROUP BY 1, 2", "evaluated", "r")
+register(
+    "a23_guarded_correlation",
+    lambda s, d: S.correlation_and_shift(X.evaluated(s, d), ["policy"], "base"),
+    """SELECT policy, dimension, r, n, m - max(CASE WHEN policy = 'base' THEN m END) OVER (PARTITION BY dimension) AS delta_tvd FROM (SELECT policy, dimension, CASE WHEN count(a) >= 3 AND max(a) > min(a) AND max(b) > min(b) THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END AS r, count(a) AS n, avg(tvd) AS m
+    FROM (SELECT *, round(mean_q, 9) AS a, round(mean_p, 9) AS b FROM evaluated) GROUP BY 1, 2)""",
+    "evaluated",
+    "r delta_tvd",
+)
 register("a39_log_covariate", lambda s, d: X.lines(s, d).groupBy("unit").agg(F.ln(F.avg("o_totalprice")).alias("log_mean"), F.avg("l_discount").alias("spread")), "SELECT unit, ln(avg(o_totalprice)) AS log_mean, avg(l_discount) AS spread FROM lines GROUP BY 1", "lines", "log_mean spread")
 register("a40_usage_rollup", lambda s, d: X.table(s, d, "events").rollup("event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("tokens")), "SELECT event_type, count(*) AS calls, sum(value) AS tokens FROM events GROUP BY ROLLUP (event_type)", doubles="tokens")
 register(
@@ -165,7 +180,7 @@ register(
     "lines",
     "xy xz yz partial",
 )
-REPS = 200
+REPS = 2000
 register(
     "r1_bootstrap",
     lambda s, d: T.bootstrap_mean(X.evaluated(s, d).where("relationship <> 'cross'").withColumn("tvd", F.round("tvd", 9)), ["relationship"], "tvd", ["unit", "item"], REPS),
@@ -174,40 +189,68 @@ register(
     "evaluated",
     "mean low high",
 )
-register("r1_poisson_bootstrap", lambda s, d: T.poisson_mean(X.table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 20), None)
+register("r1_poisson_bootstrap", lambda s, d: T.poisson_mean(X.table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 20), """SELECT o_orderstatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT o_orderstatus, rep, sum(w * o_totalprice) / sum(w) AS m FROM (SELECT o_orderstatus, rep, o_totalprice,
+    POISSON AS w FROM (SELECT *, ('0x' || substr(md5('boot|' || o_orderkey || '|' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, generate_series(1, 20) r(rep))) GROUP BY 1, 2) GROUP BY 1""".replace("POISSON", " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in T.poisson_cuts())), doubles="low high")
 register("r3_r4_accuracy", lambda s, d: T.accuracy(X.evaluated(s, d), ["policy"], F.col("top_match")), "SELECT policy, p AS share, n, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS low, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS high FROM (SELECT policy, avg(top_match::INT) AS p, count(*) AS n FROM evaluated GROUP BY 1)", "evaluated", "share low high")
 register("r8_linear_fit", lambda s, d: T.linear_fit(X.evaluated(s, d), ["policy"], "mean_p", "mean_q"), "SELECT policy, regr_slope(mean_q, mean_p) AS slope, regr_intercept(mean_q, mean_p) AS intercept, count(mean_q) AS n FROM evaluated GROUP BY 1", "evaluated", "slope intercept")
 
 
+#: Deals of labels, and of anchors.
+DEALS, ANCHOR_DEALS = 2000, 1000
+
+
 def permuted_ratio(s, d):
-    null = G.class_means(X.pairs(s, d).persist(), T.permutations(classes(s, d), "class", 50), ["rep"])
+    null = G.class_means(X.pairs(s, d), T.permutations(classes(s, d), "class", DEALS), ["rep"])
     return null.select("rep", "within", "ratio")
 
 
-PERMUTED = "SELECT rep, u.unit, c.n_regionkey AS class FROM (SELECT rep, unit, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i FROM (SELECT printf('N%02d', n_nationkey) AS unit FROM nation), generate_series(1, 50) r(rep)) u JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) c USING (i)"
+PERMUTED = f"SELECT rep, u.unit, c.n_regionkey AS class FROM (SELECT rep, unit, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i FROM (SELECT printf('N%02d', n_nationkey) AS unit FROM nation), generate_series(1, {DEALS}) r(rep)) u JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) c USING (i)"
 register("r9_label_permutation", permuted_ratio, f"SELECT x.rep, avg(d) FILTER (x.class = y.class) AS within, avg(d) FILTER (x.class = y.class) / avg(d) FILTER (x.class <> y.class) AS ratio FROM pairs JOIN ({PERMUTED}) x ON a = x.unit JOIN ({PERMUTED}) y ON b = y.unit AND x.rep = y.rep GROUP BY 1", "pairs", "within ratio")
 
 
-def anchor_permutation(s, d):
-    base = bridge(s, d).where("dimension = 'trust'")
-    null = T.permutations(base.select("unit", "z"), "z", 100).join(base.select("unit", "composite"), "unit")
-    rhos = T.spearman(null, ["rep"], "composite", "z")
-    observed = T.spearman(base.withColumn("g", F.lit(1)), ["g"], "composite", "z").select(F.col("rho").alias("observed"))
-    return rhos.crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), (F.count_if(F.round("rho", 9) >= F.round("observed", 9)) / F.count("*")).alias("p"), F.percentile("rho", 0.95).alias("p95"))
+def permuted_p(s, d):
+    """The observed ratio, how often one by chance is as small, and the spread of those."""
+    observed = G.class_means(X.pairs(s, d), classes(s, d)).select(F.round("ratio", 9).alias("observed"))
+    null = permuted_ratio(s, d).select(F.round("ratio", 9).alias("ratio")).crossJoin(observed)
+    return null.groupBy("observed").agg(*T.permutation_summary("ratio", F.col("observed"), less=True))
+
 
+NULL_RATIOS = f"SELECT round(avg(d) FILTER (x.class = y.class) / avg(d) FILTER (x.class <> y.class), 9) AS ratio FROM pairs JOIN ({PERMUTED}) x ON a = x.unit JOIN ({PERMUTED}) y ON b = y.unit AND x.rep = y.rep GROUP BY x.rep"
+register("r9_permutation_p", permuted_p, f"SELECT observed, avg((ratio <= observed)::INT) AS p, quantile_cont(ratio, 0.05) AS p05, quantile_cont(ratio, 0.95) AS p95, stddev_samp(ratio) AS null_sd FROM ({NULL_RATIOS}), (SELECT round(within / between_, 9) AS observed FROM ({WITHIN})) GROUP BY 1", "pairs", "observed p p05 p95 null_sd")
 
-AVG = lambda x, by: f"rank() OVER ({by}ORDER BY {x}) + (count(*) OVER (PARTITION BY {by.replace('PARTITION BY ', '').strip() + ', ' if by else ''}{x}) - 1) / 2.0"
+
+def anchor_permutation(s, d):
+    """For each dimension the observed correlation with the anchors, and where it stands among deals of the anchors' units."""
+    base = bridge(s, d)
+    others = base.select("unit").distinct()
+    dealt = T.permutations(others.withColumn("other", F.col("unit")), "other", ANCHOR_DEALS)
+    null = dealt.join(base.select("unit", "dimension", "composite"), "unit").join(base.select(F.col("unit").alias("other"), "dimension", "z"), ["other", "dimension"])
+    rhos = T.spearman(null, ["dimension", "rep"], "composite", "z").select("dimension", F.round("rho", 9).alias("rho"))
+    observed = T.spearman(base, ["dimension"], "composite", "z").select("dimension", F.round("rho", 9).alias("observed"))
+    stood = rhos.join(observed, "dimension").groupBy("dimension", "observed").agg(*T.permutation_summary("rho", F.col("observed"), less=False))
+    return stood.withColumn("beyond_chance", F.col("p") <= 0.05)
+
+
+AVG = lambda x, by: f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 register(
     "r10_anchor_permutation",
     anchor_permutation,
-    f"""SELECT observed, avg((round(rho, 9) >= round(observed, 9))::INT) AS p, quantile_cont(rho, 0.95) AS p95 FROM (SELECT rep, corr(rx, ry) AS rho FROM (SELECT rep, {AVG('composite', 'PARTITION BY rep ')} AS rx, {AVG('z', 'PARTITION BY rep ')} AS ry FROM
-    (SELECT rep, u.composite, v.z FROM (SELECT rep, unit, composite, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i FROM t, generate_series(1, 100) r(rep)) u JOIN (SELECT z, row_number() OVER (ORDER BY unit) AS i FROM t) v USING (i))) GROUP BY 1),
-    (SELECT corr(rx, ry) AS observed FROM (SELECT {AVG('composite', '')} AS rx, {AVG('z', '')} AS ry FROM t)) GROUP BY observed""".replace(" t,", " TT,").replace(" t)", " TT)").replace("TT", f"(SELECT * FROM ({BRIDGE}) WHERE dimension = 'trust') t"),
+    f"""SELECT dimension, observed, avg((rho >= observed)::INT) AS p, quantile_cont(rho, 0.05) AS p05, quantile_cont(rho, 0.95) AS p95, stddev_samp(rho) AS null_sd, avg((rho >= observed)::INT) <= 0.05 AS beyond_chance FROM (SELECT dimension, rep, round(corr(rx, ry), 9) AS rho FROM (SELECT dimension, rep, {AVG('composite', 'dimension, rep')} AS rx, {AVG('z', 'dimension, rep')} AS ry FROM
+    (SELECT t.dimension, rep, t.composite, o.z FROM (SELECT rep, unit, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i FROM (SELECT DISTINCT unit FROM ({BRIDGE})), generate_series(1, {ANCHOR_DEALS}) r(rep)) u
+    JOIN (SELECT unit AS other, row_number() OVER (ORDER BY unit) AS i FROM (SELECT DISTINCT unit FROM ({BRIDGE}))) v USING (i) JOIN ({BRIDGE}) t ON t.unit = u.unit JOIN ({BRIDGE}) o ON o.unit = v.other AND o.dimension = t.dimension)) GROUP BY 1, 2)
+    JOIN (SELECT dimension, round(corr(rx, ry), 9) AS observed FROM ({RANKED}) GROUP BY 1) USING (dimension) GROUP BY 1, 2""",
     "means anchors",
-    "observed p p95",
+    "observed p p05 p95 null_sd",
+)
+register(
+    "r11_least_squares",
+    lambda s, d: T.least_squares(X.lines(s, d).withColumns({"q": F.col("l_quantity") / 50, "t": F.col("l_tax") * 10}), ["unit"], ["q", "t"], "l_discount"),
+    """SELECT unit, term, CASE term WHEN 'q' THEN bq WHEN 't' THEN bt ELSE my - bq * mq - bt * mt END AS b, sqrt(greatest(0, n * (vy - bq * cq - bt * ct)) / (n - 3) * CASE term WHEN 'q' THEN c11 / (n * g) WHEN 't' THEN c00 / (n * g) ELSE (1 + (mq * mq * c11 - 2 * mq * mt * c01 + mt * mt * c00) / g) / n END) AS se, n
+    FROM (SELECT *, (cq * c11 - ct * c01) / g AS bq, (ct * c00 - cq * c01) / g AS bt FROM (SELECT *, c00 * c11 - c01 * c01 AS g FROM (SELECT unit, var_pop(l_quantity / 50) AS c00, covar_pop(l_quantity / 50, l_tax * 10) AS c01, var_pop(l_tax * 10) AS c11, covar_pop(l_quantity / 50, l_discount) AS cq, covar_pop(l_tax * 10, l_discount) AS ct,
+    var_pop(l_discount) AS vy, avg(l_quantity / 50) AS mq, avg(l_tax * 10) AS mt, avg(l_discount) AS my, count(*) AS n FROM lines GROUP BY 1))), (VALUES ('const'), ('q'), ('t')) v(term)""",
+    "lines",
+    "b se",
 )
-register("r11_least_squares", lambda s, d: T.least_squares(X.lines(s, d).withColumns({"q": F.col("l_quantity") / 50, "t": F.col("l_tax") * 10}), ["unit"], ["q", "t"], "l_discount").where("term <> 'const'").select("unit", "term", "b", "n"), """SELECT unit, term, CASE term WHEN 'q' THEN (c02 * c11 - c12 * c01) / (c00 * c11 - c01 * c01) ELSE (c12 * c00 - c02 * c01) / (c00 * c11 - c01 * c01) END AS b, n FROM
-    (SELECT unit, var_pop(l_quantity / 50) AS c00, covar_pop(l_quantity / 50, l_tax * 10) AS c01, var_pop(l_tax * 10) AS c11, covar_pop(l_quantity / 50, l_discount) AS c02, covar_pop(l_tax * 10, l_discount) AS c12, count(*) AS n FROM lines GROUP BY 1), (VALUES ('q'), ('t')) v(term)""", "lines", "b")
 register("r12_r13_agreement", lambda s, d: X.anchors(s, d).select("unit", "dimension", T.benchmark_agreement(F.col("z") * 3, F.when(F.col("unit") < "N20", F.lit(1))).alias("agrees"), (F.col("z") * -1 >= 0.2).alias("ordered")), "SELECT unit, dimension, CASE WHEN unit < 'N20' THEN sign(z) = 1 AND abs(z * 3) > 1.96 END AS agrees, z * -1 >= 0.2 AS ordered FROM anchors", "anchors")
 register("r14_median_rank", lambda s, d: G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 12)), F.col("policy") == F.concat("unit", F.lit("_adapter"))).agg(F.percentile("own_rank", 0.5).alias("median_rank"), F.max((F.col("n") + 1) / 2).alias("chance")), "SELECT quantile_cont(r, 0.5) AS median_rank, max((n + 1) / 2) AS chance FROM (SELECT policy, unit, rank() OVER (PARTITION BY policy ORDER BY d) AS r, count(*) OVER (PARTITION BY policy) AS n FROM (SELECT policy, unit, round(avg(tvd), 12) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)) WHERE policy = unit || '_adapter'", "evaluated", "median_rank chance")
 

@@ -130,16 +130,27 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("unit", "item", code.alias("value"), F.when(F.col("l_linenumber") != 7, F.col("weight")).alias("weight"))
 
 
+def tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, key, item, value, n, weight: what people and policies are sums of.
+
+    Answers are added up once by unit, source, item and value. Each of these sums is then three rows: of its unit's people,
+    of its source's adapter and of base. Plans that take several of them share the one aggregation (Spark reuses its shuffle).
+    """
+    sums = answers(spark, sf_dir).groupBy("unit", "source", "item", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum("price").alias("price"))
+    of = lambda kind, key, weight: F.struct(F.lit(kind).alias("kind"), key.alias("key"), weight.alias("weight"))
+    kinds = F.array(of("people", F.col("unit"), F.col("weight")), of("policy", F.concat("source", F.lit("_adapter")), F.col("price")), of("policy", F.lit("base"), F.col("n").cast("double")))
+    return sums.select("item", "value", "n", F.explode(kinds).alias("of")).select("of.kind", "of.key", "item", "value", "n", "of.weight")
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.distribution(answers(spark, sf_dir), ["unit"])
+    rows = tallies(spark, sf_dir).where("kind = 'people'").withColumnRenamed("key", "unit")
+    return D.distribution(rows, ["unit"], count="n")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """policy, item, value, prob: an adapter for each source (weighted by price), and base (unweighted)."""
-    rows = answers(spark, sf_dir)
-    own = D.distribution(rows.withColumns({"policy": F.concat("source", F.lit("_adapter")), "weight": F.col("price")}), ["policy"])
-    base = D.distribution(rows.withColumns({"policy": F.lit("base"), "weight": F.lit(1.0)}), ["policy"])
-    return own.union(base).select("policy", "item", "value", "prob")
+    rows = tallies(spark, sf_dir).where("kind = 'policy'").withColumnRenamed("key", "policy")
+    return D.distribution(rows, ["policy"], count="n").select("policy", "item", "value", "prob")
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,9 +182,17 @@ register(
     "aligned",
     "jsd2 jsd",
 )
+#: Aligned shares to 12 digits, so that the order of sums can't put one beside another edge or digit.
+NEAR = "(SELECT policy, round(q, 12) AS q, round(p, 12) AS p FROM aligned)"
+
+
+def near(rows):
+    return rows.withColumns({"q": F.round("q", 12), "p": F.round("p", 12)})
+
+
 EDGE = "(" + " + ".join(f"(q > {k}/10.0)::INT" for k in range(1, 10)) + ")"
-register("a22_calibration_bins", lambda s, d: M.calibration_bins(X.aligned(s, d), ["policy"]), f"SELECT policy, {EDGE} AS bin, avg(q) AS mean_predicted, avg(p) AS mean_observed, count(*) AS n FROM aligned GROUP BY 1, 2", "aligned", "mean_predicted mean_observed", "bin")
-register("a22_calibration_error", lambda s, d: M.calibration_error(M.calibration_bins(X.aligned(s, d), ["policy"]), ["policy"]), f"SELECT policy, sum(n * abs(a - b)) / sum(n) AS ece, sum(n) AS n FROM (SELECT policy, {EDGE} AS bin, avg(q) AS a, avg(p) AS b, count(*) AS n FROM aligned GROUP BY 1, 2) GROUP BY 1", "aligned", "ece", "n")
+register("a22_calibration_bins", lambda s, d: M.calibration_bins(near(X.aligned(s, d)), ["policy"]), f"SELECT policy, {EDGE} AS bin, avg(q) AS mean_predicted, avg(p) AS mean_observed, count(*) AS n FROM {NEAR} GROUP BY 1, 2", "aligned", "mean_predicted mean_observed", "bin")
+register("a22_calibration_error", lambda s, d: M.calibration_error(M.calibration_bins(near(X.aligned(s, d)), ["policy"]), ["policy"]), f"SELECT policy, sum(n * abs(a - b)) / sum(n) AS ece, sum(n) AS n FROM (SELECT policy, {EDGE} AS bin, avg(q) AS a, avg(p) AS b, count(*) AS n FROM {NEAR} GROUP BY 1, 2) GROUP BY 1", "aligned", "ece", "n")
 
 # Transforms
 register("b1_uniform", lambda s, d: D.uniform(X.people(s, d).select("unit", "item", "value"), ["unit", "item"]), "SELECT unit, item, value, 1.0 / count(*) OVER (PARTITION BY unit, item) AS prob FROM people", "people", "value prob")
@@ -204,7 +212,7 @@ register("b3_best_temperature", lambda s, d: sweep(s, d).groupBy("item", "temper
 
 def entropy_grid(s, d):
     over = W.partitionBy("unit", "item")
-    grid = X.people(s, d).where("item in ('I1', 'I2', 'I7')").select("unit", "item", "value")
+    grid = X.people(s, d).where(~F.col("item").isin(X.UNORDERED)).select("unit", "item", "value")
     z = X.anchors(s, d).where("dimension = 'trust'").select("unit", "z")
     return grid.join(F.broadcast(z), "unit").withColumn("mean", F.greatest(F.min("value").over(over), F.least(F.max("value").over(over), F.avg("value").over(over) + 0.5 * F.col("z"))))
 
@@ -212,7 +220,7 @@ def entropy_grid(s, d):
 register(
     "b4_max_entropy",
     lambda s, d: D.max_entropy(entropy_grid(s, d), ["unit", "item"], "value", "mean").groupBy("unit", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"), F.sum("prob").alias("total"), F.count("*").alias("n")),
-    "SELECT unit, item, least(max(value), greatest(min(value), avg(value) + 0.5 * max(z))) AS mean, 1.0 AS total, count(*) AS n FROM people JOIN anchors USING (unit) WHERE dimension = 'trust' AND item IN ('I1', 'I2', 'I7') GROUP BY 1, 2",
+    "SELECT unit, item, least(max(value), greatest(min(value), avg(value) + 0.5 * max(z))) AS mean, 1.0 AS total, count(*) AS n FROM people JOIN anchors USING (unit) WHERE dimension = 'trust' AND item NOT IN ('I4', 'I5') GROUP BY 1, 2",
     "people anchors",
     "mean total",
 )

@@ -189,10 +189,10 @@ register("s2_s3_s9_csv_and_json", json_and_csv, "SELECT unit, item, n, mean FROM
 def by_unit(s, d):
     path = scratch(s, "units")
     files.write_by_unit(X.missing(s, d), path, "unit", 4)
-    return s.read.parquet(path).where("unit in ('N03', 'N07')").groupBy("unit", "item").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    return s.read.parquet(path).groupBy("unit", "item").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-register("s8_units_sink", by_unit, "SELECT unit, item, count(*) AS n, sum(weight) AS weight FROM missing WHERE unit IN ('N03', 'N07') GROUP BY 1, 2", "missing", "weight")
+register("s8_units_sink", by_unit, "SELECT unit, item, count(*) AS n, sum(weight) AS weight FROM missing GROUP BY 1, 2", "missing", "weight")
 
 
 def appended(s, d):
@@ -207,38 +207,37 @@ register("s12_append_cache", appended, "SELECT p_brand, count(*) AS n FROM part
 
 
 def streamed_rates(s, d):
-    name = f"rates_{uuid.uuid4().hex}"
-    jobs.run_once(jobs.failure_rates(jobs.events(s, d), F.col("event_type") == "error"), None, scratch(s, "rates"), name, "complete")
-    return s.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failures", "share", "closed")
+    rows = jobs.run_once(jobs.failure_rates(jobs.events(s, d), F.col("event_type") == "error"), scratch(s, "rates"), scratch(s, "rates-state"), "complete")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failures", "share", "closed")
 
 
 register("x1_failure_rates", streamed_rates, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, avg((event_type = 'error')::INT) AS share, avg((event_type = 'error')::INT) > 0.75 AS closed FROM events GROUP BY 1", doubles="share")
 
 
 def streamed_gate(s, d):
-    name = f"gate_{uuid.uuid4().hex}"
-    rows = jobs.events(s, d).select(F.col("user_id").cast("string").alias("key"), "ts", (F.col("event_type") == "error").alias("failed"))
-    jobs.run_once(jobs.last_outcomes(rows, "key", "ts", "failed", 5, 0.5), None, scratch(s, "gate"), name, "update")
-    return s.table(name)
+    rows = jobs.events(s, d).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("at"), "event_id", (F.col("event_type") == "error").alias("failed"))
+    after = jobs.run_once(jobs.last_outcomes(rows, "key", ["at", "event_id"], "failed", 5, 0.5), scratch(s, "gate"), scratch(s, "gate-state"), "update")
+    return after.groupBy("key").agg(F.max_by(F.struct("seen", "share", "closed"), "batch").alias("x")).select("key", "x.*")
 
 
-register("x1_last_outcomes", streamed_gate)
+register("x1_last_outcomes", streamed_gate, "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS seen, avg((event_type = 'error')::INT) AS share, count(*) >= 5 AND avg((event_type = 'error')::INT) > 0.5 AS closed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5 GROUP BY 1", doubles="share")
 
 
 def streamed_cache(s, d):
     path = scratch(s, "keys")
-    rows = jobs.events(s, d).select("user_id", "event_type", "ts")
-    jobs.run_once(jobs.first_of_key(rows, ["user_id", "event_type"], late="100000 days"), lambda df, _: df.select("user_id", "event_type").write.mode("append").parquet(path), scratch(s, "seen"))
-    return s.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("users"))
+    rows = jobs.run_once(jobs.events(s, d).select("user_id", "event_type"), path, scratch(s, "seen"), prepare=jobs.unseen(path, ["user_id", "event_type"]))
+    return rows.groupBy("event_type").agg(F.count("*").alias("users"))
 
 
 register("x2_idempotent_cache", streamed_cache, "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 
 
 def streamed_counts(s, d):
-    name = f"counts_{uuid.uuid4().hex}"
-    jobs.run_once(jobs.option_counts(jobs.events(s, d), ["event_type"], "value"), None, scratch(s, "counts"), name, "complete")
-    return s.table(name)
+    """Options that nobody chose are on the grid, too: here one type that the stream never has."""
+    grid = X.table(s, d, "events").select("event_type").distinct().union(s.createDataFrame([("never",)], "event_type string"))
+    rows = jobs.run_once(jobs.option_counts(jobs.events(s, d), ["event_type"], "value"), scratch(s, "counts"), scratch(s, "counts-state"), "update", jobs.on_grid(grid, ["event_type"]))
+    latest = rows.where("n > 0 or batch = 0").groupBy("event_type").agg(F.max_by(F.struct("n", "weight"), F.struct("batch", "n")).alias("x"))
+    return latest.select("event_type", "x.*")
 
 
-register("x3_option_counts", streamed_counts, "SELECT event_type, count(*) AS n, sum(value) AS weight FROM events GROUP BY 1", doubles="weight")
+register("x3_option_counts", streamed_counts, "SELECT event_type, count(*) AS n, sum(value) AS weight FROM events GROUP BY 1 UNION ALL SELECT 'never', 0, 0.0", doubles="weight")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -21,36 +22,69 @@ def failure_rates(stream: DataFrame, failed: Column, time: str = "ts", width: st
     return counts.select(F.col("w.start").alias("start"), "n", "failures", (F.col("failures") / F.col("n")).alias("share"), (F.col("failures") / F.col("n") > most).alias("closed"))
 
 
-def first_of_key(stream: DataFrame, key: list[str], time: str = "ts", late: str = "2 days") -> DataFrame:
-    """Each key once within the watermark; its state is dropped afterwards, so it stays bounded."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
-
-
 def option_counts(stream: DataFrame, group: list[str], weight: str) -> DataFrame:
-    """Running counts and weights of each option, for update mode; a static grid is joined in foreachBatch."""
+    """Running counts and weights of each option, for update mode. on_grid() joins them to a static grid batch by batch."""
     return stream.groupBy(*group).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, checkpoint: str, name: str | None = None, mode: str = "append"):
-    """Runs the stream over what is there now and stops: to a function of each batch, or to a table in memory."""
+def on_grid(grid: DataFrame, keys: list[str]) -> Callable[[DataFrame, int], DataFrame]:
+    """For run_once(): each batch's counts over all options of a static grid; options without answers have 0."""
+
+    def prepare(df: DataFrame, batch: int) -> DataFrame:
+        return grid.join(df, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+    return prepare
+
+
+def with_batch(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Runs the stream over what is there now and stops. Returns what was written: the stream's columns (or prepare's) and batch.
+
+    Each batch has a folder named by its number and replaces it as a whole, so a batch that is run again after a failure doubles
+    nothing. Nothing passes through the driver. In complete mode the last batch has all that counts.
+    """
+
+    def sink(df: DataFrame, batch: int) -> None:
+        rows = prepare(df, batch) if prepare else df
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(sink).start() if sink else writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return query
+    writer.foreachBatch(sink).start().awaitTermination()
+    spark = stream.sparkSession
+    out = spark.read.schema(with_batch(stream)).option("basePath", path).parquet(f"{path}/batch=*")
+    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch") if mode == "complete" else out
+
+
+def unseen(path: str, key: list[str]) -> Callable[[DataFrame, int], DataFrame]:
+    """For run_once(): of each batch the first row of each key that no other batch has written. What is known is on disk, not in state."""
+
+    def prepare(df: DataFrame, batch: int) -> DataFrame:
+        spark = df.sparkSession
+        known = spark.read.schema(with_batch(df)).option("basePath", path).parquet(f"{path}/batch=*") if batch else spark.createDataFrame([], with_batch(df))
+        return df.dropDuplicates(key).join(known.where(F.col("batch") < batch).select(*key).distinct(), key, "left_anti").select(*df.columns)
+
+    return prepare
+
 
+def last_outcomes(stream: DataFrame, key: str, order: list[str], failed: str, last: int = 20, most: float = 0.75) -> DataFrame:
+    """Exact last-N gate of each key by state: key, seen, share, closed after each batch of its rows.
 
-def last_outcomes(stream: DataFrame, key: str, time: str, failed: str, last: int = 20, most: float = 0.75) -> DataFrame:
-    """Exact last-N gate of each key by state: key, seen, share, closed after each batch of its rows. The state is at most N outcomes a key."""
+    The last N are those with the greatest values of order (two whole numbers, say time and id), whatever the order and the
+    chunks that rows come in. The state is at most N outcomes a key.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(k, batches, state):
-        kept = list(state.get[0]) if state.exists else []
+        kept = list(zip(*state.get, strict=True)) if state.exists else []
         for pdf in batches:
-            kept += pdf.sort_values(time)[failed].astype(bool).tolist()
-            kept = kept[-last:]
-        state.update((kept,))
-        share = sum(kept) / len(kept)
+            kept += list(zip(*(pdf[o].tolist() for o in order), pdf[failed].astype(bool).tolist(), strict=True))
+            kept = sorted(kept)[-last:]
+        state.update(tuple(list(c) for c in zip(*kept, strict=True)))
+        share = sum(f for *_, f in kept) / len(kept)
         yield pd.DataFrame({key: [k[0]], "seen": [len(kept)], "share": [share], "closed": [len(kept) >= last and share > most]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, seen long, share double, closed boolean", "kept array<boolean>", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, seen long, share double, closed boolean", "first array<long>, second array<long>, kept array<boolean>", "update", GroupStateTimeout.NoTimeout)
