@@ -550,3 +550,14 @@ def test_similar_groups_are_those_of_exact_similarity(spark):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
     assert near > 200 and got == {k: root(k) for k in range(len(texts))}
+
+
+def test_only_the_document_that_is_a_copy_goes(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(3, words(1)), (7, words(1)), (7, words(2)), (None, words(1)), (None, words(3)), (8, None), (9, ""), (9, ""), (5, "one two"), (6, "ONE  two")]
+    docs = spark.createDataFrame([(i, t, "clash", "clash", "clash") for i, t in rows], "doc_id long, text string, row string, id string, stays string")
+    got = sorted(((r["doc_id"], r["text"]) for r in similar.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(3, words(1)), (7, words(2)), (None, words(3)), (8, None), (5, "one two")], key=str)
+    assert similar.one_of_each(docs).columns == docs.columns
+    groups = {(r["doc_id"], r["row"]): (r["component_id"], r["stays"]) for r in similar.similar_groups(docs).collect()}
+    assert len(groups) == 9 and sum(stays for _, stays in groups.values()) == 5 and {c for c, _ in groups.values()} == {3, 7, None, 8, 5}
