@@ -116,14 +116,29 @@ def classical_scaling(pairs: DataFrame, axes: int = 2) -> DataFrame:
     return pairs.select("a", "b", "d", F.lit(1).alias("one")).groupBy("one").applyInPandas(solve, "unit string, " + ", ".join(f"x{k + 1} double" for k in range(axes)))
 
 
-def principal_axes(means: DataFrame, axes: int = 2) -> DataFrame:
-    """unit, x1 ..: centred item means of units that have every item, on their first principal axes. One row a population."""
+def principal_plane(means: DataFrame, axes: int = 2) -> DataFrame:
+    """item, center, x1 ..: the items that every unit has, their mean over units, and their loadings on the first principal axes.
+
+    One row an item, so only loadings pass through the driver. On each axis the largest loading by absolute value is above 0.
+    """
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    items = means.select("item").distinct().count()
-    centred = means.withColumn("x", F.col("mean") - F.avg("mean").over(W.partitionBy("item")))
-    rows = centred.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("item", "x"))).alias("s")).where(F.size("s") == items)
-    vectors = rows.select("unit", array_to_vector(F.transform("s", lambda s: s["x"])).alias("features"))
-    model = PCA(k=axes, inputCol="features", outputCol="scores").fit(vectors)
-    return model.transform(vectors).select("unit", *(vector_to_array("scores")[k].alias(f"x{k + 1}") for k in range(axes)))
+    from pyspark.ml.functions import array_to_vector
+
+    means = means.select("unit", "item", "mean").persist()
+    units = means.select("unit").distinct().count()
+    centers = means.groupBy("item").agg(F.avg("mean").alias("center"), F.count("*").alias("n")).where(F.col("n") == units)
+    items = [(r["item"], r["center"]) for r in centers.orderBy("item").collect()]
+    rows = means.where(F.col("item").isin([i for i, _ in items])).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("item", "mean"))).alias("s"))
+    vectors = rows.select(array_to_vector(F.transform("s", lambda s: s["mean"])).alias("features"))
+    loadings = PCA(k=axes, inputCol="features", outputCol="scores").fit(vectors).pc.toArray()
+    means.unpersist()
+    largest = loadings[np.abs(loadings).argmax(axis=0), range(axes)]
+    rows = [(i, c, *map(float, w)) for (i, c), w in zip(items, loadings * np.sign(largest), strict=True)]
+    return means.sparkSession.createDataFrame(rows, "item string, center double, " + ", ".join(f"x{k + 1} double" for k in range(axes)))
+
+
+def projected(means: DataFrame, plane: DataFrame, name: str = "unit") -> DataFrame:
+    """name, x1 .., n_items: where item means lie in the plane, by the items that both have. means: name, item, mean of units or policies."""
+    axes = [c for c in plane.columns if c not in ("item", "center")]
+    away = means.select(name, "item", "mean").join(plane, "item").withColumn("away", F.col("mean") - F.col("center"))
+    return away.groupBy(name).agg(*(F.sum(F.col("away") * F.col(a)).alias(a) for a in axes), F.count("*").alias("n_items"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .summaries import nested_sample
 
 
 def bank(rows: DataFrame, key: list[str], order: list[str], text: tuple[str, str] = ("response_a", "response_b")) -> DataFrame:
@@ -200,6 +201,19 @@ def sign_vectors(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("dimension", mark.alias("s")))), lambda x: x["s"]), "").alias("signs"))
 
 
+def nested_export(rows: DataFrame, profiles: DataFrame, sizes: list[int], key: str, run_id: str, exported_at: str, seed: str) -> DataFrame:
+    """Rows that passed the gates, for each size the first so many of a unit's fixed random order, so samples nest.
+
+    With sample_size, sample_rank, run_id, export_timestamp and the unit's profile, a map of dimension to z (profiles: unit,
+    dimension, z; null for units without one).
+    """
+    ranked = nested_sample(rows.where("qc_status = 'pass'"), ["unit"], key, seed).where(F.col("sample_rank") <= max(sizes))
+    sized = ranked.withColumn("sample_size", F.explode(F.array(*(F.lit(k) for k in sizes)))).where("sample_rank <= sample_size")
+    profile = F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "z"))))
+    named = sized.withColumns({"run_id": F.lit(run_id), "export_timestamp": F.lit(exported_at)})
+    return named.join(profiles.groupBy("unit").agg(profile.alias("profile")), "unit", "left")
+
+
 def sample_sizes(counts: DataFrame, requested: list[int], policy: str = "skip_unavailable") -> DataFrame:
     """counts: unit, n. size, feasible size and whether it is skipped, for each unit and requested size. fail_fast makes too few an error."""
     asked = counts.withColumn("size", F.explode(F.array(*(F.lit(s) for s in requested))))

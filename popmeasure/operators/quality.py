@@ -62,6 +62,27 @@ def normalised_answers(raw: DataFrame, text: str, schema: str) -> DataFrame:
     return out.withColumn("reason", reason).drop("__body")
 
 
+def answer_validity(answers: DataFrame, spec: DataFrame, order: list[str]) -> DataFrame:
+    """policy, unit, n_questions, valid, valid_rate, truncated: of each policy's answers for a unit, one an item (the first by order).
+
+    answers: policy, unit, item, answer, truncated. spec: item and its codes (an array); an answer that is null or no code isn't valid.
+    """
+    first = answers.groupBy("policy", "unit", "item").agg(F.min_by(F.struct("answer", "truncated"), F.struct(*order)).alias("a"))
+    valid = F.coalesce(F.array_contains("codes", F.col("a.answer")), F.lit(False))
+    rows = first.join(spec.select("item", "codes"), "item", "left").withColumn("ok", valid)
+    return rows.groupBy("policy", "unit").agg(F.count("*").alias("n_questions"), F.count_if("ok").alias("valid"), F.avg(F.col("ok").cast("double")).alias("valid_rate"), F.count_if("a.truncated").alias("truncated"))
+
+
+def missing_cells(rows: DataFrame, cell: list[str], wanted: DataFrame) -> DataFrame:
+    """The cells of wanted (its columns `cell`) that rows lack."""
+    return wanted.select(*cell).distinct().join(rows.select(*cell).distinct(), cell, "left_anti")
+
+
+def complete_only(result: DataFrame, lacking: DataFrame) -> DataFrame:
+    """result, or no row of it while anything is lacking."""
+    return result.crossJoin(F.broadcast(lacking.agg(F.count("*").alias("__lacking")))).where("__lacking = 0").drop("__lacking")
+
+
 def stage_report(receipts: DataFrame, stages: list[str]) -> DataFrame:
     """Per run: the newest receipt of each stage; stages that lack one or failed, whether hashes differ, and whether all is well."""
     newest = receipts.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "protocol_hash"), F.struct("mtime", "status", "protocol_hash")).alias("r"))

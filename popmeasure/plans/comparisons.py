@@ -18,7 +18,7 @@ CANDIDATES = "SELECT e.*, " + ", ".join(f"b.{m} AS base_{m}" for m in [*METRICS,
 
 
 def baseline(s, d):
-    rows = X.evaluated(s, d).persist()
+    rows = X.evaluated(s, d)
     return S.against_baseline(rows, ["unit", "item"], [*METRICS, "mean_error"])
 
 
@@ -138,13 +138,23 @@ register("d12_filled", lambda s, d: G.filled(X.pairs(s, d).withColumn("d", F.whe
 
 def scaled(s, d):
     """Distances between units in the plane; axes may turn, distances may not."""
-    at = G.classical_scaling(X.pairs(s, d).persist())
+    at = G.classical_scaling(X.pairs(s, d))
     left, right = at.select(F.col("unit").alias("a"), F.col("x1").alias("p"), F.col("x2").alias("q")), at.select(F.col("unit").alias("b"), F.col("x1").alias("r"), F.col("x2").alias("t"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.sqrt(F.pow(F.col("p") - F.col("r"), 2) + F.pow(F.col("q") - F.col("t"), 2)).alias("d"))
 
 
 register("d9_classical_scaling", scaled)
-register("d10_principal_axes", lambda s, d: G.principal_axes(X.means(s, d).persist()).select("unit", F.abs("x1").alias("x1"), F.abs("x2").alias("x2")))
+
+
+def principal_axes(s, d):
+    """Units and policies in the plane of the units' principal axes."""
+    means = X.means(s, d)
+    plane = G.principal_plane(means)
+    policies = X.policies(s, d).groupBy("policy", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"))
+    return G.projected(means, plane).withColumnRenamed("unit", "name").union(G.projected(policies, plane, "policy"))
+
+
+register("d10_principal_axes", principal_axes)
 
 # Statistics
 
@@ -281,7 +291,8 @@ register(
 
 def plane_ranks(s, d):
     """Each unit's rank among all others from one unit, in the plane of the principal axes and by population distance."""
-    at = G.principal_axes(X.means(s, d).persist())
+    means = X.means(s, d)
+    at = G.projected(means, G.principal_plane(means))
     home = at.where("unit = 'N03'").select(F.col("x1").alias("h1"), F.col("x2").alias("h2"))
     plane = at.where("unit <> 'N03'").crossJoin(F.broadcast(home)).select("unit", F.sqrt(F.pow(F.col("x1") - F.col("h1"), 2) + F.pow(F.col("x2") - F.col("h2"), 2)).alias("d_plane"))
     far = G.symmetric(X.pairs(s, d)).where("a = 'N03'").select(F.col("b").alias("unit"), "d")

@@ -217,12 +217,21 @@ def entropy_grid(s, d):
     return grid.join(F.broadcast(z), "unit").withColumn("mean", F.greatest(F.min("value").over(over), F.least(F.max("value").over(over), F.avg("value").over(over) + 0.5 * F.col("z"))))
 
 
+def bent(grid):
+    """Fitted probabilities with the slope of their logarithms from the option before; null where a bound on the mean leaves options without mass."""
+    rows = D.max_entropy(grid, ["unit", "item"], "value", "mean").join(grid, ["unit", "item", "value"])
+    over = W.partitionBy("unit", "item").orderBy("value")
+    inside = (F.col("mean") > F.min("value").over(W.partitionBy("unit", "item"))) & (F.col("mean") < F.max("value").over(W.partitionBy("unit", "item")))
+    return rows.withColumn("slope", F.when(inside, (F.ln("prob") - F.lag(F.ln("prob")).over(over)) / (F.col("value") - F.lag("value").over(over))))
+
+
 register(
     "b4_max_entropy",
-    lambda s, d: D.max_entropy(entropy_grid(s, d), ["unit", "item"], "value", "mean").groupBy("unit", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"), F.sum("prob").alias("total"), F.count("*").alias("n")),
-    "SELECT unit, item, least(max(value), greatest(min(value), avg(value) + 0.5 * max(z))) AS mean, 1.0 AS total, count(*) AS n FROM people JOIN anchors USING (unit) WHERE dimension = 'trust' AND item NOT IN ('I4', 'I5') GROUP BY 1, 2",
+    lambda s, d: bent(entropy_grid(s, d)).groupBy("unit", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"), F.sum("prob").alias("total"), (F.max("slope") - F.min("slope")).alias("bend"), F.count("*").alias("n")),
+    # Of all distributions with the mean, the one of the greatest entropy is that whose log probabilities lie on a line: no bend.
+    "SELECT unit, item, least(max(value), greatest(min(value), avg(value) + 0.5 * max(z))) AS mean, 1.0 AS total, CASE WHEN avg(value) + 0.5 * max(z) > min(value) AND avg(value) + 0.5 * max(z) < max(value) THEN 0.0 END AS bend, count(*) AS n FROM people JOIN anchors USING (unit) WHERE dimension = 'trust' AND item NOT IN ('I4', 'I5') GROUP BY 1, 2",
     "people anchors",
-    "mean total",
+    "mean total bend",
 )
 register(
     "b5_sign_follower",
@@ -232,13 +241,30 @@ register(
     "value prob",
 )
 register("b7_collapse", lambda s, d: D.collapsed(X.people(s, d).select("unit", "item", (F.col("value") % 3).alias("value"), "prob"), ["unit", "item", "value"]), "SELECT unit, item, value % 3 AS value, sum(prob) AS prob FROM people GROUP BY 1, 2, 3", "people", "value prob")
-register(
-    "b8_two_by_two",
-    lambda s, d: X.evaluated(s, d).groupBy(F.when(F.col("policy") == "base", "base").otherwise("tuned").alias("weights"), F.when(F.col("relationship") == "matched", "own").otherwise("other").alias("prompt")).agg(F.avg("tvd").alias("tvd"), F.count_distinct("unit").alias("units")),
-    "SELECT CASE WHEN policy = 'base' THEN 'base' ELSE 'tuned' END AS weights, CASE WHEN relationship = 'matched' THEN 'own' ELSE 'other' END AS prompt, avg(tvd) AS tvd, count(DISTINCT unit) AS units FROM evaluated GROUP BY 1, 2",
-    "evaluated",
-    "tvd",
-)
+CELLS = "SELECT CASE WHEN policy = 'base' THEN 'base' ELSE 'tuned' END AS weights, CASE WHEN relationship = 'matched' THEN 'own' ELSE 'other' END AS prompt, unit, tvd, top_match::INT AS top_match FROM evaluated"
+WANTED = "SELECT weights, prompt, unit FROM (SELECT DISTINCT unit FROM people), (VALUES ('base', 'other'), ('tuned', 'own'), ('tuned', 'other')) v(weights, prompt)"
+
+
+def cells(s, d):
+    """Each evaluation in its cell of weights and prompt, and the cells that every unit must have."""
+    rows = X.evaluated(s, d).select(F.when(F.col("policy") == "base", "base").otherwise("tuned").alias("weights"), F.when(F.col("relationship") == "matched", "own").otherwise("other").alias("prompt"), "unit", "tvd", F.col("top_match").cast("double").alias("top_match"))
+    kinds = s.createDataFrame([("base", "other"), ("tuned", "own"), ("tuned", "other")], "weights string, prompt string")
+    return rows, X.people(s, d).select("unit").distinct().crossJoin(F.broadcast(kinds))
+
+
+def two_by_two(s, d):
+    rows, wanted = cells(s, d)
+    table = rows.groupBy("weights", "prompt").agg(F.avg("tvd").alias("tvd"), F.avg("top_match").alias("top_match"), F.count_distinct("unit").alias("units"))
+    return K.complete_only(table, K.missing_cells(rows, ["weights", "prompt", "unit"], wanted))
+
+
+def lacking(s, d):
+    rows, wanted = cells(s, d)
+    return K.missing_cells(rows.where("prompt <> 'own' or unit >= 'N03'"), ["weights", "prompt", "unit"], wanted)
+
+
+register("b8_two_by_two", two_by_two, f"SELECT weights, prompt, avg(tvd) AS tvd, avg(top_match) AS top_match, count(DISTINCT unit) AS units FROM ({CELLS}) WHERE NOT EXISTS ({WANTED} EXCEPT SELECT weights, prompt, unit FROM ({CELLS})) GROUP BY 1, 2", "evaluated people", "tvd top_match")
+register("b8_missing_cells", lacking, f"{WANTED} EXCEPT SELECT weights, prompt, unit FROM ({CELLS}) WHERE prompt <> 'own' OR unit >= 'N03'", "evaluated people")
 
 
 def banks(s, d):
@@ -258,5 +284,17 @@ register(
     "answers",
     "value prob",
 )
+
+
+def drifting(s, d):
+    """Waves with differing columns, all of them kept; position is the column's place in the union."""
+    first = X.table(s, d, "customer").select(F.col("c_nationkey").alias("Nation"), F.col("c_acctbal").alias("Balance"), F.col("c_mktsegment").alias("Segment"))
+    second = X.table(s, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    rows = files.waves([first, second])
+    return files.column_report(rows, rows.columns).select("column", "n", X.lookup(F.col("column"), {c: str(k) for k, c in enumerate(rows.columns)}).alias("position"))
+
+
+register("u5_union_of_columns", drifting, "SELECT 'nation' AS column, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n, '0' AS position UNION ALL SELECT 'balance', (SELECT count(c_acctbal) FROM customer) + (SELECT count(s_acctbal) FROM supplier), '1' UNION ALL SELECT 'segment', count(c_mktsegment), '2' FROM customer UNION ALL SELECT 'name', count(s_name), '3' FROM supplier")
+register("s7_required_columns", lambda s, d: files.column_report(X.table(s, d, "documents"), ["doc_id", "lang", "text", "rating"]), "SELECT 'doc_id' AS column, TRUE AS present, count(doc_id) AS n FROM documents UNION ALL SELECT 'lang', TRUE, count(lang) FROM documents UNION ALL SELECT 'text', TRUE, count(text) FROM documents UNION ALL SELECT 'rating', FALSE, NULL")
 register("u1_u4_sets", lambda s, d: X.table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(X.table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).union(X.table(s, d, "nation").select(F.col("n_nationkey").alias("k"))).distinct().exceptAll(X.table(s, d, "region").select(F.col("r_regionkey").alias("k"))), "SELECT n_nationkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region", ints="k")
 register("a31_coverage", lambda s, d: S.coverage(X.missing(s, d), ["item"], "miss_set"), "SELECT item, avg(CASE WHEN value NOT IN (-1,-2,-3,-4,-5,88,98,888888,988888,999999) THEN 1.0 ELSE 0 END) AS share, count(*) FILTER (value NOT IN (-1,-2,-3,-4,-5,88,98,888888,988888,999999)) AS n_valid, count(*) AS n FROM missing GROUP BY item", "missing", "share")

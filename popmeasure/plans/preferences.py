@@ -122,15 +122,28 @@ register("q18_targets", targets, "SELECT 'all' AS mode, (SELECT count(DISTINCT p
 register("q19_identity_classes", lambda s, d: P.identity_classes(X.labelled(s, d), "unit", "p_partkey", "chosen_option").select(F.array_join("members", ",").alias("members"), "n"), "SELECT string_agg(unit, ',' ORDER BY unit) AS members, count(*) AS n FROM (SELECT unit, string_agg(p_partkey || chosen_option, '|' ORDER BY p_partkey) AS v FROM labelled GROUP BY 1) GROUP BY v", "labelled")
 register("q20_sign_classes", lambda s, d: P.sign_vectors(X.anchors(s, d)).groupBy("signs").agg(F.array_join(F.sort_array(F.collect_list("unit")), ",").alias("members"), F.count("*").alias("n")), "SELECT signs, string_agg(unit, ',' ORDER BY unit) AS members, count(*) AS n FROM (SELECT unit, string_agg(CASE WHEN z >= 0 THEN '+' ELSE '-' END, '' ORDER BY dimension) AS signs FROM anchors GROUP BY 1) GROUP BY 1", "anchors")
 register("q21_sample_sizes", lambda s, d: P.sample_sizes(X.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("unit")).agg(F.count("*").alias("n")), [5, 50, 100000]).select("unit", "size", "used", "skipped"), "SELECT c_nationkey AS unit, size, CASE WHEN count(*) >= size THEN size END AS used, count(*) < size AS skipped FROM customer, (VALUES (5), (50), (100000)) v(size) GROUP BY 1, 2", ints="unit size used")
-register("q22_nested_export", lambda s, d: X.gated(s, d).where("qc_status = 'pass'").groupBy("unit").agg(F.count("*").alias("n")).join(X.anchors(s, d).groupBy("unit").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "z")))).alias("profile")), "unit").select("unit", "n", F.round(F.col("profile")["risk"], 6).alias("risk")), "SELECT unit, n, z AS risk FROM (SELECT unit, count(*) AS n FROM gated WHERE qc_status = 'pass' GROUP BY 1) JOIN anchors USING (unit) WHERE dimension = 'risk'", "gated anchors", "risk")
-register("q23_even_allocation", lambda s, d: X.table(s, d, "nation").select("n_nationkey", C.even_allocation(F.lit(1234), F.col("n_nationkey"), F.lit(25)).alias("share")), "SELECT n_nationkey, 1234 // 25 + (n_nationkey < 1234 % 25)::INT AS share FROM nation", ints="n_nationkey share")
 register(
-    "q24_twin_reliability",
-    lambda s, d: (lambda rows: rows.where("policy = 'N03_adapter'").select("unit", "item", F.col("tvd").alias("ta"), F.col("mean_q").alias("ma")).join(rows.where("policy = 'base'").select("unit", "item", F.col("tvd").alias("tb"), F.col("mean_q").alias("mb")), ["unit", "item"]).groupBy("item").agg(F.avg(F.abs(F.col("ma") - F.col("mb"))).alias("mean_gap"), F.percentile(F.abs(F.col("ta") - F.col("tb")), 0.5).alias("median_tvd_gap"), F.max(F.abs(F.col("ta") - F.col("tb"))).alias("max_tvd_gap")))(X.evaluated(s, d)),
-    "SELECT item, avg(abs(a.mean_q - b.mean_q)) AS mean_gap, quantile_cont(abs(a.tvd - b.tvd), 0.5) AS median_tvd_gap, max(abs(a.tvd - b.tvd)) AS max_tvd_gap FROM evaluated a JOIN evaluated b USING (unit, item) WHERE a.policy = 'N03_adapter' AND b.policy = 'base' GROUP BY 1",
-    "evaluated",
-    "mean_gap median_tvd_gap max_tvd_gap",
+    "q22_nested_export",
+    lambda s, d: P.nested_export(X.gated(s, d), X.anchors(s, d), [5, 20], "p_partkey", "run-1", "2026-01-01T00:00:00", "export").select("unit", "p_partkey", "chosen_option", "sample_size", "sample_rank", "run_id", "export_timestamp", F.array_join(F.map_keys("profile"), ",").alias("dimensions"), F.col("profile")["risk"].alias("risk")),
+    """SELECT unit, p_partkey, chosen_option, size AS sample_size, k AS sample_rank, 'run-1' AS run_id, '2026-01-01T00:00:00' AS export_timestamp, dimensions, risk FROM (SELECT unit, p_partkey, chosen_option, row_number() OVER (PARTITION BY unit ORDER BY md5('export|' || p_partkey), p_partkey) AS k FROM gated WHERE qc_status = 'pass')
+    JOIN (SELECT unit, string_agg(dimension, ',' ORDER BY dimension) AS dimensions, max(z) FILTER (dimension = 'risk') AS risk FROM anchors GROUP BY 1) USING (unit), (VALUES (5), (20)) v(size) WHERE k <= size""",
+    "gated anchors",
+    "risk",
+    "sample_size",
 )
+register("q23_even_allocation", lambda s, d: X.table(s, d, "nation").select("n_nationkey", C.even_allocation(F.lit(1234), F.col("n_nationkey"), F.lit(25)).alias("share")), "SELECT n_nationkey, 1234 // 25 + (n_nationkey < 1234 % 25)::INT AS share FROM nation", ints="n_nationkey share")
+
+
+def twins(s, d):
+    """Every adapter against base, item by item, over the units that both are evaluated on."""
+    rows = X.evaluated(s, d)
+    left = rows.where("policy <> 'base'").select("policy", "unit", "item", F.col("tvd").alias("ta"), F.col("mean_q").alias("ma"))
+    both = left.join(rows.where("policy = 'base'").select("unit", "item", F.col("tvd").alias("tb"), F.col("mean_q").alias("mb")), ["unit", "item"])
+    gap = F.abs(F.col("ta") - F.col("tb"))
+    return both.groupBy("policy", "item").agg(F.avg(F.abs(F.col("ma") - F.col("mb"))).alias("mean_gap"), F.percentile(gap, 0.5).alias("median_tvd_gap"), F.max(gap).alias("max_tvd_gap"))
+
+
+register("q24_twin_reliability", twins, "SELECT a.policy, item, avg(abs(a.mean_q - b.mean_q)) AS mean_gap, quantile_cont(abs(a.tvd - b.tvd), 0.5) AS median_tvd_gap, max(abs(a.tvd - b.tvd)) AS max_tvd_gap FROM evaluated a JOIN evaluated b USING (unit, item) WHERE a.policy <> 'base' AND b.policy = 'base' GROUP BY 1, 2", "evaluated", "mean_gap median_tvd_gap max_tvd_gap")
 register("q25_write_back", lambda s, d: K.many_to_one(X.bank_rows(s, d).select("p_partkey", "seq"), X.bank(s, d).select("p_partkey", "m_a"), ["p_partkey"]), "SELECT p_partkey, r.seq, b.m_a FROM bank_rows r JOIN bank b USING (p_partkey)", "bank_rows bank", "m_a", "seq")
 register("q26_record_fields", lambda s, d: X.table(s, d, "events").select("event_id", K.record_fields(F.to_json(F.struct("user_id", "event_type")), ["user_id", "value"]).alias("f")).select("event_id", F.array_join("f.missing", ",").alias("missing"), F.array_join("f.extra", ",").alias("extra")), "SELECT event_id, 'value' AS missing, 'event_type' AS extra FROM events")
 
@@ -160,16 +173,41 @@ def prompts(s, d):
 
 
 register("f2_prompts", prompts, "SELECT unit, string_agg(dimension || ': ' || printf('%+.2f', round(z, 9)) || ' ' || CASE WHEN abs(z) < 0.1 THEN 'near_zero' ELSE CASE WHEN abs(z) < 0.4 THEN 'moderate_' ELSE 'strong_' END || CASE WHEN z >= 0 THEN 'positive' ELSE 'negative' END END, chr(10) ORDER BY dimension) || chr(10) || '1: yes' || chr(10) || '2: no' AS prompt FROM anchors GROUP BY unit", "anchors")
-register("f3_answer_validity", lambda s, d: X.missing(s, d).withColumn("code", F.col("value").cast("int").cast("string")).groupBy("item").agg(F.count_if(F.array_contains(F.array(*(F.lit(str(k)) for k in range(1, 8))), F.col("code"))).alias("valid"), F.count("*").alias("n")), "SELECT item, count(*) FILTER (value IN (1,2,3,4,5,6,7)) AS valid, count(*) AS n FROM missing GROUP BY 1", "missing")
+
+
+def validity(s, d):
+    """Answers by unit and source; codes of I6 are 1 to 40 only, and texts of dear lines count as cut off."""
+    answers = X.answers(s, d).select(F.col("source").alias("policy"), "unit", "item", F.col("value").cast("int").cast("string").alias("answer"), (F.col("price") > 50000).alias("truncated"), "l_orderkey", "l_linenumber", "value", "price")
+    most = {"I1": 7, "I2": 10, "I3": 8, "I4": 3, "I5": 2, "I6": 40, "I7": 5}
+    spec = s.createDataFrame([(i, [str(k) for k in range(1, n + 1)]) for i, n in most.items()], "item string, codes array<string>")
+    return K.answer_validity(answers, spec, ["l_orderkey", "l_linenumber", "value", "price"])
+
+
+register(
+    "f3_answer_validity",
+    validity,
+    """SELECT policy, unit, count(*) AS n_questions, count(*) FILTER (ok) AS valid, avg(ok::INT) AS valid_rate, count(*) FILTER (price > 50000) AS truncated FROM (SELECT *, value >= 1 AND value <= CASE item WHEN 'I1' THEN 7 WHEN 'I2' THEN 10 WHEN 'I3' THEN 8 WHEN 'I4' THEN 3 WHEN 'I5' THEN 2 WHEN 'I6' THEN 40 ELSE 5 END AS ok FROM
+    (SELECT source AS policy, unit, item, arg_min(value, struct_pack(a := l_orderkey, b := l_linenumber, c := value, d := price)) AS value, arg_min(price, struct_pack(a := l_orderkey, b := l_linenumber, c := value, d := price)) AS price FROM answers GROUP BY 1, 2, 3)) GROUP BY 1, 2""",
+    "answers",
+    "valid_rate",
+)
 register("f4_item_map", lambda s, d: X.means(s, d).select("item").distinct().withColumn("dimension", F.when(F.col("item") != "I6", X.lookup(F.col("item"), X.DIMENSIONS))).agg(F.count("*").alias("rows"), F.count("dimension").alias("mapped"), F.count_if(F.col("dimension").isNull()).alias("unmapped")), "SELECT count(*) AS rows, count(*) FILTER (item <> 'I6') AS mapped, count(*) FILTER (item = 'I6') AS unmapped FROM (SELECT DISTINCT item FROM means)", "means")
 
 
 def receipts(s, d):
-    rows = X.table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("run_id"), F.element_at(F.array(*(F.lit(x) for x in ("generate", "label", "eval"))), (F.col("event_id") % 3 + 1).cast("int")).alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.lit("h").alias("protocol_hash"), F.col("event_id").alias("mtime"))
-    return K.stage_report(rows, ["generate", "label", "eval", "report"]).select("run_id", "hashes", "failed", F.array_join("missing", ",").alias("missing"), "ok")
+    """Runs of three stages: run 2 has no eval, run 5 labels by another protocol, and the newest event of some stages is an error."""
+    stage = F.element_at(F.array(*(F.lit(x) for x in ("generate", "label", "eval"))), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = X.table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("run_id"), stage.alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("event_id").alias("mtime"))
+    rows = rows.where("not (run_id = '2' and stage = 'eval')").withColumn("protocol_hash", F.when(F.expr("run_id = '5' and stage = 'label'"), "g").otherwise("h"))
+    return K.stage_report(rows, ["generate", "label", "eval"]).select("run_id", "hashes", "failed", F.array_join("missing", ",").alias("missing"), "ok")
 
 
-register("f5_stage_report", receipts, "SELECT run_id, 1 AS hashes, count(*) FILTER (status = 'error') AS failed, 'report' AS missing, FALSE AS ok FROM (SELECT CAST(user_id % 10 AS VARCHAR) AS run_id, event_id % 3 AS stage, arg_max(event_type, event_id) AS status FROM events GROUP BY 1, 2) GROUP BY 1", ints="hashes")
+register(
+    "f5_stage_report",
+    receipts,
+    """SELECT run_id, count(DISTINCT hash) AS hashes, count(*) FILTER (status = 'error') AS failed, CASE WHEN count(*) FILTER (stage = 2) = 0 THEN 'eval' ELSE '' END AS missing, count(*) = 3 AND count(DISTINCT hash) = 1 AND count(*) FILTER (status = 'error') = 0 AS ok
+    FROM (SELECT CAST(user_id % 10 AS VARCHAR) AS run_id, event_id % 3 AS stage, arg_max(event_type, event_id) AS status, CASE WHEN user_id % 10 = 5 AND event_id % 3 = 1 THEN 'g' ELSE 'h' END AS hash FROM events WHERE NOT (user_id % 10 = 2 AND event_id % 3 = 2) GROUP BY 1, 2, 4) GROUP BY 1""",
+)
 register("f6_anchor_item_means", lambda s, d: X.missing(s, d).where("value >= 0").groupBy("unit", "item").agg(F.round(F.avg("value"), 3).alias("mean")).withColumn("dimension", X.lookup(F.col("item"), X.DIMENSIONS)), f"SELECT unit, item, round(avg(value), 3) AS mean, {X.sql_lookup('item', X.DIMENSIONS)} AS dimension FROM missing WHERE value >= 0 GROUP BY 1, 2", "missing", "mean")
 
 # Sinks and streams, written to the shared folder and read again

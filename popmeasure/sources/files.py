@@ -19,6 +19,19 @@ def require(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, present, n: which of the wanted columns a table has, and how many of its values are there. One pass over those it has."""
+    have = [c for c in columns if c in df.columns]
+    counts = df.agg(*(F.count(c).alias(c) for c in have), F.lit(0).alias("__none"))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), (F.col(c) if c in have else F.lit(None).cast("long")).alias("n")) for c in columns))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def union_of_columns(*lists: list[str]) -> list[str]:
+    """The lists' names, each once, in the order in which they first come."""
+    return list(dict.fromkeys(c for names in lists for c in names))
+
+
 def csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.schema(schema).csv(path, header=True)
     return df.select(*columns) if columns else df
@@ -40,20 +53,19 @@ def family(spark: SparkSession, paths: list[str], pattern: str, tag: str) -> Dat
     return spark.read.parquet(*paths).withColumn(tag, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def waves(frames: list[DataFrame], keep: list[str]) -> DataFrame:
-    """Union of waves whose columns differ: names in lower case, the first of repeated names, only `keep`, nulls where a wave lacks one."""
+def waves(frames: list[DataFrame], keep: list[str] | None = None) -> DataFrame:
+    """Union of waves whose columns differ: names in lower case, the first of repeated names, nulls where a wave lacks one.
+
+    Only `keep`, or all columns in the order in which they first come.
+    """
     out = None
+    keep = keep or union_of_columns(*([c.lower() for c in df.columns] for df in frames))
     for df in frames:
         names = [c.lower() for c in df.columns]
         seen = [f"__{k}" if c in names[:k] else c for k, c in enumerate(names)]
         part = df.toDF(*seen).select(*(c for c in keep if c in seen))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def coalesced_weight(df: DataFrame, candidates: list[str]) -> str:
-    """The first candidate that the table has at all: chosen for the table, not row by row."""
-    return next(c for c in candidates if c in df.columns)
+    return out.select(*(c for c in keep if c in out.columns))
 
 
 def ordered_columns(df: DataFrame, front: list[str]) -> DataFrame:

@@ -184,3 +184,72 @@ def test_skew_does_not_change_results(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("unit"), F.lit("i").alias("item"), (F.col("id") % 7).cast("double").alias("value"), F.lit(1.0).alias("weight"))
     got = D.distribution(rows, ["unit"]).groupBy("unit").agg(F.sum("prob").alias("p"), F.first("n_valid").alias("n")).collect()
     assert {r["unit"]: (round(r["p"], 9), r["n"]) for r in got} == {"small": (1.0, 2000), "large": (1.0, 18000)}
+
+
+def plane_of(rows, axes=2):
+    """Units, centred means and axes by a singular value decomposition."""
+    import numpy as np
+
+    units = sorted({u for u, _, _ in rows})
+    items = sorted(i for i in {i for _, i, _ in rows} if sum(j == i for _, j, _ in rows) == len(units))
+    at = {(u, i): m for u, i, m in rows}
+    x = np.array([[at[u, i] for i in items] for u in units])
+    vt = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:axes]
+    return units, items, x.mean(0), vt * np.sign(vt[range(axes), np.abs(vt).argmax(1)])[:, None]
+
+
+def test_plane_and_projection_as_by_hand(spark):
+    import numpy as np
+
+    rows = [(f"u{k}", f"i{j}", float((k * 7 + j * j * 3 + k * j * 5) % 11)) for k in range(6) for j in range(5) if (k, j) != (2, 4)]
+    units, items, center, axes = plane_of(rows)
+    assert items == ["i0", "i1", "i2", "i3"]  # one unit lacks i4
+    means = spark.createDataFrame(rows, "unit string, item string, mean double")
+    plane = G.principal_plane(means)
+    at = {(u, i): m for u, i, m in rows}
+    got = {r["unit"]: (r["x1"], r["x2"], r["n_items"]) for r in G.projected(means, plane).collect()}
+    for u in units:
+        assert np.allclose(got[u][:2], axes @ (np.array([at[u, i] for i in items]) - center)) and got[u][2] == 4
+    policy = spark.createDataFrame([("p", "i1", 4.0), ("p", "i3", 2.0), ("p", "i4", 9.0)], "policy string, item string, mean double")
+    r = G.projected(policy, plane, "policy").first()
+    assert np.allclose([r["x1"], r["x2"]], axes[:, [1, 3]] @ (np.array([4.0, 2.0]) - center[[1, 3]])) and r["n_items"] == 2
+
+
+def test_scaling_gives_back_distances_in_a_plane(spark):
+    at = {f"u{k}": (math.cos(k * k), k % 3 + math.sin(k)) for k in range(7)}
+    pairs = spark.createDataFrame([(a, b, math.dist(at[a], at[b])) for a in at for b in at if a < b], "a string, b string, d double")
+    got = {r["unit"]: (r["x1"], r["x2"]) for r in G.classical_scaling(pairs).collect()}
+    assert all(math.isclose(math.dist(got[a], got[b]), math.dist(at[a], at[b]), abs_tol=1e-9) for a in at for b in at)
+
+
+def test_answers_are_counted_once_and_null_is_not_valid(spark):
+    answers = spark.createDataFrame([("p", "u", "i", "1", True, 1), ("p", "u", "i", "9", False, 2), ("p", "u", "j", None, False, 1), ("p", "v", "k", "1", None, 1)], "policy string, unit string, item string, answer string, truncated boolean, at int")
+    spec = spark.createDataFrame([("i", ["1", "2"]), ("j", ["1"])], "item string, codes array<string>")
+    got = {r["unit"]: tuple(r)[2:] for r in K.answer_validity(answers, spec, ["at"]).collect()}
+    assert got == {"u": (2, 1, 0.5, 1), "v": (1, 0, 0.0, 0)}
+
+
+def test_incomplete_tables_are_not_given(spark):
+    rows = spark.createDataFrame([("a", "u"), ("a", "v"), ("b", "u")], "cell string, unit string")
+    wanted = spark.createDataFrame([("a", "u"), ("a", "v"), ("b", "u"), ("b", "v")], "cell string, unit string")
+    lacking = K.missing_cells(rows, ["cell", "unit"], wanted)
+    assert [tuple(r) for r in lacking.collect()] == [("b", "v")]
+    assert K.complete_only(rows, lacking).count() == 0
+    assert K.complete_only(rows, K.missing_cells(rows, ["cell", "unit"], wanted.where("unit = 'u'"))).count() == 3
+
+
+def test_export_nests_and_carries_profiles(spark):
+    rows = spark.createDataFrame([("u", k, "pass" if k % 4 else "dist_fail") for k in range(20)] + [("v", 1, "pass")], "unit string, k int, qc_status string")
+    profiles = spark.createDataFrame([("u", "risk", 1.0), ("u", "trust", -1.0)], "unit string, dimension string, z double")
+    got = P.nested_export(rows, profiles, [3, 30], "k", "r", "t", "s").collect()
+    small, large = ({r["k"] for r in got if r["unit"] == "u" and r["sample_size"] == n} for n in (3, 30))
+    assert len(small) == 3 and small < large == {k for k in range(20) if k % 4}
+    assert all(r["profile"] == ({"risk": 1.0, "trust": -1.0} if r["unit"] == "u" else None) for r in got) and sum(r["unit"] == "v" for r in got) == 2
+
+
+def test_columns_in_the_order_in_which_they_first_come(spark):
+    assert files.union_of_columns(["b", "a"], ["c", "a"], ["b", "d"]) == ["b", "a", "c", "d"]
+    a, b = spark.createDataFrame([(1, 2)], "B int, a int"), spark.createDataFrame([(3, 4)], "c int, b int")
+    out = files.waves([a, b])
+    assert out.columns == ["b", "a", "c"] and {tuple(r) for r in out.collect()} == {(1, 2, None), (4, None, 3)}
+    assert [tuple(r) for r in files.column_report(a, ["a", "z"]).collect()] == [("a", True, 1), ("z", False, None)]
