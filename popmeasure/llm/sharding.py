@@ -54,7 +54,7 @@ def slot_of(key: Column, size: int = SLOTS) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size
 
 
-def place(rows: DataFrame, key: str, shards: list[str], size: int = SLOTS, weights: dict[str, str] | None = None) -> DataFrame:
+def place(rows: DataFrame, key: str, shards: list[str], size: int = SLOTS) -> DataFrame:
     """rows with the added columns slot and shard (index). Existing columns with these names are replaced.
 
     Nulls and repeated keys: equal keys, nulls included, share a shard. Empty tables stay empty.
