@@ -22,6 +22,11 @@ def without_conflicts(rows: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("versions") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a key has different texts")).cast("boolean")))
 
 
+def flagged_conflicts(rows: DataFrame) -> DataFrame:
+    """A bank() with conflict: whether a key has several versions. Such keys can be set aside without an error."""
+    return rows.withColumn("conflict", F.col("versions") > 1)
+
+
 def rotate_scores(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """Chosen and rejected scores turned back to options A and B; null where the choice is neither."""
     pick = lambda a, b: F.when(F.col("chosen_option") == "A", F.col(a)).when(F.col("chosen_option") == "B", F.col(b))

@@ -29,7 +29,7 @@ def scratch(spark, name: str) -> str:
 # Banks and labels
 register("q1_content_key", lambda s, d: X.bank(s, d).select("p_partkey", C.content_key(F.col("dimension"), F.col("prompt")).alias("key"), F.substring(F.sha2(F.to_json(F.struct("dimension", "prompt")), 256), 1, 16).alias("cache_key")), """SELECT p_partkey, substr(sha1(dimension || chr(10) || prompt), 1, 12) AS key, substr(sha256('{"dimension":"' || dimension || '","prompt":"' || prompt || '"}'), 1, 16) AS cache_key FROM bank""", "bank")
 register("q2_bank", lambda s, d: X.bank(s, d).drop("seq"), "SELECT * FROM bank", "bank", "m_a m_b")
-register("q2_conflicts", lambda s, d: P.without_conflicts(X.bank(s, d).where("p_partkey % 50 <> 0")).groupBy("dimension").agg(F.count("*").alias("n")), "SELECT dimension, count(*) AS n FROM bank WHERE p_partkey % 50 <> 0 GROUP BY 1", "bank")
+register("q2_conflicts", lambda s, d: P.flagged_conflicts(X.bank(s, d)).select("dimension", "p_partkey", "copies", "versions", "conflict"), "SELECT dimension, p_partkey, copies, versions, versions > 1 AS conflict FROM bank", "bank")
 
 
 def rotated(s, d):

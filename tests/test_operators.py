@@ -253,3 +253,8 @@ def test_columns_in_the_order_in_which_they_first_come(spark):
     out = files.waves([a, b])
     assert out.columns == ["b", "a", "c"] and {tuple(r) for r in out.collect()} == {(1, 2, None), (4, None, 3)}
     assert [tuple(r) for r in files.column_report(a, ["a", "z"]).collect()] == [("a", True, 1), ("z", False, None)]
+
+
+def test_keys_with_several_texts_are_flagged(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, versions int")
+    assert {tuple(r) for r in P.flagged_conflicts(rows).select("k", "conflict").collect()} == {("a", False), ("b", True)}
