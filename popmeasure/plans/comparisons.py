@@ -199,8 +199,8 @@ register(
     "evaluated",
     "mean low high",
 )
-register("r1_poisson_bootstrap", lambda s, d: T.poisson_mean(X.table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 20), """SELECT o_orderstatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT o_orderstatus, rep, sum(w * o_totalprice) / sum(w) AS m FROM (SELECT o_orderstatus, rep, o_totalprice,
-    POISSON AS w FROM (SELECT *, ('0x' || substr(md5('boot|' || o_orderkey || '|' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, generate_series(1, 20) r(rep))) GROUP BY 1, 2) GROUP BY 1""".replace("POISSON", " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in T.poisson_cuts())), doubles="low high")
+register("r1_poisson_bootstrap", lambda s, d: T.poisson_mean(X.table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 200), """SELECT o_orderstatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT o_orderstatus, rep, sum(w * o_totalprice) / sum(w) AS m FROM (SELECT o_orderstatus, rep, o_totalprice,
+    POISSON AS w FROM (SELECT *, ('0x' || substr(md5('boot|' || o_orderkey || '|' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, generate_series(1, 200) r(rep))) GROUP BY 1, 2) GROUP BY 1""".replace("POISSON", " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in T.poisson_cuts())), doubles="low high")
 register("r3_r4_accuracy", lambda s, d: T.accuracy(X.evaluated(s, d), ["policy"], F.col("top_match")), "SELECT policy, p AS share, n, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS low, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS high FROM (SELECT policy, avg(top_match::INT) AS p, count(*) AS n FROM evaluated GROUP BY 1)", "evaluated", "share low high")
 register("r8_linear_fit", lambda s, d: T.linear_fit(X.evaluated(s, d), ["policy"], "mean_p", "mean_q"), "SELECT policy, regr_slope(mean_q, mean_p) AS slope, regr_intercept(mean_q, mean_p) AS intercept, count(mean_q) AS n FROM evaluated GROUP BY 1", "evaluated", "slope intercept")
 
