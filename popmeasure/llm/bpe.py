@@ -221,6 +221,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text of every document; a null text counts as empty."""
     rows = tokenised(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select(
         "doc_id",

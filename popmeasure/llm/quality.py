@@ -209,5 +209,6 @@ def passing(docs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_failed and kept of every document; a null text has no words, so it fails the base rules."""
     rows = quality_verdicts(documents(spark, sf_dir), labels(spark, sf_dir))
     return rows.select("doc_id", *COUNTS[:5], "base_failed", "kept", "stratum", *CUTOFFS)

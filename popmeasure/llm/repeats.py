@@ -390,4 +390,5 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, what was removed and a digest of what is left, of every document; a null text counts as empty."""
     return repeated_passages(documents(spark, sf_dir)).drop("spans")
