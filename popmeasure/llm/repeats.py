@@ -143,7 +143,7 @@ def _unplaned(blobs: list[bytes], size: int) -> np.ndarray:
 #: Columns of the packed tables and the bytes of their values. Ids are kept as unsigned numbers.
 #: tag is a checksum of the text: rows with one id and different texts are told apart by it.
 PLACE = {"doc": 8, "tag": 4, "at": 4, "windows": 2, "anchor": 5}
-RUN, MARK = PLACE | {"whole": 5}, PLACE | {"partial": 1}
+RUN, MARK = PLACE | {"whole": 8}, PLACE | {"partial": 1}
 BLOBS = [*PLACE, "extra", "text"]
 PACKED = "key int, kind int, " + ", ".join(f"{c} binary" for c in BLOBS)
 
@@ -208,7 +208,7 @@ def _send_runs(parts: int, homes: int):
                 which, at, windows, anchor, whole = runs_of(data, starts)
                 if not len(which):
                     continue
-                anchor, whole, doc = anchor & np.uint64(MASK), whole & np.uint64(MASK), ids[which]
+                anchor, doc = anchor & np.uint64(MASK), ids[which]
                 columns = {"doc": doc, "tag": tags[which], "at": at.astype(np.uint64), "windows": windows.astype(np.uint64), "anchor": anchor, "whole": whole}
                 order = np.lexsort((doc.view(np.int64), whole, anchor))
                 a, w, d = anchor[order], whole[order], doc[order]
