@@ -12,8 +12,10 @@ belongs to the least hash among its ANCHOR-byte strings; equal windows share it
 Neighbouring windows with one such anchor make a run (about one in fourteen bytes starts one).
 
 1. Runs are dealt by anchor, as hashes. A run that equals a run of an earlier document is gone as a whole.
-   Equal runs within a chunk of documents are folded before the shuffle, so a passage that a third of all
-   documents share sends one row a chunk. Most runs match nothing and end here.
+   Equal runs within a task are folded before the shuffle, so a passage that a third of all documents share
+   sends a few rows a task. Most runs match nothing and end here. A phrase that very many documents have among
+   different neighbours is an anchor of very many distinct runs: those are dealt as single windows, by hashes
+   of the window, which spread over all parts.
 2. The first of each distinct run whose anchor several documents share sends its bytes; they are dealt by
    anchor, and each part gets a suffix order by prefix doubling and its longest-previous-factor test.
 3. Marks return to their documents (dealt by id) and cut the text.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, next_prime, partitions, text_bytes, written
+from .common import NULL_ID, documents, dropped, next_prime, partitions, ready, text_bytes, written
 
 WIDTH = 50
 ANCHOR = 24
@@ -43,7 +45,10 @@ CHUNK, LONGEST = 1 << 19, 256
 RUNS, BYTES = 400_000, 1_000_000
 MASK = (1 << 40) - 1
 BASE = 0x9E3779B97F4A7C15
-_RANDOM = np.random.default_rng(20240607).integers(1, 2**63, 256).astype(np.uint64)
+_RANDOM, _SECOND = np.random.default_rng(20240607).integers(1, 2**63, (2, 256)).astype(np.uint64)
+#: Runs that a task remembers; distinct runs of an anchor from which its windows are dealt one by one;
+#: one document of so many is counted to know these anchors beforehand; most anchors of such a list.
+SLOTS, MANY, EVERY, HOTTEST = 1 << 20, BYTES // 64, 64, 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -201,34 +206,116 @@ def _laid(ids: list[int], texts: list[bytes]):
     return np.array(ids, np.int64).view(np.uint64), tags, np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
-def _send_runs(parts: int, homes: int):
+class Seen:
+    """What a task sent last: the least document of a run, in a slot that the run's hashes name. A run that meets a smaller
+    document there is gone and need not be sent, so a passage of very many documents sends a few rows a task. A slot that
+    another run took only costs a row more."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.anchor, self.whole, self.doc = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.used = np.zeros(slots, bool)
+
+    def least(self, anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The smaller of doc and the document held, for distinct runs; both are held or sent from now on."""
+        slot = ((anchor ^ whole) % np.uint64(len(self.used))).astype(np.int64)
+        same = self.used[slot] & (self.anchor[slot] == anchor) & (self.whole[slot] == whole)
+        least = np.where(same, np.minimum(doc, self.doc[slot]), doc)
+        slot, one = np.unique(slot, return_index=True)
+        self.anchor[slot], self.whole[slot], self.doc[slot], self.used[slot] = anchor[one], whole[one], least[one], True
+        return least
+
+
+def _gone(c: dict[str, np.ndarray], seen: Seen | None = None) -> np.ndarray:
+    """Which runs an equal run of a smaller document precedes, among these and those seen."""
+    doc = c["doc"].view(np.int64)
+    order = np.lexsort((doc, c["whole"], c["anchor"]))
+    a, w, d = c["anchor"][order], c["whole"][order], doc[order]
+    head = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])] if len(d) else np.zeros(0, bool)
+    least = seen.least(a[head], w[head], d[head]) if seen else d[head]
+    out = np.zeros(len(d), bool)
+    out[order] = d > least[np.cumsum(head) - 1]
+    return out
+
+
+def _marks(c: dict[str, np.ndarray], homes: int, key=lambda home: home) -> list[dict]:
+    """Packed rows of runs that are gone, for their homes."""
+    c = c | {"partial": np.zeros(len(c["doc"]), np.uint64)}
+    return [_pack(key(h), MARKS_OF, x, MARK) for h, x in _parted(c, _signed_mod(c["doc"], homes))]
+
+
+def _passed_on(home: int) -> int:
+    """Key of marks that go through a step unchanged; the key of the same function is the home again."""
+    return -1 - home
+
+
+def _dealt(c: dict[str, np.ndarray], parts: int, homes: int, seen: Seen | None = None) -> list[dict]:
+    """Packed rows of runs for the parts of their anchors, and marks of those that are gone already."""
+    gone = _gone(c, seen)
+    kept = {k: v[~gone] for k, v in c.items()}
+    rows = [_pack(p, RUNS_OF, x, RUN) for p, x in _parted(kept, (kept["anchor"] % np.uint64(parts)).astype(np.int64))]
+    return rows + _marks({k: v[gone] for k, v in c.items()}, homes, _passed_on)
+
+
+def _single(data: np.ndarray, begins: np.ndarray, c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Runs as single windows, with hashes of the window in place of anchor and whole. begins: where each run's bytes begin in data."""
+    n = c["windows"].astype(np.int64)
+    run = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = begins[run] + offset
+    first, second = (_mixed(gram_hashes(table[data], WIDTH))[place] if len(place) else np.zeros(0, np.uint64) for table in (_RANDOM, _SECOND))
+    return {"doc": c["doc"][run], "tag": c["tag"][run], "at": c["at"][run] + offset.astype(np.uint64), "windows": np.ones(len(run), np.uint64), "anchor": first & np.uint64(MASK), "whole": second}
+
+
+def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+def _send_runs(parts: int, homes: int, hot):
     def run(batches):
+        seen = Seen()
         for batch in batches:
             for ids, tags, data, starts in _chunks(batch, CHUNK):
                 which, at, windows, anchor, whole = runs_of(data, starts)
                 if not len(which):
                     continue
-                anchor, doc = anchor & np.uint64(MASK), ids[which]
-                columns = {"doc": doc, "tag": tags[which], "at": at.astype(np.uint64), "windows": windows.astype(np.uint64), "anchor": anchor, "whole": whole}
-                order = np.lexsort((doc.view(np.int64), whole, anchor))
-                a, w, d = anchor[order], whole[order], doc[order]
-                head = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])]
-                later = d != d[head][np.cumsum(head) - 1]
-                gone = np.zeros(len(d), bool)
-                gone[order[later]] = True
-                rows = [_pack(p, RUNS_OF, c, RUN) for p, c in _parted({k: v[~gone] for k, v in columns.items()}, (anchor[~gone] % np.uint64(parts)).astype(np.int64))]
-                if gone.any():
-                    local = {k: v[gone] for k, v in columns.items()} | {"partial": np.zeros(gone.sum(), np.uint64)}
-                    rows += [_pack(-1 - h, MARKS_OF, c, MARK) for h, c in _parted(local, _signed_mod(local["doc"], homes))]
-                yield from _table(rows).to_batches()
+                c = {"doc": ids[which], "tag": tags[which], "at": at.astype(np.uint64), "windows": windows.astype(np.uint64), "anchor": anchor & np.uint64(MASK), "whole": whole}
+                wide = _within(hot.value, c["anchor"])
+                if wide.any():
+                    cut = _single(data, (starts[which] + at)[wide], {k: v[wide] for k, v in c.items()})
+                    c = {k: np.concatenate([v[~wide], cut[k]]) for k, v in c.items()}
+                yield from _table(_dealt(c, parts, homes, seen)).to_batches()
 
     return run
 
 
-def _match_runs(homes: int):
+def _anchors(batches):
+    for batch in batches:
+        for _, _, data, starts in _chunks(batch, CHUNK):
+            anchor, whole = runs_of(data, starts)[3:]
+            yield pa.RecordBatch.from_arrays([pa.array((anchor & np.uint64(MASK)).view(np.int64)), pa.array(whole.view(np.int64))], names=["anchor", "whole"])
+
+
+def hot_anchors(rows: DataFrame, many: int, every: int) -> np.ndarray:
+    """Anchors of about `many` distinct runs or more, sorted; counted on the documents that a hash of the id picks, one of `every`.
+
+    They only say how runs are dealt: what is removed is the same for any list. At most HOTTEST are returned: each has one of
+    HOTTEST parts of all counted runs or more. Anchors below that are split where they meet (_match_runs).
+    """
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    counts = picked.mapInArrow(_anchors, "anchor long, whole long").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
+    counts = written(counts.where(F.col("n") >= max(2, many // every)), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * HOTTEST >= total).select("anchor").toArrow().column(0).to_numpy()
+    dropped(counts)
+    return np.sort(found.astype(np.uint64))
+
+
+def _match_runs(homes: int, many: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        marks = [r | {"key": -1 - r["key"]} for r in rows if r["kind"] == MARKS_OF]
+        marks = [r | {"key": _passed_on(r["key"])} for r in rows if r["kind"] == MARKS_OF]
         c = _unpack([r for r in rows if r["kind"] == RUNS_OF], RUN)
         order = np.lexsort((c["doc"].view(np.int64), c["whole"], c["anchor"]))
         c = {k: v[order] for k, v in c.items()}
@@ -242,27 +329,30 @@ def _match_runs(homes: int):
             mixed = np.minimum.reduceat(first, begins) != np.maximum.reduceat(first, begins)
             partial = ~later & mixed[groups][np.cumsum(sub) - 1]
             keep = later | partial
-            found = {k: v[keep] for k, v in c.items()} | {"partial": partial[keep].astype(np.uint64)}
+            crowded = np.diff(np.r_[begins, len(first)])[groups][np.cumsum(sub) - 1] > many
+            found = {k: v[keep] for k, v in c.items()} | {"partial": (partial * (1 + crowded))[keep].astype(np.uint64)}
             marks += [_pack(h, MARKS_OF, x, MARK) for h, x in _parted(found, _signed_mod(found["doc"], homes))]
         return _table(marks)
 
     return run
 
 
-def _send_pieces(parts: int):
-    """Texts of a home and its marks: the bytes of runs that must be compared."""
+def _send_pieces(parts: int, homes: int):
+    """Texts of a home and its marks: the bytes of runs that must be compared, or their windows one by one where an anchor has very many runs."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         c = _unpack(marks.to_pylist(), MARK)
-        c = {k: v[c["partial"] == 1] for k, v in c.items()}
         text_of = {(i, tag): raw for i, tag, raw in _rows(docs)}
-        rows = []
-        for part, x in _parted(c, (c["anchor"] % np.uint64(parts)).astype(np.int64)):
-            text = []
-            for doc, tag, at, windows in zip(x["doc"].view(np.int64).tolist(), x["tag"].tolist(), x["at"].tolist(), x["windows"].tolist(), strict=True):
-                text.append(text_of[doc, tag][at : at + windows + WIDTH - 1])
-            rows.append(_pack(part, PIECES_OF, x, PLACE, b"".join(text)))
-        return _table(rows)
+
+        def texts(c: dict[str, np.ndarray]) -> list[bytes]:
+            places = zip(c["doc"].view(np.int64).tolist(), c["tag"].tolist(), c["at"].tolist(), c["windows"].tolist(), strict=True)
+            return [text_of[doc, tag][at : at + windows + WIDTH - 1] for doc, tag, at, windows in places]
+
+        few, wide = ({k: v[c["partial"] == n] for k, v in c.items()} for n in (1, 2))
+        rows = [_pack(part, PIECES_OF, x, PLACE, b"".join(texts(x))) for part, x in _parted(few, (few["anchor"] % np.uint64(parts)).astype(np.int64))]
+        sizes = wide["windows"].astype(np.int64) + WIDTH - 1
+        data = np.frombuffer(b"".join(texts(wide)), np.uint8)
+        return _table(rows + _dealt(_single(data, np.cumsum(sizes) - sizes, wide), parts, homes))
 
     return run
 
@@ -319,6 +409,13 @@ def earlier_matches(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _compare(homes: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        marks = [r | {"key": _passed_on(r["key"])} for r in rows if r["kind"] == MARKS_OF]
+        single = _unpack([r for r in rows if r["kind"] == RUNS_OF], RUN)
+        gone = _gone(single)
+        marks += _marks({k: v[gone] for k, v in single.items()}, homes)
+        rows = [r for r in rows if r["kind"] == PIECES_OF]
+        if not rows:
+            return _table(marks)
         c = _unpack(rows, PLACE)
         data = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
         windows = c["windows"].astype(np.int64)
@@ -331,8 +428,8 @@ def _compare(homes: int):
         new = hit & np.r_[True, ~hit[:-1] | (piece[1:] != piece[:-1])] if len(hit) else hit
         last = hit & np.r_[~hit[1:] | (piece[1:] != piece[:-1]), True] if len(hit) else hit
         first, end = np.flatnonzero(new), np.flatnonzero(last)
-        found = {"doc": c["doc"][piece[first]], "tag": c["tag"][piece[first]], "at": c["at"][piece[first]] + offset[first].astype(np.uint64), "windows": (end - first + 1).astype(np.uint64), "anchor": c["anchor"][piece[first]], "partial": np.zeros(len(first), np.uint64)}
-        return _table([_pack(h, MARKS_OF, x, MARK) for h, x in _parted(found, _signed_mod(found["doc"], homes))])
+        found = {"doc": c["doc"][piece[first]], "tag": c["tag"][piece[first]], "at": c["at"][piece[first]] + offset[first].astype(np.uint64), "windows": (end - first + 1).astype(np.uint64), "anchor": c["anchor"][piece[first]]}
+        return _table(marks + _marks(found, homes))
 
     return run
 
@@ -373,18 +470,22 @@ def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _RESULT)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets that go)."""
-    spark = docs.sparkSession
+def repeated_passages(docs: DataFrame, many: int = MANY, every: int = EVERY) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets that go).
+
+    many and every (see MANY and EVERY) change how the work is dealt, never the result.
+    """
+    spark = ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     size, least = text_bytes(rows), partitions(spark)
     homes = next_prime(max(2 * least, size // 16_000_000))
     parts = max(least, size // 14 // RUNS)
-    runs = rows.mapInArrow(_send_runs(parts, homes), PACKED)
-    marks = written(runs.groupBy("key").applyInArrow(_match_runs(homes), PACKED), "marks")
+    hot = spark.sparkContext.broadcast(hot_anchors(rows, many, every))
+    runs = rows.mapInArrow(_send_runs(parts, homes, hot), PACKED)
+    marks = written(runs.groupBy("key").applyInArrow(_match_runs(homes, many), PACKED), "marks")
     home = rows.withColumn("home", F.pmod("id", F.lit(homes)).cast("int"))
     weight = marks.agg(F.sum(F.octet_length("windows"))).first()[0] or 0
-    pieces = home.groupBy("home").cogroup(marks.groupBy("key")).applyInArrow(_send_pieces(max(least, weight // 2 * 64 // BYTES)), PACKED)
+    pieces = home.groupBy("home").cogroup(marks.groupBy("key")).applyInArrow(_send_pieces(max(least, weight // 2 * 64 // BYTES), homes), PACKED)
     spans = pieces.groupBy("key").applyInArrow(_compare(homes), PACKED)
     return home.groupBy("home").cogroup(marks.union(spans).groupBy("key")).applyInArrow(_cut, RESULT)
 

@@ -194,6 +194,35 @@ def test_repeats_over_documents(spark):
     assert sorted(map(tuple, got)) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("every", [1, 10**9])
+def test_crowded_anchors_change_nothing(spark, every):
+    """A phrase in every document among different neighbours; its anchors are known beforehand (every = 1) or split where they meet."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = noise(60), noise(90)
+    texts = [noise(rng.randint(30, 80)) + phrase + noise(rng.randint(30, 80)) + (passage if k % 3 == 0 else "") for k in range(60)]
+    texts += [phrase, passage + "é" * 40, "", None]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = repeats.repeated_passages(docs_of(spark, texts, ids), many=3, every=every).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute_repeats([(i, (t or "").encode()) for i, t in zip(ids, texts, strict=True)])
+    found = repeats.hot_anchors(docs_of(spark, texts, ids).selectExpr("doc_id as id", "text"), 3, every)
+    assert (len(found) > 0) == (every == 1)
+
+
+def test_runs_seen_by_a_task():
+    """What Seen holds or forgets: the least document of each run is always sent, and a run is gone only behind a smaller one."""
+    rng = np.random.default_rng(5)
+    for slots in (1, 7, 1000):
+        seen, sent, gone_of = repeats.Seen(slots), {}, []
+        for _ in range(30):
+            c = {"doc": rng.integers(-50, 50, 40).view(np.uint64), "anchor": rng.integers(0, 4, 40).astype(np.uint64), "whole": rng.integers(0, 4, 40).astype(np.uint64)}
+            gone = repeats._gone(c, seen)
+            for doc, run, out in zip(c["doc"].view(np.int64).tolist(), zip(c["anchor"].tolist(), c["whole"].tolist(), strict=True), gone, strict=True):
+                gone_of.append((doc, run)) if out else sent.setdefault(run, []).append(doc)
+        assert all(min(sent[run]) < doc for doc, run in gone_of) and len(gone_of) > (0 if slots == 1 else 600)
+
+
 def test_suffix_ranks():
     data = np.frombuffer(b"banana\0banana", np.uint8)
     rank = repeats.suffix_ranks(data, 5)
