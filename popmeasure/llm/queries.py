@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, clusters, digest, language, mixing, negatives, novelty, pseudonyms, quality, repeats, sharding, simhash
+from . import bpe, clusters, digest, jaccard, language, mixing, negatives, novelty, pseudonyms, quality, repeats, sharding, simhash
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
+        "op11_jaccard": jaccard.op11_jaccard,
         "op12_clusters": clusters.op12_clusters,
         "op13_negatives": negatives.op13_negatives,
         "pipeline": pipeline,
@@ -31,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.op9_sql(), "op12_clusters": clusters.op12_sql(), "op13_negatives": negatives.op13_sql()}
+    return {"op9_sharding": sharding.op9_sql(), "op11_jaccard": jaccard.op11_sql(), "op12_clusters": clusters.op12_sql(), "op13_negatives": negatives.op13_sql()}
