@@ -18,6 +18,7 @@ the copies of a passage, or a group that a third of the rows is in, form no pair
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, dropped, ready, written
 from .components import components
 from .shingles import lots, window_hashes
-from .similar import how_common, prefix, short_sketch
+from .similar import bit_filter, held, how_common, prefix, short_sketch
 
 #: Turns in which sets are compared with leaders at most, leaders of a list in later turns, and the share of sets that a turn must link for another one to follow.
 TURNS, TRIES, FEW = 3, 4, 0.01
@@ -67,22 +68,25 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """n, set (array of hashes) of the nodes (n, hi, lo, first): only documents with the nodes' first ids are read for it."""
+    """n, set (array of hashes) of the nodes (n, hi, lo, first). Filters of fixed size keep other documents from being hashed, and other sets from the shuffle."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast((bit_filter(nodes.where("first is not null").select("first")), bit_filter(nodes.select("lo"))))
 
     def run(batches):
+        firsts, lows = sent.value
         for batch in batches:
-            for _, texts in lots(batch.column(0)):
-                sets = [np.unique(h) for h in window_hashes(texts, shingle)]
+            own = batch.column(0)
+            batch = batch.filter(pa.array(own.is_null().to_numpy(False) | held(firsts, own.fill_null(0).to_numpy())))
+            for _, texts in lots(batch.column(1)):
+                sets = [np.unique(h).view(np.int64) for h in window_hashes(texts, shingle)]
                 keys = [set_key(s) for s in sets]
-                ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], names=["hi", "lo", "set"])
+                keep = np.flatnonzero(held(lows, np.array([k[1] for k in keys], np.int64)))
+                ends = np.r_[0, np.cumsum([len(sets[k]) for k in keep])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(sets[k] for k in keep)])))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k][0] for k in keep], pa.int64()), pa.array([keys[k][1] for k in keep], pa.int64()), lists], names=["hi", "lo", "set"])
 
-    ids = nodes.select(F.col("first").alias("__id")).distinct()
-    some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    found = some.mapInArrow(run, "hi long, lo long, set array<long>")
-    named = found.join(nodes.select("n", F.col("hi").alias("__hi"), F.col("lo").alias("__lo")), (F.col("hi") == F.col("__hi")) & (F.col("lo") == F.col("__lo")))
-    return named.groupBy("n").agg(F.first("set").alias("set"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hi long, lo long, set array<long>")
+    return found.join(nodes.select("n", "hi", "lo"), ["hi", "lo"]).groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("set").alias("set")).select("n", "set")
 
 
 def block(size: Column, percent: int) -> Column:
@@ -105,12 +109,26 @@ def largest(size: Column, at: Column, percent: int) -> Column:
 
 def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """key, n, size, at, block, of, to of each prefix's entries: the entry's own block, and the blocks that it looks into. Only lists of several sets. Written."""
+    keys = nodes.select("n", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    several = written(keys.where("low <> high").select(F.col("key").alias("__key")), "several")
+    sent = nodes.sparkSession.sparkContext.broadcast(bit_filter(several))
+
+    def run(batches):
+        bits = sent.value
+        for batch in batches:
+            ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            counts = np.diff(lists.offsets.to_numpy())
+            keys, node = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), counts)
+            at = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keep = held(bits, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[node[keep]]), pa.array(sizes[node[keep]]), pa.array(at[keep].astype(np.int32))], names=["key", "n", "size", "at"])
+
     size, at = F.col("size"), F.col("at")
-    entries = nodes.select("n", "size", F.posexplode("prefix").alias("at", "key"))
+    entries = nodes.select("n", "size", "prefix").mapInArrow(run, "key long, n long, size int, at int").join(several, F.col("key") == F.col("__key"), "left_semi")
     entries = entries.withColumns({"low": smallest(size, percent), "high": largest(size, at, percent)}).where("low <= high")
-    entries = entries.select("key", "n", "size", "at", block(size, percent).alias("block"), block(F.col("low"), percent).alias("of"), block(F.col("high"), percent).alias("to"))
-    several = entries.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low <> high").select(F.col("key").alias("__key"))
-    return written(entries.join(several, F.col("key") == F.col("__key"), "left_semi"), "index-lists")
+    out = written(entries.select("key", "n", "size", "at", block(size, percent).alias("block"), block(F.col("low"), percent).alias("of"), block(F.col("high"), percent).alias("to")), "index-lists")
+    dropped(several)
+    return out
 
 
 def looking(entries: DataFrame) -> DataFrame:
@@ -184,24 +202,30 @@ def open_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with o, how many members the sets a and b share."""
+def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """pairs with o, how many members the sets a and b share. Only these nodes' sets are formed. Written."""
+    ends = pairs.select(F.col("a").alias("__n")).union(pairs.select("b")).distinct()
+    own = written(nodes.select("n", "hi", "lo", "first").join(ends, F.col("n") == F.col("__n"), "left_semi"), "compared-nodes")
+    sets = written(sets_of(docs, own, shingle), "compared-sets")
     one, two = (sets.select(F.col("n").alias(f"__{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
     met = pairs.join(one, F.col("a") == F.col("__a")).select(*pairs.columns, "set_a").join(two, F.col("b") == F.col("__b"))
-    return met.select(*pairs.columns, F.size(F.array_intersect("set_a", "set_b")).alias("o"))
+    out = written(met.select(*pairs.columns, F.size(F.array_intersect("set_a", "set_b")).alias("o")), "overlaps")
+    dropped(own, sets)
+    return out
 
 
-def bounded(pairs: DataFrame, led: DataFrame, sets: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, led: DataFrame, share: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """pairs (a, b, size_a, size_b) with the least and most members that they can share, from what their leaders share. Written.
 
-    led: n, leader, more, fewer (members that n has and its leader has not, and the other way round). A set without a leader leads itself.
+    led: n, leader, more, fewer (members that n has and its leader has not, and the other way round). A set without a leader leads
+    itself. share adds o, what sets a and b share, to pairs of leaders, and writes them.
     """
     of = lambda k: led.select(F.col("n").alias(f"n_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("leader", "more", "fewer")))
     both = lambda c: (F.coalesce(f"{c}_a", F.lit(0)) + F.coalesce(f"{c}_b", F.lit(0))).alias(c)
     met = pairs.join(of("a"), F.col("a") == F.col("n_a"), "left").join(of("b"), F.col("b") == F.col("n_b"), "left")
     met = written(met.select("a", "b", "size_a", "size_b", F.coalesce("leader_a", "a").alias("x"), F.coalesce("leader_b", "b").alias("y"), both("more"), both("fewer")), "led-pairs")
-    answers = written(overlaps(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).select(F.col("a").alias("__x"), F.col("b").alias("__y"), "o"), "answers")
-    out = met.join(answers, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
+    answers = share(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    out = met.join(answers.select(F.col("a").alias("__x"), F.col("b").alias("__y"), "o"), (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
     out = written(out.select("a", "b", "size_a", "size_b", (F.col("o") - F.col("fewer")).alias("least"), (F.col("o") + F.col("more")).alias("most")), "bounded")
     dropped(met, answers)
     return out
@@ -222,7 +246,6 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     nodes = written(merged.withColumn("n", F.monotonically_increasing_id()), "set-nodes")
     lists = index_lists(nodes, percent)
     some = written(nodes.drop("prefix").join(lists.select(F.col("n").alias("__n")).distinct(), F.col("n") == F.col("__n"), "left_semi"), "listed-nodes")
-    sets = written(sets_of(docs, some, shingle), "listed-sets")
     listed, roots, led = some.count(), None, None
 
     def linked(links: DataFrame) -> int:
@@ -236,21 +259,33 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
         dropped(links)
         return count
 
+    def share(pairs: DataFrame) -> DataFrame:
+        return overlaps(pairs, docs, some, shingle)
+
     def by_leaders(pairs: DataFrame) -> int:
-        """Links those of the pairs that are similar: by their leaders' bounds where these tell, else by intersection."""
-        known = bounded(pairs, led, sets)
-        sure, may = shared_enough("least", percent), shared_enough("most", percent)
-        rest = overlaps(known.where(~sure & may).select("a", "b", "size_a", "size_b"), sets).where(shared_enough("o", percent))
-        links = written(known.where(sure).select("a", "b").union(rest.select("a", "b")), "set-links")
-        dropped(known, pairs)
+        """Links those of the pairs (written) that are similar: by their leaders' bounds where these tell, else by intersection."""
+        if pairs.isEmpty():
+            dropped(pairs)
+            return 0
+        known = bounded(pairs, led, share)
+        sure = known.where(shared_enough("least", percent)).select("a", "b")
+        rest = written(known.where(~shared_enough("least", percent) & shared_enough("most", percent)).select("a", "b", "size_a", "size_b"), "undecided")
+        if rest.isEmpty():
+            links = written(sure, "set-links")
+        else:
+            answers = share(rest)
+            links = written(sure.union(answers.where(shared_enough("o", percent)).select("a", "b")), "set-links")
+            dropped(answers)
+        dropped(known, pairs, rest)
         return linked(links)
 
     first = leader_pairs(with_roots(lists, None), 0, percent)
-    answers = written(overlaps(sketched(first, some, percent), sets).where(shared_enough("o", percent)), "first-answers")
-    own = answers.select(F.col("a").alias("n"), F.col("b").alias("leader"), (F.col("size_a") - F.col("o")).alias("more"), (F.col("size_b") - F.col("o")).alias("fewer"))
-    led = written(own, "led")
-    new = linked(written(answers.select("a", "b"), "set-links"))
-    dropped(first, answers)
+    likely = written(sketched(first, some, percent), "sketched")
+    answers = share(likely)
+    alike = answers.where(shared_enough("o", percent))
+    led = written(alike.select(F.col("a").alias("n"), F.col("b").alias("leader"), (F.col("size_a") - F.col("o")).alias("more"), (F.col("size_b") - F.col("o")).alias("fewer")), "led")
+    new = linked(written(alike.select("a", "b"), "set-links"))
+    dropped(first, likely, answers)
     for turn in range(1, TURNS):
         if new < FEW * listed:
             break
@@ -258,7 +293,7 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
         new = by_leaders(written(sketched(pairs, some, percent), "sketched"))
         dropped(pairs)
     by_leaders(open_pairs(with_roots(lists, roots), some, percent))
-    dropped(lists, some, sets, led)
+    dropped(lists, some, led)
     member = written(with_roots(nodes.select("n", "hi", "lo", "first"), roots), "set-members")
     least = written(member.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"), "set-least")
     named = written(member.join(least, F.col("root") == F.col("__root")).select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), "component_id"), "set-named")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from popmeasure.llm import jaccard
+from popmeasure.llm import common, jaccard
 from popmeasure.llm.queries import oracle_sql, queries
 from test_queries import duck, rows  # noqa: F401  (duck is a fixture)
 
@@ -115,6 +115,7 @@ def test_bounds_hold_what_sets_share(spark):
     led = [(n, 0, len(sets[n]) - share(n, 0), len(sets[0]) - share(n, 0)) for n in range(1, 15)]
     pairs = [(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b]
     made = lambda own, schema: spark.createDataFrame(own, schema)
-    got = jaccard.bounded(made(pairs, "a long, b long, size_a int, size_b int"), made(led, "n long, leader long, more int, fewer int"), made([(n, v) for n, v in sets.items()], "n long, set array<long>")).collect()
+    share_all = lambda own: common.written(own.join(made([(a, b, share(a, b)) for a in sets for b in sets], "a long, b long, o int"), ["a", "b"]), "shared")
+    got = jaccard.bounded(made(pairs, "a long, b long, size_a int, size_b int"), made(led, "n long, leader long, more int, fewer int"), share_all).collect()
     assert len(got) == len(pairs) and all(r["least"] <= share(r["a"], r["b"]) <= r["most"] for r in got)
     assert all(r["least"] == r["most"] for r in got if r["a"] >= 15)
