@@ -32,20 +32,39 @@ def letters() -> np.ndarray:
     return np.array([chr(k).isalpha() for k in range(1 << 16)])
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Hashed trigrams of the text in lower case, where each run of other characters than letters is one gap, as are both ends."""
-    code = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+#: Characters of a text that are handled at a time.
+PIECE = 1 << 18
+
+
+def _codes(text: str) -> np.ndarray:
+    """The text's letters in lower case as code points; each run of other characters is one 0."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     low = code < 1 << 16
     alpha = np.zeros(len(code), bool)
     alpha[low] = letters()[code[low]]
     if not low.all():
         alpha[~low] = [chr(c).isalpha() for c in code[~low]]
-    if not alpha.any():
-        return np.zeros(0, np.int64)
-    code = np.r_[0, np.where(alpha, code, 0), 0].astype(np.uint64)
-    code = code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]]
-    mixed = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77C2B2AE63) + code[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - 15)).astype(np.int64)
+    code = np.where(alpha, code, 0).astype(np.uint64)
+    return code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]] if len(code) else code
+
+
+def gram_table(text: str | None) -> np.ndarray:
+    """How often the text has each hashed trigram of its letters in lower case; runs of other characters are one gap, as are both ends. Zeros without a letter.
+
+    Piece by piece, so that the memory doesn't depend on the text's length.
+    """
+    out, last, some, text = np.zeros(GRAMS, np.int64), np.zeros(1, np.uint64), False, text or ""
+    for begin in range(0, len(text) + 1, PIECE):
+        new = _codes(text[begin : begin + PIECE])
+        some = some or bool(new.any())
+        code = np.r_[last, new[1:] if last[-1] == 0 and len(new) and new[0] == 0 else new]
+        if begin + PIECE > len(text) and code[-1] != 0:
+            code = np.r_[code, np.uint64(0)]
+        if len(code) > 2:
+            mixed = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77C2B2AE63) + code[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+            out += np.bincount((mixed >> np.uint64(64 - 15)).astype(np.int64), minlength=GRAMS)
+        last = code[-2:]
+    return out if some else np.zeros(GRAMS, np.int64)
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -56,7 +75,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, np.zeros(GRAMS, np.int64))
-                own += np.bincount(trigrams(text), minlength=GRAMS)
+                own += gram_table(text)
         for lang, own in counts.items():
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(own[seen])], names=["lang", "gram", "n"])
@@ -84,34 +103,38 @@ def train(rows: DataFrame) -> Model:
     return Model(names, counts)
 
 
-def fit(p: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of p that expectation-maximisation reaches, and their log-likelihood."""
-    share = start
+def fit(p: np.ndarray, weight: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the columns of p that expectation-maximisation reaches, and their log-likelihood; weight is how often each row was seen."""
+    share, n = start, weight.sum()
     for _ in range(ROUNDS):
         mixed = p @ share
-        new = share * (p / mixed[:, None]).mean(axis=0)
+        new = share * (weight @ (p / mixed[:, None])) / n
         if np.abs(new - share).max() < 1e-4:
             share = new
             break
         share = new
-    return share, float(np.log(p @ share).sum())
+    return share, float(weight @ np.log(p @ share))
 
 
-def mixture(model: Model, grams: np.ndarray) -> dict[int, float]:
-    """Proportions of the languages that the penalised likelihood selects; ties go to the first name."""
+def mixture(model: Model, table: np.ndarray) -> dict[int, float]:
+    """Proportions of the languages that the penalised likelihood selects for a gram_table(); ties go to the first name.
+
+    Distinct trigrams count with their numbers: at most GRAMS rows, however long the text.
+    """
+    grams = np.flatnonzero(table)
     if not len(grams) or not model.names:
         return {}
-    single = model.log[grams].sum(axis=0)
-    chosen, share, best, n = [int(single.argmax())], np.ones(1), float(single.max()), len(grams)
-    gain = PENALTY * np.log(n) / 2
+    weight = table[grams].astype(float)
+    single = weight @ model.log[grams]
+    chosen, share, best, n = [int(single.argmax())], np.ones(1), float(single.max()), weight.sum()
+    gain, p = PENALTY * np.log(n) / 2, model.p[grams]
     while len(chosen) < len(model.names):
-        p = model.p[grams]
-        slope = (p / (p[:, chosen] @ share)[:, None]).mean(axis=0)
+        slope = weight @ (p / (p[:, chosen] @ share)[:, None]) / n
         slope[chosen] = 0
         new = int(slope.argmax())
         if slope[new] <= 1:  # no proportion of any other language would raise the likelihood
             break
-        tried, likely = fit(p[:, [*chosen, new]], np.r_[share * 0.9, 0.1])
+        tried, likely = fit(p[:, [*chosen, new]], weight, np.r_[share * 0.9, 0.1])
         if likely - best <= gain:
             break
         chosen, share, best = [*chosen, new], tried, likely
@@ -136,7 +159,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = []
             for t in batch.column(1):
-                share = mixture(known, trigrams(t.as_py()))
+                share = mixture(known, gram_table(t.as_py()))
                 found.append([{"lang": known.names[k], "share": min(1.0, s)} for k, s in sorted(share.items(), key=lambda x: (-x[1], x[0]))])
             best = [f[0] if f else {"lang": UNKNOWN, "share": 0.0} for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b["lang"] for b in best], pa.string()), pa.array([b["share"] for b in best], pa.float64()), pa.array(found, _LANGUAGES)], names=["doc_id", "lang_pred", "score", "mixture"])

@@ -89,7 +89,7 @@ def test_language_mixture(spark):
     texts = ["the cat and the dog went over the hill again " * 6, "der hund und die katze gehen über den berg " * 6]
     rows = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, ["en", "de"], strict=True))], "doc_id long, text string, lang string")
     model = language.train(rows)
-    both = language.mixture(model, language.trigrams(texts[0] * 2 + texts[1]))
+    both = language.mixture(model, language.gram_table(texts[0] * 2 + texts[1]))
     assert set(both) == {0, 1} and math.isclose(sum(both.values()), 1, abs_tol=1e-3) and 0.55 < both[1] < 0.8
     got = language.languages(spark.createDataFrame([(1, "123 456"), (2, None), (3, texts[1])], "doc_id long, text string"), model).collect()
     assert [r["lang_pred"] for r in got] == ["und", "und", "de"] and got[0]["score"] == 0
