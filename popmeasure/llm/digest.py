@@ -122,9 +122,10 @@ def _normalised(text: Column) -> Column:
     page = lambda code: F.element_at(_numbers(places), (F.shiftright(code, 8) + 1).cast("int"))
     entry = lambda c, code: let(page(code), lambda p: F.when(p < 0, c).otherwise(F.element_at(_texts(flat), (p + code % 256 + 1).cast("int"))))
     folded = lambda c: let(F.ascii(c), lambda code: F.when(code < 128, F.lower(c)).otherwise(entry(c, code)))
-    mark = pattern_class(set(mark_classes()[0]))
+    mark, unmarked = (pattern_class(set(mark_classes()[0]), begin) for begin in ("[", "[^"))
     pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
-    clusters = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{mark}+|.(?:(?!.{mark}).)*"), F.lit(0))
+    # A character with its marks, or a run without any. Single classes are repeated, never groups: those recurse once a character.
+    clusters = lambda t: F.regexp_extract_all(t, F.lit(f"(?s){unmarked}+(?!{mark})|.{mark}*"), F.lit(0))
     marked = lambda c: F.when(F.substring(c, 2, 1).rlike(mark), _recomposed(c)).otherwise(c)
     return let(F.array_join(F.transform(pieces, folded), ""), lambda t: F.when(t.rlike(mark), F.array_join(F.transform(clusters(t), marked), "")).otherwise(t))
 
