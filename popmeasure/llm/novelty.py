@@ -16,6 +16,7 @@ One pass counts words (combined before the only shuffle), one pass measures; eac
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,16 +34,17 @@ KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: A candidate: at least 16 token characters with digits and letters, "=" at its end only. Its context: a sensitive word, or the end of
+#: A candidate: 16 (LEAST_LONG) to 8,192 (MOST_LONG) token characters with digits and letters, "=" at its end only; longer runs are data. Its context: a sensitive word, or the end of
 #: a reported string, at most REACH characters before it. What joins a word to its value within a token is not part of the value.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-TOKEN, JOINTS = re.compile(r"[A-Za-z0-9+/_-]"), re.compile(r"[_-]*")
+TOKENS, JOINTS = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}"), re.compile(r"[_-]*")
 #: A private key's block: every line of its body is measured, whatever its distance from a sensitive word.
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?=-----END |\Z)", re.DOTALL)
 LINE = re.compile(r"[A-Za-z0-9+/]{4,}={0,2}")
 CONTEXT_WORDS = ("auth", "bearer", "credential", "passphrase", "private", "apikey", "api_key", "api-key", "access_key", "access-key", "client_id", "secret", "token", "password", "passwd", "pwd", "signature", "session")
 SENSITIVE = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.IGNORECASE | re.ASCII)
+LEAST_LONG, MOST_LONG = 16, 8192
 REACH, AROUND, RARE = 40, 400, 0.62
+DIGITS, LETTERS = re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]+")
 
 #: Text that primes the compressor: names as code and configuration have them.
 IDENTIFIERS = """
@@ -113,33 +115,55 @@ def _block_spans(text: str, known: bytes) -> list[tuple[int, int]]:
     return out
 
 
+class _Runs:
+    """Runs of characters of a kind in a text, to ask about places and stretches by binary search."""
+
+    def __init__(self, text: str, kind: re.Pattern):
+        spans = [m.span() for m in kind.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], known: bytes = GENERAL) -> list[tuple[int, int, int]]:
-    """Further spans: candidates in a sensitive context that overlap no fixed span and whose novelty is at least RARE."""
+    """Further spans: candidates in a sensitive context that overlap no fixed span and whose novelty is at least RARE.
+
+    The text's tokens are listed once; each context looks up the few that begin within its reach, so the work grows with the
+    text's length and the number of candidates.
+    """
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = dict.fromkeys(s for s in _block_spans(text, known) if not any(a < s[1] and s[0] < b for a, _, b in taken))
-    held = sorted([(a, b) for a, _, b in taken] + list(found))
-    tried, contexts = set(), [m.end() for m in SENSITIVE.finditer(text)][::-1]
+    held = bytearray(len(text))
+    for a, _, b in taken:
+        held[a:b] = b"\1" * (b - a)
+    found = dict.fromkeys(s for s in _block_spans(text, known) if held.find(1, *s) < 0)
+    for a, b in found:
+        held[a:b] = b"\1" * (b - a)
+    tokens = list(TOKENS.finditer(text))
+    cores = [m.end(1) for m in tokens]
+    digits, letters = (_Runs(text, kind) for kind in (DIGITS, LETTERS)) if tokens else (None, None)
+    tried, contexts = set(), [m.end() for m in SENSITIVE.finditer(text)][::-1] if tokens else []
     while contexts:
         at = contexts.pop()
-        limit = at + REACH
-        start = joined = JOINTS.match(text, at).end()  # a value joined to the word: measured without the word
-        while m := CANDIDATE.search(text, start):
-            if m.start() > limit:
+        # A value joined to the word is measured without the word.
+        joined = JOINTS.match(text, at).end()
+        for k in range(bisect_right(cores, joined), len(tokens)):
+            m = tokens[k]
+            a, b = max(m.start(), joined), m.end()
+            if a > at + REACH:
                 break
-            a, b = m.span()
-            start = b
             # Not from within a longer token, unless that begins with the word and what joins it.
-            if a and not at < joined == a and TOKEN.match(text[a - 1]) or (a, b) in tried:
+            if m.end(1) - a < LEAST_LONG or b - a > MOST_LONG or a > m.start() and not at < joined == a or (a, b) in tried:
                 continue
             tried.add((a, b))
-            token = text[a:b]
-            if not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)) or any(x < b and a < y for x, y in held):
+            if not digits.meet(a, b) or not letters.meet(a, b) or held.find(1, a, b) >= 0:
                 continue
-            if novelty(text[max(0, a - AROUND) : a], token, text[b : b + AROUND], known) >= RARE:
+            if novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND], known) >= RARE:
                 found[a, b] = None
-                held.append((a, b))
+                held[a:b] = b"\1" * (b - a)
                 contexts.append(b)
     return [(a, 3, b) for a, b in sorted(found)]
 
