@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, dropped, ready, written
 from .components import components
+from .repeats import _mixed
 from .shingles import lots, window_hashes
-from .similar import bit_filter, held, how_common, prefix, short_sketch
+from .similar import bit_filter, held, how_common, plausible, prefix, short_sketch, sketch
 
 #: Turns in which sets are compared with leaders at most, leaders of a list in later turns, and the share of sets that a turn must link for another one to follow.
 TURNS, TRIES, FEW = 3, 4, 0.01
@@ -44,7 +45,7 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, hi, lo, size, short, prefix of each row. short and prefix are null where the task has sent those of an equal set lately."""
+    """doc_id, hi, lo, size, short, sketch, prefix of each row. The last three are null where the task has sent those of an equal set lately."""
     sent = docs.sparkSession.sparkContext.broadcast(how_common(docs, shingle))
 
     def run(batches):
@@ -60,11 +61,12 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 known = known if len(known) < 200_000 else set()
                 firsts = [prefix(s, common, least).view(np.int64) if n else None for s, n in zip(sets, new, strict=True)]
                 shorts = [short_sketch(s) if n else None for s, n in zip(sets, new, strict=True)]
+                sketches = [sketch(s) if n else None for s, n in zip(sets, new, strict=True)]
                 longs = pa.list_(pa.int64())
-                own = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(shorts, longs), pa.array(firsts, longs)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *own], names=["doc_id", "hi", "lo", "size", "short", "prefix"])
+                own = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(shorts, longs), pa.array(sketches, pa.binary()), pa.array(firsts, longs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *own], names=["doc_id", "hi", "lo", "size", "short", "sketch", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hi long, lo long, size int, short array<long>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hi long, lo long, size int, short array<long>, sketch binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -89,57 +91,76 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return found.join(nodes.select("n", "hi", "lo"), ["hi", "lo"]).groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("set").alias("set")).select("n", "set")
 
 
-def block(size: Column, percent: int) -> Column:
-    """Number of the block that sets of this size are in: sizes that can link lie in one block or in neighbouring ones. Logarithms are the same on all machines (Spark takes StrictMath's)."""
-    return F.floor(F.ln(size) / float(np.log(100 / percent))).cast("int")
+def edges(percent: int) -> np.ndarray:
+    """The least size of each block after the first: blocks of sizes up to the square of what linked sizes differ by, in whole numbers, so the same on all machines."""
+    out = [2]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 10000 // percent**2)))
+    return np.array(out)
 
 
-def smallest(size: Column, percent: int) -> Column:
-    """The smallest set that one of this size can link with."""
-    return F.floor((size.cast("long") * percent + 99) / 100)
-
-
-def largest(size: Column, at: Column, percent: int) -> Column:
-    """The largest set that one of this size can link with, if the first n-gram they share is at this place (from 0) of its prefix.
+def reach(size: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest set that one of this size can link with, if the first n-gram they share is at this place (from 0) of its prefix.
 
     They share size - at members at most, and must share percent / (100 + percent) of both sizes' sum.
     """
-    return F.floor((size.cast("long") - at) * (100 + percent) / percent) - size
+    size = size.astype(np.int64)
+    return (size * percent + 99) // 100, (size - at) * (100 + percent) // percent - size
+
+
+def block_entries(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, ...]:
+    """k, row, at, own, look of the entries of a batch of n, size, prefix: an entry stands in its own block of its list and in each one that it looks into. k is a hash of the n-gram and the block."""
+    sizes, lists = batch.column(1).to_numpy(), batch.column(2)
+    counts = np.diff(lists.offsets.to_numpy())
+    keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), counts)
+    at = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+    low, high = reach(sizes[row], at, percent)
+    some = low <= high
+    keys, row, at, low, high = (x[some] for x in (keys, row, at, low, high))
+    cuts = edges(percent)
+    first, last, home = (np.searchsorted(cuts, x, "right") for x in (low, high, sizes[row]))
+    begin, end = np.minimum(first, home), np.maximum(last, home)
+    each = end - begin + 1
+    entry = np.repeat(np.arange(len(keys)), each)
+    block = begin[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(each) - each, each)
+    own, look = block == home[entry], (block >= first[entry]) & (block <= last[entry])
+    kept = own | look
+    entry, block, own, look = (x[kept] for x in (entry, block, own, look))
+    k = _mixed(keys[entry].view(np.uint64) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return k, row[entry], at[entry], own, look
 
 
 def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, n, size, at, block, of, to of each prefix's entries: the entry's own block, and the blocks that it looks into. Only lists of several sets. Written."""
-    keys = nodes.select("n", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = written(keys.where("low <> high").select(F.col("key").alias("__key")), "several")
+    """k (a block of an index list), n, size, at, own, look of each prefix's entries: whether the block is the entry's own, and whether it looks into it. Only blocks of several sets. Written."""
+
+    def blocks(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(block_entries(batch, percent)[0])], names=["k"])
+
+    listed = nodes.select("n", "size", "prefix")
+    several = written(listed.mapInArrow(blocks, "k long").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k").alias("__k")), "several")
     sent = nodes.sparkSession.sparkContext.broadcast(bit_filter(several))
 
     def run(batches):
         bits = sent.value
         for batch in batches:
-            ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
-            keys, node = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), counts)
-            at = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = held(bits, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[node[keep]]), pa.array(sizes[node[keep]]), pa.array(at[keep].astype(np.int32))], names=["key", "n", "size", "at"])
-
-    size, at = F.col("size"), F.col("at")
-    entries = nodes.select("n", "size", "prefix").mapInArrow(run, "key long, n long, size int, at int").join(several, F.col("key") == F.col("__key"), "left_semi")
-    entries = entries.withColumns({"low": smallest(size, percent), "high": largest(size, at, percent)}).where("low <= high")
-    out = written(entries.select("key", "n", "size", "at", block(size, percent).alias("block"), block(F.col("low"), percent).alias("of"), block(F.col("high"), percent).alias("to")), "index-lists")
+            k, row, at, own, look = block_entries(batch, percent)
+            keep = held(bits, k)
+            parts = [k[keep], batch.column(0).to_numpy()[row[keep]], batch.column(1).to_numpy()[row[keep]], at[keep].astype(np.int32), own[keep], look[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["k", "n", "size", "at", "own", "look"])
+
+    entries = listed.mapInArrow(run, "k long, n long, size int, at int, own boolean, look boolean")
+    out = written(entries.join(several, F.col("k") == F.col("__k"), "left_semi"), "index-lists")
     dropped(several)
     return out
 
 
-def looking(entries: DataFrame) -> DataFrame:
-    """Each entry once for every block that it looks into (look)."""
-    return entries.withColumn("look", F.explode(F.sequence("of", "to")))
-
-
 def can_link(percent: int) -> Column:
     """Whether an entry (size, at) and another one (size_b, at_b) of a list can be of linked sets."""
-    one = (F.col("size_b") >= smallest(F.col("size"), percent)) & (F.col("size_b") <= largest(F.col("size"), F.col("at"), percent))
-    return one & (F.col("size") >= smallest(F.col("size_b"), percent)) & (F.col("size") <= largest(F.col("size_b"), F.col("at_b"), percent))
+    low = lambda s: F.floor((F.col(s).cast("long") * percent + 99) / 100)
+    high = lambda s, at: F.floor((F.col(s).cast("long") - F.col(at)) * (100 + percent) / percent) - F.col(s)
+    fits = lambda s, at, other: (F.col(other) >= low(s)) & (F.col(other) <= high(s, at))
+    return fits("size", "at", "size_b") & fits("size_b", "at_b", "size")
 
 
 def shared_enough(overlap: str, percent: int, a: str = "size_a", b: str = "size_b") -> Column:
@@ -153,11 +174,11 @@ def with_roots(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return entries.join(own, F.col("n") == F.col("__node"), "left").select(*entries.columns, F.coalesce("__root", "n").alias("root"))
 
 
-def sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose short sketches leave room for the similarity. a, b, size_a, size_b."""
-    one, two = (nodes.select(F.col("n").alias(f"n_{k}"), F.col("size").alias(f"size_{k}"), F.col("short").alias(f"short_{k}")) for k in "ab")
-    met = pairs.join(one, F.col("a") == F.col("n_a")).join(two, F.col("b") == F.col("n_b"))
-    return met.where(apart("short_a", "short_b") <= room("size_a", "size_b", percent)).select("a", "b", "size_a", "size_b")
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sketches leave room for the similarity. a, b, size_a, size_b. Written."""
+    few = plausible(pairs, nodes.select(F.col("n").alias("id"), "size", "sketch"), Fraction(percent, 100))
+    one, two = (nodes.select(F.col("n").alias(f"n_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    return written(few.join(one, F.col("a") == F.col("n_a")).join(two, F.col("b") == F.col("n_b")).select("a", "b", "size_a", "size_b"), "likely")
 
 
 def apart(a: str, b: str) -> Column:
@@ -170,15 +191,14 @@ def room(a: str, b: str, percent: int) -> Column:
 
 
 def leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs a (a set), b (its leader): the leaders of a block are the sets of the least hashes in it; a set takes the few that most of its lists have.
+    """Pairs a (a set), b (its leader): the leaders of a block are the sets of the least hashes in it; a set takes the few that most of the blocks it looks into have.
 
     So there are TRIES times the sets at most, however large a group is. In the first turn each set takes one.
     """
     tries = TRIES if turn else 1
     chosen = [F.min_by(F.struct("n", "size", "at", "root"), F.struct(F.xxhash64(F.lit(TRIES * turn + j), "n"), "n")) for j in range(tries)]
-    leaders = entries.groupBy("key", "block").agg(F.array(*chosen).alias("b"), F.count("*").alias("k"))
-    leaders = written(leaders.select(F.col("key").alias("__key"), F.col("block").alias("__block"), "b"), "leaders")
-    met = looking(entries).join(leaders, (F.col("key") == F.col("__key")) & (F.col("look") == F.col("__block"))).select("n", "size", "at", "root", F.explode(F.array_distinct("b")).alias("b"))
+    leaders = written(entries.where("own").groupBy(F.col("k").alias("__k")).agg(F.array(*chosen).alias("b")), "leaders")
+    met = entries.where("look").join(leaders, F.col("k") == F.col("__k")).select("n", "size", "at", "root", F.explode(F.array_distinct("b")).alias("b"))
     met = met.select("n", "size", "at", "root", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("n", "size", "at", "root")))
     votes = met.where((F.col("root") != F.col("root_b")) & can_link(percent)).groupBy("n", "n_b").agg(F.count("*").alias("votes"))
     place = F.row_number().over(W.partitionBy("n").orderBy(F.desc("votes"), F.xxhash64(F.lit(turn), "n_b"), "n_b"))
@@ -188,16 +208,16 @@ def leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def open_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs a, b under a list that are in different groups still. A list's largest group meets only the sets outside it; sketches let through few pairs that aren't similar. Written."""
-    sizes = entries.groupBy("key", "root").agg(F.count("*").alias("k"))
-    main = written(sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("key").alias("__key"), "main"), "main-groups")
-    kept = entries.join(main, F.col("key") == F.col("__key")).join(nodes.select(F.col("n").alias("__n"), "short"), F.col("n") == F.col("__n"))
+    """All pairs a, b in a block of a list that are in different groups still. A block's largest group meets only the sets outside it; sketches let through few pairs that aren't similar. Written."""
+    sizes = entries.groupBy("k", "root").agg(F.count("*").alias("c"))
+    main = written(sizes.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("k").alias("__k"), "main"), "main-groups")
+    kept = entries.join(main, F.col("k") == F.col("__k")).join(nodes.select(F.col("n").alias("__n"), "short"), F.col("n") == F.col("__n"))
     kept = written(kept.select(*entries.columns, "main", "short"), "open-entries")
-    other = kept.where("root <> main").select(*(F.col(c).alias(f"{c}_b") for c in ("key", "n", "size", "at", "root", "short", "block")))
-    new = (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("main")) | (F.col("n") < F.col("n_b")))
-    same = (F.col("key") == F.col("key_b")) & (F.col("look") == F.col("block_b"))
-    met = looking(kept).join(other, same & new & can_link(percent) & (apart("short", "short_b") <= room("size", "size_b", percent)))
-    out = written(met.select(F.col("n").alias("a"), F.col("n_b").alias("b"), F.col("size").alias("size_a"), F.col("size_b")).distinct(), "open-pairs")
+    other = kept.where("own").select(*(F.col(c).alias(f"{c}_b") for c in ("k", "n", "size", "at", "root", "main", "short")))
+    alike = (F.col("k") == F.col("k_b")) & (F.col("root") != F.col("root_b")) & can_link(percent) & (apart("short", "short_b") <= room("size", "size_b", percent))
+    met = [kept.where("look").join(other.where("root_b <> main_b"), alike), kept.where("look and root <> main").join(other.where("root_b = main_b"), alike)]
+    pairs = [m.select(F.least("n", "n_b").alias("a"), F.greatest("n", "n_b").alias("b")) for m in met]
+    out = written(pairs[0].union(pairs[1]).distinct(), "open-pairs")
     dropped(main, kept)
     return out
 
@@ -241,7 +261,7 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     """
     ready(docs.sparkSession)
     prints = written(prints_of(docs, shingle, Fraction(percent, 100)), "sets")
-    merged = prints.where("size > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("short", True).alias("short"), F.first("prefix", True).alias("prefix"))
+    merged = prints.where("size > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), *(F.first(c, True).alias(c) for c in ("short", "sketch", "prefix")))
     # Numbered as they are written: from here on a set's number stays.
     nodes = written(merged.withColumn("n", F.monotonically_increasing_id()), "set-nodes")
     lists = index_lists(nodes, percent)
@@ -280,19 +300,21 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
         return linked(links)
 
     first = leader_pairs(with_roots(lists, None), 0, percent)
-    likely = written(sketched(first, some, percent), "sketched")
-    answers = share(likely)
+    near = likely(first, some, percent)
+    answers = share(near)
     alike = answers.where(shared_enough("o", percent))
     led = written(alike.select(F.col("a").alias("n"), F.col("b").alias("leader"), (F.col("size_a") - F.col("o")).alias("more"), (F.col("size_b") - F.col("o")).alias("fewer")), "led")
     new = linked(written(alike.select("a", "b"), "set-links"))
-    dropped(first, likely, answers)
+    dropped(first, near, answers)
     for turn in range(1, TURNS):
         if new < FEW * listed:
             break
         pairs = leader_pairs(with_roots(lists, roots), turn, percent)
-        new = by_leaders(written(sketched(pairs, some, percent), "sketched"))
+        new = by_leaders(likely(pairs, some, percent))
         dropped(pairs)
-    by_leaders(open_pairs(with_roots(lists, roots), some, percent))
+    rest = open_pairs(with_roots(lists, roots), some, percent)
+    by_leaders(likely(rest, some, percent))
+    dropped(rest)
     dropped(lists, some, led)
     member = written(with_roots(nodes.select("n", "hi", "lo", "first"), roots), "set-members")
     least = written(member.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"), "set-least")

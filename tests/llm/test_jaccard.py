@@ -3,8 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import DATA
 from popmeasure.llm import common, jaccard
@@ -96,16 +97,20 @@ def test_odd_tables(spark):
     assert [tuple(r) for r in jaccard.similar_sets(spark.createDataFrame([(7, "a b c d")] * 3, schema)).collect()] == [(7, 2, 7)] * 3
 
 
-def test_entries_look_into_fewer_blocks_the_later_their_place(spark):
-    """The sizes that an entry can link with, by trying out all."""
+def test_entries_look_into_fewer_blocks_the_later_their_place():
+    """The sizes that an entry can link with, by trying out all; and the blocks that they lie in."""
     for percent in (50, 80, 90):
-        cases = [(s, at) for s in (1, 2, 9, 10, 11, 57, 200) for at in range(0, s, max(1, s // 7))]
-        df = spark.createDataFrame(cases, "size int, at int")
-        got = {(r[0], r[1]): (r[2], r[3]) for r in df.select("size", "at", jaccard.smallest(F.col("size"), percent), jaccard.largest(F.col("size"), F.col("at"), percent)).collect()}
-        for (s, at), (low, high) in got.items():
-            fits = [t for t in range(1, 3 * s + 3) if 100 * t >= percent * s and 100 * min(s - at, t) >= percent * (s + t - min(s - at, t))]
-            assert fits == [t for t in range(low, high + 1) if t >= 1 and 100 * min(s, t) >= percent * max(s, t) and 100 * min(s - at, t) >= percent * (s + t - min(s - at, t))]
-            assert not fits or (low <= min(fits) and high == max(fits))
+        cuts = jaccard.edges(percent)
+        for s in (1, 2, 9, 10, 11, 57, 200):
+            ats = np.arange(0, s - -(-percent * s // 100) + 1)
+            low, high = jaccard.reach(np.full(len(ats), s), ats, percent)
+            batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([s], pa.int32()), pa.array([list(range(len(ats)))], pa.list_(pa.int64()))], names=["n", "size", "prefix"])
+            k, row, at, own, look = jaccard.block_entries(batch, percent)
+            for a, lo, hi in zip(ats.tolist(), low.tolist(), high.tolist(), strict=True):
+                fits = [t for t in range(1, 3 * s + 3) if 100 * min(s, t) >= percent * max(s, t) and 100 * min(s - a, t) >= percent * (s + t - min(s - a, t))]
+                assert all(lo <= t <= hi for t in fits) and (not fits or (lo, hi) == (min(fits), max(fits)))
+                blocks = {int(np.searchsorted(cuts, t, "right")) for t in fits}
+                assert look[at == a].sum() == (max(blocks) - min(blocks) + 1 if blocks else 0) and own[at == a].sum() == bool(fits)
 
 
 def test_bounds_hold_what_sets_share(spark):
