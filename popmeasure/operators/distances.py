@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running_totals
+
 
 def cell_moments(dist: DataFrame, unit: str = "unit") -> DataFrame:
     """unit, item, mean, mean_square and the grid of values (as a hash) of each cell."""
@@ -75,10 +77,13 @@ def euclidean_pairs(z: DataFrame, strong: float = 0.3, least: int = 4) -> DataFr
 
 
 def pair_standing(pairs: DataFrame) -> DataFrame:
-    """pairs with their rank among all (1 + how many are strictly smaller) and the share that is at most as far. Pairs are units squared, never rows of data."""
-    same = pairs.groupBy("d").agg(F.count("*").alias("k"))
-    less = same.withColumns({"rank": F.sum("k").over(W.orderBy("d")) - F.col("k") + 1, "share": F.sum("k").over(W.orderBy("d")) / F.sum("k").over(W.partitionBy())})
-    return pairs.join(less.select(F.col("d").alias("__d"), "rank", "share"), F.col("d") == F.col("__d")).drop("__d")
+    """pairs with their rank among all (1 + how many are strictly smaller) and the share that is at most as far.
+
+    Equal distances are counted first, so one that very many pairs have is one row; no task sees all of them.
+    """
+    same = running_totals(pairs.groupBy("d").agg(F.count("*").alias("k")), ["d"], F.col("k"))
+    place = same.select(F.col("d").alias("__d"), (F.col("before") + 1).alias("rank"), ((F.col("before") + F.col("k")) / F.col("total")).alias("share"))
+    return pairs.join(place, F.col("d") == F.col("__d")).drop("__d")
 
 
 def class_means(pairs: DataFrame, classes: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -92,6 +97,19 @@ def class_means(pairs: DataFrame, classes: DataFrame, group: list[str] | None =
     return out.withColumn("ratio", F.try_divide("within", "between"))
 
 
+def class_spread(classes: DataFrame, pairs: DataFrame, z: DataFrame) -> DataFrame:
+    """class, n, members, mean_inside (mean distance of its pairs), max_gap (the widest spread of its members in one dimension) and gap_dimension (ties: the first by name).
+
+    classes: unit, class; pairs: a, b, d; z: unit, dimension, z. A class of one has no pairs: mean_inside is null and its gap 0.
+    """
+    side = lambda k: classes.select(F.col("unit").alias(k), F.col("class").alias(f"__{k}"))
+    inside = pairs.join(side("a"), "a").join(side("b"), "b").where("__a = __b").groupBy(F.col("__a").alias("class")).agg(F.avg("d").alias("mean_inside"))
+    gaps = z.join(classes, "unit").groupBy("class", "dimension").agg((F.max("z") - F.min("z")).alias("gap"))
+    widest = gaps.groupBy("class").agg(F.max("gap").alias("max_gap"), F.min_by("dimension", F.struct(-F.col("gap"), "dimension")).alias("gap_dimension"))
+    members = classes.groupBy("class").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("unit")), ",").alias("members"))
+    return members.join(inside, "class", "left").join(widest, "class", "left")
+
+
 def filled(pairs: DataFrame) -> DataFrame:
     """Missing distances as the mean of those that are there."""
     mean = pairs.agg(F.avg("d").alias("__m"))

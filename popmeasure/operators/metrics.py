@@ -59,9 +59,13 @@ def item_metrics(rows: DataFrame, cell: list[str], ordered: Column | None = None
 
 
 def calibration_bins(rows: DataFrame, group: list[str], predicted: str = "q", observed: str = "p", bins: int = 10) -> DataFrame:
-    """Equal bins, closed on the right, the lowest also on the left: group, bin, mean_predicted, mean_observed, n. Compared with literal edges."""
+    """Equal bins, closed on the right, the lowest also on the left: group, bin, mean_predicted, mean_observed, n. Compared with literal edges.
+
+    Sums are of whole numbers of 10^-12, so the same in any order.
+    """
     at = sum(((F.col(predicted) > k / bins).cast("int") for k in range(1, bins)), F.lit(0))
-    return rows.withColumn("bin", at).groupBy(*group, "bin").agg(F.avg(predicted).alias("mean_predicted"), F.avg(observed).alias("mean_observed"), F.count("*").alias("n"))
+    mean = lambda c: F.sum(F.round(F.col(c) * 1e12).cast("decimal(20,0)")).cast("double") / F.count("*") / 1e12
+    return rows.withColumn("bin", at).groupBy(*group, "bin").agg(mean(predicted).alias("mean_predicted"), mean(observed).alias("mean_observed"), F.count("*").alias("n"))
 
 
 def calibration_error(bins: DataFrame, group: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shared import written
 from .summaries import nested_sample
 
 
@@ -195,9 +196,36 @@ def evaluation_targets(policies: DataFrame, units: DataFrame, mode: str = "all",
 
 
 def identity_classes(rows: DataFrame, unit: str, key: str, label: str) -> DataFrame:
-    """Units whose whole vectors of labels are equal: class (a hash), members (sorted) and their number."""
-    vectors = rows.groupBy(unit).agg(F.md5(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct(key, label))), lambda s: F.concat_ws("=", s[key].cast("string"), s[label].cast("string")))).cast("binary")).alias("class"))
-    return vectors.groupBy("class").agg(F.sort_array(F.collect_list(unit)).alias("members"), F.count("*").alias("n"))
+    """Units whose whole vectors of labels are equal: class (a hash), members (sorted) and their number.
+
+    A unit's rows are added up as hashes, in any order and before they are shuffled; equal sums make a class. Sums may lie, so each
+    class is compared with one of its members, by an equality join row by row; units that differ form classes anew. However
+    many rows a unit has, none of its vector is ever held in one place.
+    """
+    part = lambda k: F.sum(F.xxhash64(F.lit(k), key, label).cast("decimal(20,0)"))
+    sums = rows.groupBy(unit).agg(F.md5(F.concat_ws("|", part(1).cast("string"), part(2).cast("string"), F.count("*").cast("string")).cast("binary")).alias("class"), F.count("*").alias("__n"))
+    return refined(rows, sums, unit, key, label)
+
+
+def refined(rows: DataFrame, sums: DataFrame, unit: str, key: str, label: str) -> DataFrame:
+    """Classes of units with truly equal vectors, out of those with an equal hash. sums: unit, class, __n (its rows)."""
+    cells = rows.groupBy(unit, key, label).agg(F.count("*").alias("__c"))
+    open_, sure, turn = written(sums, "unit-sums"), None, 0
+    while True:
+        led = open_.withColumn("__first", F.min(unit).over(W.partitionBy("class")))
+        # Rows of each unit that its class's first member has as often; all of them, and as many as that has, if they are equal.
+        own = led.select(F.col(unit).alias("__u"), "class", "__first", "__n").join(cells, F.col("__u") == F.col(unit))
+        first = cells.select(F.col(unit).alias("__f"), *(F.col(c).alias(f"__f_{c}") for c in (key, label, "__c")))
+        same = [F.col("__first") == F.col("__f"), *(F.col(c).eqNullSafe(F.col(f"__f_{c}")) for c in (key, label, "__c"))]
+        met = own.join(first, same, "left_semi").groupBy("__u").agg(F.sum("__c").alias("__same"))
+        sizes = open_.select(F.col(unit).alias("__f"), F.col("__n").alias("__fn"))
+        told = led.join(met, F.col(unit) == F.col("__u"), "left").join(sizes, F.col("__first") == F.col("__f"))
+        told = written(told.select(unit, "class", "__n", ((F.coalesce("__same", F.lit(0)) == F.col("__n")) & (F.col("__n") == F.col("__fn"))).alias("__equal")), "told-units")
+        found = told.where("__equal").select(unit, F.concat("class", F.lit(f"-{turn}" if turn else "")).alias("class"))
+        sure = found if sure is None else sure.union(found)
+        open_, turn = told.where("not __equal").select(unit, "class", "__n"), turn + 1
+        if open_.isEmpty():
+            return sure.groupBy("class").agg(F.sort_array(F.collect_list(unit)).alias("members"), F.count("*").alias("n"))
 
 
 def sign_vectors(anchors: DataFrame) -> DataFrame:

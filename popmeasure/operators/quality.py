@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,26 @@ def expect(df: DataFrame, rules: dict[str, Column], stop: bool = False) -> DataF
     return rows.select("check", "passed", "observed")
 
 
+def checked_write(df: DataFrame, path: str, rules: dict[str, Column], stop: bool = True) -> DataFrame:
+    """Writes df as Parquet and checks the rules in the same pass: check, passed, observed, as of expect().
+
+    Rows are counted as they are written, to a folder beside the path, which becomes the path only when all is well: with stop, a broken
+    rule is an error that names it, and nothing is at the path.
+    """
+    spark, seen = df.sparkSession, Observation()
+    counts = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"rule{k}") for k, rule in enumerate(rules.values())]
+    pending = f"{path}.pending-{uuid.uuid4().hex}"
+    df.observe(seen, *counts).write.parquet(pending)
+    found = [(name, seen.get[f"rule{k}"] == 0, seen.get[f"rule{k}"]) for k, name in enumerate(rules)]
+    broken = [name for name, passed, _ in found if not passed]
+    if stop and broken:
+        raise ValueError(f"broken: {', '.join(broken)}")
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (pending, path))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{path} can't be put in place")
+    return spark.createDataFrame(found, "check string, passed boolean, observed long")
+
+
 def unique_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: keys, and how many of them are repeated."""
     return df.groupBy(*key).count().agg(F.count("*").alias("keys"), F.count_if(F.col("count") > 1).alias("repeated"))

@@ -1,14 +1,10 @@
-"""Rank correlations, intervals, resampling and permutation tests, linear fits.
-
-Random draws come from MD5 of seed and keys, so any engine repeats them and lost tasks recompute the same.
-"""
+"""Rank correlations, intervals, linear fits, and the bootstrap of very many rows. Other resamples and permutations are in resampling."""
 
 from __future__ import annotations
 
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -29,25 +25,6 @@ def partial_spearman(rows: DataFrame, group: list[str], x: str, y: str, z: str,
     return out.withColumn("partial", F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt(F.nullif((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")), F.lit(0.0)))))
 
 
-def bootstrap_mean(rows: DataFrame, group: list[str], value: str, order: list[str], reps: int = 2000, seed: str = "boot", level: float = 0.95) -> DataFrame:
-    """group, n, mean, low, high: percentile interval of means of `reps` resamples of the values that are there.
-
-    Values are numbered within their group; each draw is an index by MD5 and an equality join. For groups
-    of very many values use poisson_mean(), whose work doesn't depend on an index.
-    """
-    there = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__x"), *order)
-    at = W.partitionBy(*group)
-    indexed = there.withColumns({"__i": F.row_number().over(at.orderBy(*order)) - 1, "__n": F.count("*").over(at)}).select(*group, "__i", "__n", "__x")
-    name = F.concat_ws("/", *(F.col(g).cast("string") for g in group))
-    sizes = indexed.where("__i = 0").select(*group, "__n")
-    draws = sizes.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    draws = draws.select(*group, "__rep", F.pmod(C.hash_int(F.lit(seed), name, F.col("__rep").cast("string"), F.col("__j").cast("string")), F.col("__n")).cast("int").alias("__i"))
-    means = draws.join(indexed.drop("__n"), [*group, "__i"]).groupBy(*group, "__rep").agg(F.avg("__x").alias("__m"))
-    tail = (1 - level) / 2
-    bounds = means.groupBy(*group).agg(F.percentile("__m", tail).alias("low"), F.percentile("__m", 1 - tail).alias("high"))
-    return indexed.groupBy(*group).agg(F.count("*").alias("n"), F.avg("__x").alias("mean")).join(bounds, group)
-
-
 def poisson_cuts() -> list[float]:
     """Cumulative probabilities of Poisson(1) at 0 to 8: a uniform draw's weight is how many of them it reaches."""
     cuts, total, term = [], 0.0, math.exp(-1)
@@ -59,7 +36,7 @@ def poisson_cuts() -> list[float]:
 
 
 def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps: int = 200, seed: str = "boot") -> DataFrame:
-    """As bootstrap_mean, with Poisson(1) weights: each row draws its own weight in each resample, sums combine before the shuffle."""
+    """As resampling.bootstrap_mean, with Poisson(1) weights: each row draws its own weight in each resample, sums combine before the shuffle."""
     u = C.hash_int(F.lit(seed), F.col(key).cast("string"), F.col("__rep").cast("string")) / float(2**32)
     weight = sum(((u >= c).cast("int") for c in poisson_cuts()), F.lit(0))
     drawn = rows.where(F.col(value).isNotNull()).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__w", weight)
@@ -67,21 +44,6 @@ def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps:
     return means.groupBy(*group).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
 
 
-def permutations(units: DataFrame, label: str, reps: int, seed: str = "perm") -> DataFrame:
-    """rep, unit, label: in each rep the labels dealt anew to the units, without replacement. units: one row a population."""
-    base = units.withColumn("__i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("unit")))
-    rep = units.select("unit").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    dealt = rep.withColumn("__i", F.row_number().over(W.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), "unit").cast("binary")), "unit")))
-    return dealt.join(F.broadcast(base.select("__i", label)), "__i").select("rep", "unit", label)
-
-
-def permutation_summary(value: str, observed: Column, less: bool = True, plus_one: bool = False) -> list[Column]:
-    """Aggregates over the null's values: p (share at most, or at least, as large as observed), their 5th and 95th percentile and deviation."""
-    hit = F.col(value) <= observed if less else F.col(value) >= observed
-    k = 1 if plus_one else 0
-    return [((F.count_if(hit) + k) / (F.count(value) + k)).alias("p"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95"), F.stddev_samp(value).alias("null_sd")]
-
-
 def linear_fit(rows: DataFrame, group: list[str], x: str, y: str, least: int = 4) -> DataFrame:
     """Slope and intercept of y on x; null with fewer than `least` rows or a constant x."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -91,42 +53,76 @@ def linear_fit(rows: DataFrame, group: list[str], x: str, y: str, least: int = 4
     return rows.groupBy(*group).agg(slope.alias("slope"), (F.avg(b) - slope * F.avg(a)).alias("intercept"), n.alias("n"))
 
 
-def _determinant(m: list[list[Column]]) -> Column:
-    if len(m) == 1:
-        return m[0][0]
-    minors = [[r[:k] + r[k + 1 :] for r in m[1:]] for k in range(len(m))]
-    return sum((((-1) ** k) * m[0][k] * _determinant(minors[k]) for k in range(len(m))), F.lit(0.0))
+def _eliminated(p: int, tolerance: float) -> Column:
+    """Column __m, p rows of p + 1 + p numbers (a Gram matrix, its right side, the unit matrix) one after the other, brought to upper triangular form.
+
+    That is Cholesky's factorisation without its roots, folded over the pivots for any p: in row k then stand the pivot, what is
+    left of the right side, and row k of the inverse of the lower factor. Null where a pivot is next to nothing beside its
+    diagonal, so where a variable is constant or follows from those before it.
+    """
+    wide, first = 2 * p + 1, F.col("__m")
+
+    def step(m: Column, k: Column) -> Column:
+        pivot, at = F.get(m, k * wide + k), lambda i: F.floor(i / wide).cast("int")
+        left = lambda v, i: v - F.get(m, at(i) * wide + k) / pivot * F.get(m, k * wide + i - at(i) * wide)
+        return F.when(pivot > tolerance * F.get(first, k * wide + k), F.transform(m, lambda v, i: F.when(at(i) > k, left(v, i)).otherwise(v)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), first, step) if p else first
 
 
-def least_squares(rows: DataFrame, group: list[str], xs: list[str], y: str) -> DataFrame:
-    """Coefficients and standard errors of y on a constant and xs, from one pass of cross products. group, term, b, se, n.
+def least_squares(rows: DataFrame, group: list[str], xs: list[str], y: str, pooled: bool = False, tolerance: float = 1e-10) -> DataFrame:
+    """Coefficients and standard errors of y on a constant and any number of xs: group, term, b, se, n. Over rows that have them all.
 
-    Up to three xs: the normal equations are solved by Cramer's rule in the same row.
+    One pass adds up means and centred cross products of each group (and, if pooled, of all rows: then a column `pooled` tells that row,
+    whose group columns are null); they are combined before the one shuffle. Each group's equations are then solved in its own row,
+    folded over arrays. b and se are null where xs depend on each other, se also with as many terms as rows.
     """
-    names = ["const", *xs]
-    value = {"const": F.lit(1.0)} | {x: F.col(x).cast("double") for x in xs} | {"__y": F.col(y).cast("double")}
-    full = rows.where(" and ".join(f"{c} is not null" for c in [*xs, y]))
-    sums = full.groupBy(*group).agg(*(F.sum(value[a] * value[b]).alias(f"{a}*{b}") for i, a in enumerate([*names, "__y"]) for b in [*names, "__y"][i:]), F.count("*").alias("n"))
-    order = [*names, "__y"]
-    cross = lambda a, b: F.col(f"`{a}*{b}`") if order.index(a) <= order.index(b) else F.col(f"`{b}*{a}`")
-    gram = [[cross(a, b) for b in names] for a in names]
-    det = _determinant(gram)
-    coef = {t: F.try_divide(_determinant([[cross(a, "__y") if j == k else gram[i][j] for j in range(len(names))] for i, a in enumerate(names)]), det) for k, t in enumerate(names)}
-    solved = sums.withColumns({f"b_{t}": c for t, c in coef.items()} | {f"inv_{t}": F.try_divide(_determinant([r[:k] + r[k + 1 :] for i, r in enumerate(gram) if i != k]), det) for k, t in enumerate(names)})
-    rss = F.col("`__y*__y`") - sum((F.col(f"b_{t}") * cross(t, "__y") for t in names), F.lit(0.0))
-    free = F.col("n") - len(names)
-    out = solved.withColumn("__s2", F.try_divide(F.greatest(rss, F.lit(0.0)), F.nullif(free.cast("double"), F.lit(0.0))))
-    terms = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"b_{t}").alias("b"), F.sqrt(F.col("__s2") * F.col(f"inv_{t}")).alias("se")) for t in names))
-    return out.select(*group, F.explode(terms).alias("x"), "n").select(*group, "x.term", "x.b", "x.se", "n")
-
-
-def accuracy(rows: DataFrame, group: list[str], hit: Column) -> DataFrame:
-    """Share of hits with Wilson's interval, and n."""
-    out = rows.groupBy(*group).agg(F.avg(hit.cast("double")).alias("share"), F.count("*").alias("n"))
+    p, value = len(xs), [F.col(c).cast("double") for c in [*xs, y]]
+    full = rows.where(" and ".join(f"({c} is not null and not isnan(cast({c} as double)))" for c in [*xs, y]))
+    sets = full.groupingSets([[F.col(g) for g in group], []], *(F.col(g) for g in group)) if pooled else full.groupBy(*group)
+    n = F.count("*").alias("n")
+    cross = [(F.covar_pop(value[i], value[j])).alias(f"__{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    sums = sets.agg(n, *(F.avg(v).alias(f"__mean_{k}") for k, v in enumerate(value)), *cross, *([(F.grouping_id() > 0).alias("pooled")] if pooled else []))
+    s = lambda i, j: F.col(f"__{min(i, j)}_{max(i, j)}") * F.col("n")
+    matrix = [x for i in range(p) for x in [*(s(i, j) for j in range(p + 1)), *(F.lit(float(i == j)) for j in range(p))]]
+    doubles = lambda cs: F.array(*cs).cast("array<double>")
+    whole = sums.select(*group, *(["pooled"] if pooled else []), "n", doubles(matrix).alias("__m"), doubles([F.col(f"__mean_{k}") for k in range(p)]).alias("__x"), F.col(f"__mean_{p}").alias("__y"), s(p, p).alias("__yy"))
+    solved = whole.withColumn("__t", _eliminated(p, tolerance))
+    pivot, right = (lambda k: F.get("__t", k * (2 * p + 2))), (lambda k: F.get("__t", k * (2 * p + 1) + p))
+    factor = lambda k, j: F.get("__t", k * (2 * p + 1) + p + 1 + j)
+    each = F.sequence(F.lit(0), F.lit(p - 1)) if p else F.array().cast("array<int>")
+    total = lambda f, over=each: F.aggregate(over, F.lit(0.0), lambda t, k: t + f(k))
+    sound = F.col("__t").isNotNull()
+    rest = F.col("__yy") - total(lambda k: right(k) * right(k) / pivot(k))
+    solved = solved.withColumn("__s2", F.when(sound & (F.col("n") > p + 1), F.greatest(rest, F.lit(0.0)) / (F.col("n") - (p + 1))))
+    slope = lambda j: total(lambda k: factor(k, j) * right(k) / pivot(k))
+    spread = lambda j: total(lambda k: factor(k, j) * factor(k, j) / pivot(k))
+    level = F.col("__y") - total(lambda j: slope(j) * F.get("__x", j))
+    at_zero = 1 / F.col("n") + total(lambda k: F.pow(total(lambda j: factor(k, j) * F.get("__x", j)), 2.0) / pivot(k))
+    term = lambda name, b, v: F.struct(name.alias("term"), F.when(sound, b).alias("b"), F.sqrt(F.col("__s2") * v).alias("se"))
+    names = F.array(*(F.lit(x) for x in xs)).cast("array<string>")
+    terms = F.concat(F.array(term(F.lit("const"), level, at_zero)), F.transform(each, lambda j: term(F.get(names, j), slope(j), spread(j))))
+    return solved.select(*group, *(["pooled"] if pooled else []), "n", F.explode(terms).alias("x")).select(*group, *(["pooled"] if pooled else []), "x.term", "x.b", "x.se", "n")
+
+
+def accuracy(rows: DataFrame, group: list[str], hit: Column, sets: list[list[str]] | None = None) -> DataFrame:
+    """Share of hits with Wilson's interval, and n. With sets, for each of these groupings in one pass; columns that a grouping lacks are null."""
+    grouped = rows.groupingSets([[F.col(c) for c in g] for g in sets], *(F.col(g) for g in group)) if sets else rows.groupBy(*group)
+    out = grouped.agg(F.avg(hit.cast("double")).alias("share"), F.count(hit).alias("n"))
     low, high = C.wilson(F.col("share"), F.col("n"))
     return out.withColumns({"low": low, "high": high})
 
 
+def layered_spearman(means: DataFrame, anchors: DataFrame, layers: Column, least: int = 8) -> DataFrame:
+    """dimension, layer, rho, n: rank correlations over units of each layer's composite (the mean of its item means) with the anchor of the dimension.
+
+    layers: for a row of means (unit, dimension, item, mean) the names of the layers it counts for, such as its item, its class and all.
+    """
+    parts = means.select("unit", "dimension", F.explode(F.array_compact(layers)).alias("layer"), "mean")
+    composite = parts.groupBy("unit", "dimension", "layer").agg(F.round(F.avg("mean"), 9).alias("m"))
+    return spearman(composite.join(anchors.select("unit", "dimension", F.round("z", 9).alias("z")), ["unit", "dimension"]), ["dimension", "layer"], "m", "z", least)
+
+
 def benchmark_agreement(z: Column, benchmark: Column) -> Column:
     """Whether z is significant and of the benchmark's sign; null without a benchmark."""
     return F.when(benchmark.isNotNull(), (F.signum(z) == F.signum(benchmark)) & (F.abs(z) > 1.96))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .order import alike, quantiles
+from .resampling import bootstrap_mean
 
 
 def metric_rows(rows: DataFrame, keep: list[str], metrics: list[str]) -> DataFrame:
@@ -15,8 +17,16 @@ def metric_rows(rows: DataFrame, keep: list[str], metrics: list[str]) -> DataFra
 
 
 def summary(rows: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """Over values that are there: mean, median, sample standard deviation (null for one) and n."""
-    return rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+    """Over values that are there: mean, exact median, sample standard deviation (null for one) and n. Groups without a value have nulls."""
+    moments = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+    middle = quantiles(rows, group, value, [0.5]).select(*group, F.get("q", F.lit(0)).alias("median"))
+    return alike(moments, middle, group, "left").select(*group, "mean", "median", "std", "n")
+
+
+def summary_with_interval(rows: DataFrame, group: list[str], value: str, order: list[str], reps: int = 2000) -> DataFrame:
+    """The same with low and high, the bootstrap interval of the mean. order tells a group's rows apart."""
+    bounds = bootstrap_mean(rows, group, value, order, reps).select(*group, "low", "high")
+    return alike(summary(rows, group, value), bounds, group, "left")
 
 
 def weighted_mean(rows: DataFrame, group: list[str], value: str = "value", weight: str = "weight", least: int = 1) -> DataFrame:
@@ -94,6 +104,19 @@ def pooled(rows: DataFrame, group: list[str], unit: str, metric: str) -> DataFra
     return by_unit.groupBy(*group).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("item_pooled"), F.avg(F.try_divide("s", "n")).alias("unit_pooled"), F.sum("n").alias("n"))
 
 
+def like_for_like(rows: DataFrame, family: str, policy: str, item: str, metrics: list[str]) -> DataFrame:
+    """family, items, policies and each metric's mean of policies' means, over the items that every policy has: so families with different items compare.
+
+    The means of a policy are over all its rows of these items; a family's is over its policies, each with the same weight.
+    """
+    every = rows.agg(F.count_distinct(policy).alias("__all"))
+    shared = rows.groupBy(item).agg(F.count_distinct(policy).alias("__k")).crossJoin(F.broadcast(every)).where("__k = __all").select(item)
+    own = rows.join(shared, item, "left_semi")
+    means = own.groupBy(family, policy).agg(*(F.avg(F.col(m).cast("double")).alias(m) for m in metrics))
+    items = shared.agg(F.count("*").alias("items"))
+    return means.groupBy(family).agg(F.count("*").alias("policies"), *(F.avg(m).alias(m) for m in metrics)).crossJoin(F.broadcast(items))
+
+
 def coverage(answers: DataFrame, group: list[str], mode: str = "negative") -> DataFrame:
     """Share and number of answers that are no missing codes."""
     valid = C.mask_missing(F.col("value"), mode).isNotNull()
@@ -124,7 +147,7 @@ def average_ranks(rows: DataFrame, within: list[str], columns: list[str]) -> Dat
 
 def quantile_bins(rows: DataFrame, value: str, bins: int = 3) -> DataFrame:
     """rows with bin (from 0): edges by linear interpolation, closed on the right. The edges are one row, whatever the size."""
-    cuts = rows.agg(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("__cuts"))
+    cuts = quantiles(rows, [], value, [k / bins for k in range(1, bins)]).select(F.col("q").alias("__cuts"))
     joined = rows.crossJoin(F.broadcast(cuts))
     at = F.aggregate("__cuts", F.lit(0), lambda n, c: n + (F.col(value) > c).cast("int"))
     return joined.withColumn("bin", F.when(F.col(value).isNotNull(), at)).drop("__cuts")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import distances as G
+from ..operators import pairs as P
+from ..operators import resampling as R
 from ..operators import statistics as T
 from ..operators import summaries as S
+from ..sources.shared import written
 from . import fixtures as X
 from .registry import register
 
@@ -85,6 +88,22 @@ register(
     "people policy_contrast ratio",
 )
 register("a30_b6_pooled", lambda s, d: S.pooled(X.evaluated(s, d), ["relationship"], "unit", "wasserstein"), "SELECT relationship, sum(s) / sum(n) AS item_pooled, avg(s / n) AS unit_pooled, sum(n) AS n FROM (SELECT relationship, unit, sum(wasserstein) AS s, count(wasserstein) AS n FROM evaluated GROUP BY 1, 2) GROUP BY 1", "evaluated", "item_pooled unit_pooled", "n")
+
+
+def one_universe(s, d):
+    """Families re-pooled on the items that every policy has an answer to: base leaves out I6, and some adapters I3."""
+    rows = X.evaluated(s, d).where("not (policy = 'base' and item = 'I6') and not (policy = 'N03_adapter' and item = 'I3')")
+    return S.like_for_like(rows, "relationship", "policy", "item", ["tvd", "jsd", "entropy_error", "std_error", "top_match"])
+
+
+register(
+    "b6_like_for_like",
+    one_universe,
+    """SELECT relationship, count(*) AS policies, avg(tvd) AS tvd, avg(jsd) AS jsd, avg(entropy_error) AS entropy_error, avg(std_error) AS std_error, avg(top_match) AS top_match, any_value(items) AS items FROM (SELECT relationship, policy, avg(tvd) AS tvd, avg(jsd) AS jsd, avg(entropy_error) AS entropy_error, avg(std_error) AS std_error, avg(top_match::INT) AS top_match
+    FROM own JOIN shared USING (item) GROUP BY 1, 2), (SELECT count(*) AS items FROM shared) GROUP BY 1""".replace(" own ", " (SELECT * FROM evaluated WHERE NOT (policy = 'base' AND item = 'I6') AND NOT (policy = 'N03_adapter' AND item = 'I3')) ").replace(" shared", " (SELECT item FROM evaluated WHERE NOT (policy = 'base' AND item = 'I6') AND NOT (policy = 'N03_adapter' AND item = 'I3') GROUP BY item HAVING count(DISTINCT policy) = (SELECT count(DISTINCT policy) FROM evaluated)) shared"),
+    "evaluated",
+    "tvd jsd entropy_error std_error top_match",
+)
 register("a32_two_units", lambda s, d: S.two_units(X.answers(s, d), "N03", "N07"), "SELECT item, avg(value) FILTER (unit = 'N03') AS mean_a, avg(value) FILTER (unit = 'N07') AS mean_b, count(*) FILTER (unit = 'N03') AS n_a, count(*) FILTER (unit = 'N07') AS n_b, avg(value) FILTER (unit = 'N03') - avg(value) FILTER (unit = 'N07') AS difference, 'ok' AS status FROM answers WHERE unit IN ('N03', 'N07') GROUP BY 1", "answers", "mean_a mean_b difference")
 register(
     "a23_guarded_correlation",
@@ -132,7 +151,23 @@ def classes(s, d):
 
 WITHIN = "SELECT avg(d) FILTER (x.n_regionkey = y.n_regionkey) AS within, avg(d) FILTER (x.n_regionkey <> y.n_regionkey) AS between_, count(*) FILTER (x.n_regionkey = y.n_regionkey) AS n_within FROM pairs JOIN nation x ON a = printf('N%02d', x.n_nationkey) JOIN nation y ON b = printf('N%02d', y.n_nationkey)"
 register("d7_class_means", lambda s, d: G.class_means(X.pairs(s, d), classes(s, d)).withColumnRenamed("between", "between_"), f"SELECT *, within / between_ AS ratio FROM ({WITHIN})", "pairs", "within between_ ratio")
-register("d8_class_spread", lambda s, d: classes(s, d).groupBy("class").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("unit")), ",").alias("members")), "SELECT CAST(n_regionkey AS VARCHAR) AS class, count(*) AS n, string_agg(printf('N%02d', n_nationkey), ',' ORDER BY n_nationkey) AS members FROM nation GROUP BY 1")
+
+
+def spread(s, d):
+    z = X.anchors(s, d).withColumn("z", F.round("z", 9))
+    return G.class_spread(classes(s, d), G.euclidean_pairs(z), z)
+
+
+register(
+    "d8_class_spread",
+    spread,
+    """SELECT class, n, members, mean_inside, max_gap, gap_dimension FROM (SELECT CAST(n_regionkey AS VARCHAR) AS class, count(*) AS n, string_agg(printf('N%02d', n_nationkey), ',' ORDER BY n_nationkey) AS members FROM nation GROUP BY 1)
+    LEFT JOIN (SELECT class, avg(d) AS mean_inside FROM (SELECT CAST(m.n_regionkey AS VARCHAR) AS class, x.unit, y.unit, sqrt(sum(pow(round(x.z, 9) - round(y.z, 9), 2))) AS d FROM anchors x JOIN anchors y ON x.dimension = y.dimension AND x.unit < y.unit JOIN nation m ON x.unit = printf('N%02d', m.n_nationkey) JOIN nation o ON y.unit = printf('N%02d', o.n_nationkey)
+    WHERE m.n_regionkey = o.n_regionkey GROUP BY 1, x.unit, y.unit) GROUP BY 1) USING (class)
+    LEFT JOIN (SELECT class, max(g) AS max_gap, arg_min(dimension, struct_pack(g := -g, k := dimension)) AS gap_dimension FROM (SELECT CAST(n_regionkey AS VARCHAR) AS class, dimension, max(round(z, 9)) - min(round(z, 9)) AS g FROM anchors JOIN nation ON unit = printf('N%02d', n_nationkey) GROUP BY 1, 2) GROUP BY 1) USING (class)""",
+    "anchors",
+    "mean_inside max_gap",
+)
 register("d12_filled", lambda s, d: G.filled(X.pairs(s, d).withColumn("d", F.when(F.col("a") != "N03", F.col("d")))), "SELECT a, b, coalesce(CASE WHEN a <> 'N03' THEN d END, avg(CASE WHEN a <> 'N03' THEN d END) OVER ()) AS d, n_items FROM pairs", "pairs", "d")
 
 
@@ -169,12 +204,16 @@ RANKED = f"SELECT *, rank() OVER (PARTITION BY dimension ORDER BY composite) + (
 register("r0_r5_bridge", lambda s, d: T.spearman(bridge(s, d), ["dimension"], "composite", "z"), f"SELECT dimension, corr(rx, ry) AS rho, count(*) AS n FROM ({RANKED}) GROUP BY 1", "means anchors", "rho")
 
 
-def item_bridge(s, d):
-    z = X.anchors(s, d).where("dimension = 'trust'").select("unit", F.round("z", 9).alias("z"))
-    return T.spearman(X.means(s, d).select("unit", "item", F.round("mean", 9).alias("mean")).join(F.broadcast(z), "unit"), ["item"], "mean", "z")
+def layer_bridge(s, d):
+    """Item, class and whole composites of each dimension against its anchor; the spotlight items are the items' rows."""
+    item = F.col("item")
+    means = X.means(s, d).withColumn("dimension", X.lookup(item, X.DIMENSIONS))
+    return T.layered_spearman(means, X.anchors(s, d), F.array(item, X.lookup(item, X.CLASSES), F.lit("all")))
 
 
-register("r6_item_bridge", item_bridge, "SELECT item, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT item, rank() OVER (PARTITION BY item ORDER BY x) + (count(*) OVER (PARTITION BY item, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY item ORDER BY z) + (count(*) OVER (PARTITION BY item, z) - 1) / 2.0 AS ry FROM (SELECT unit, item, round(mean, 9) AS x, round(z, 9) AS z FROM means JOIN anchors USING (unit) WHERE dimension = 'trust')) GROUP BY 1", "means anchors", "rho")
+LAYERS = f"SELECT unit, {X.sql_lookup('item', X.DIMENSIONS)} AS dimension, unnest([item, {X.sql_lookup('item', X.CLASSES)}, 'all']) AS layer, mean FROM means"
+LAYERED = f"SELECT unit, dimension, layer, round(avg(mean), 9) AS x, round(max(z), 9) AS z FROM ({LAYERS}) JOIN anchors USING (unit, dimension) GROUP BY 1, 2, 3"
+register("r6_item_bridge", layer_bridge, f"SELECT dimension, layer, CASE WHEN count(*) >= 8 THEN corr(rx, ry) END AS rho, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY dimension, layer ORDER BY x) + (count(*) OVER (PARTITION BY dimension, layer, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY dimension, layer ORDER BY z) + (count(*) OVER (PARTITION BY dimension, layer, z) - 1) / 2.0 AS ry FROM ({LAYERED})) GROUP BY 1, 2", "means anchors", "rho")
 
 
 def covariates(s, d):
@@ -191,17 +230,30 @@ register(
     "xy xz yz partial",
 )
 REPS = 2000
-register(
-    "r1_bootstrap",
-    lambda s, d: T.bootstrap_mean(X.evaluated(s, d).where("relationship <> 'cross'").withColumn("tvd", F.round("tvd", 9)), ["relationship"], "tvd", ["unit", "item"], REPS),
-    f"""SELECT relationship, n, mean, low, high FROM (SELECT relationship, count(*) AS n, avg(x) AS mean FROM v GROUP BY 1) JOIN (SELECT relationship, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT relationship, rep, avg(x) AS m FROM
-    (SELECT z.relationship, rep, ('0x' || substr(md5('boot|' || z.relationship || '|' || rep || '|' || j), 1, 8))::BIGINT % z.n AS i FROM (SELECT relationship, count(*) AS n FROM v GROUP BY 1) z, generate_series(1, {REPS}) r(rep), LATERAL (SELECT unnest(generate_series(1, z.n)) AS j)) JOIN v USING (relationship, i) GROUP BY 1, 2) GROUP BY 1) USING (relationship)""".replace(" v ", " (SELECT relationship, round(tvd, 9) AS x, row_number() OVER (PARTITION BY relationship ORDER BY unit, item) - 1 AS i FROM evaluated WHERE relationship <> 'cross') v "),
-    "evaluated",
-    "mean low high",
-)
+OWN = "SELECT relationship, round(tvd, 9) AS x, row_number() OVER (PARTITION BY relationship ORDER BY unit, item) - 1 AS i FROM evaluated WHERE relationship <> 'cross'"
+register("r1_bootstrap", lambda s, d: R.bootstrap_mean(X.evaluated(s, d).where("relationship <> 'cross'").withColumn("tvd", F.round("tvd", 9)), ["relationship"], "tvd", ["unit", "item"], REPS), R.bootstrap_sql(OWN, ["relationship"], REPS), "evaluated", "mean low high")
+
+
+def own_metrics(s, d):
+    """What policies of a unit's own have on its items: one row an item and metric."""
+    rows = S.metric_rows(X.evaluated(s, d).where("relationship = 'matched'"), ["unit", "item"], METRICS)
+    return S.summary_with_interval(rows.withColumn("value", F.round("value", 9)), ["unit", "metric"], "value", ["item"], REPS)
+
+
+OWN_METRICS = f"SELECT unit, item, metric, round(value, 9) AS value FROM ({LONG}) WHERE relationship = 'matched'"
+INTERVALS = R.bootstrap_sql(f"SELECT unit, metric, value AS x, row_number() OVER (PARTITION BY unit, metric ORDER BY item) - 1 AS i FROM ({OWN_METRICS}) WHERE value IS NOT NULL", ["unit", "metric"], REPS)
+register("a16_summary_with_interval", own_metrics, f"SELECT unit, metric, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std, count(value) AS n, any_value(low) AS low, any_value(high) AS high FROM ({OWN_METRICS}) LEFT JOIN (SELECT unit, metric, low, high FROM ({INTERVALS})) USING (unit, metric) GROUP BY 1, 2", "evaluated", "mean median std low high")
 register("r1_poisson_bootstrap", lambda s, d: T.poisson_mean(X.table(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 200), """SELECT o_orderstatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT o_orderstatus, rep, sum(w * o_totalprice) / sum(w) AS m FROM (SELECT o_orderstatus, rep, o_totalprice,
     POISSON AS w FROM (SELECT *, ('0x' || substr(md5('boot|' || o_orderkey || '|' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, generate_series(1, 200) r(rep))) GROUP BY 1, 2) GROUP BY 1""".replace("POISSON", " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in T.poisson_cuts())), doubles="low high")
-register("r3_r4_accuracy", lambda s, d: T.accuracy(X.evaluated(s, d), ["policy"], F.col("top_match")), "SELECT policy, p AS share, n, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS low, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS high FROM (SELECT policy, avg(top_match::INT) AS p, count(*) AS n FROM evaluated GROUP BY 1)", "evaluated", "share low high")
+WILSON = "(p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS low, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS high"
+register("r3_r4_accuracy", lambda s, d: T.accuracy(X.evaluated(s, d), ["policy"], F.col("top_match")), f"SELECT policy, p AS share, n, {WILSON} FROM (SELECT policy, avg(top_match::INT) AS p, count(*) AS n FROM evaluated GROUP BY 1)", "evaluated", "share low high")
+register(
+    "r4_reward_accuracy",
+    lambda s, d: T.accuracy(P.implied_reward(X.rewards(s, d)), ["unit", "dimension"], F.col("prefers_chosen"), [["unit"], ["unit", "dimension"], ["dimension"]]),
+    f"SELECT unit, dimension, p AS share, n, {WILSON} FROM (SELECT unit, dimension, avg((0.1::DOUBLE * ((chosen_logp - rejected_logp) - (ref_chosen_logp - ref_rejected_logp)) > 0)::INT) AS p, count(*) AS n FROM rewards GROUP BY GROUPING SETS ((unit), (unit, dimension), (dimension)))",
+    "rewards",
+    "share low high",
+)
 register("r8_linear_fit", lambda s, d: T.linear_fit(X.evaluated(s, d), ["policy"], "mean_p", "mean_q"), "SELECT policy, regr_slope(mean_q, mean_p) AS slope, regr_intercept(mean_q, mean_p) AS intercept, count(mean_q) AS n FROM evaluated GROUP BY 1", "evaluated", "slope intercept")
 
 
@@ -210,8 +262,7 @@ DEALS, ANCHOR_DEALS = 2000, 1000
 
 
 def permuted_ratio(s, d):
-    null = G.class_means(X.pairs(s, d), T.permutations(classes(s, d), "class", DEALS), ["rep"])
-    return null.select("rep", "within", "ratio")
+    return R.permuted_class_means(X.pairs(s, d), classes(s, d), DEALS).select("rep", "within", "ratio")
 
 
 PERMUTED = f"SELECT rep, u.unit, c.n_regionkey AS class FROM (SELECT rep, unit, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i FROM (SELECT printf('N%02d', n_nationkey) AS unit FROM nation), generate_series(1, {DEALS}) r(rep)) u JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) c USING (i)"
@@ -222,7 +273,7 @@ def permuted_p(s, d):
     """The observed ratio, how often one by chance is as small, and the spread of those."""
     observed = G.class_means(X.pairs(s, d), classes(s, d)).select(F.round("ratio", 9).alias("observed"))
     null = permuted_ratio(s, d).select(F.round("ratio", 9).alias("ratio")).crossJoin(observed)
-    return null.groupBy("observed").agg(*T.permutation_summary("ratio", F.col("observed"), less=True))
+    return null.groupBy("observed").agg(*R.permutation_summary("ratio", F.col("observed"), less=True))
 
 
 NULL_RATIOS = f"SELECT round(avg(d) FILTER (x.class = y.class) / avg(d) FILTER (x.class <> y.class), 9) AS ratio FROM pairs JOIN ({PERMUTED}) x ON a = x.unit JOIN ({PERMUTED}) y ON b = y.unit AND x.rep = y.rep GROUP BY x.rep"
@@ -232,15 +283,24 @@ register("r9_permutation_p", permuted_p, f"SELECT observed, avg((ratio <= observ
 def anchor_permutation(s, d):
     """For each dimension the observed correlation with the anchors, and where it stands among deals of the anchors' units."""
     base = bridge(s, d)
-    others = base.select("unit").distinct()
-    dealt = T.permutations(others.withColumn("other", F.col("unit")), "other", ANCHOR_DEALS)
-    null = dealt.join(base.select("unit", "dimension", "composite"), "unit").join(base.select(F.col("unit").alias("other"), "dimension", "z"), ["other", "dimension"])
-    rhos = T.spearman(null, ["dimension", "rep"], "composite", "z").select("dimension", F.round("rho", 9).alias("rho"))
+    rhos = R.permuted_correlations(base, ["dimension"], "composite", "z", ANCHOR_DEALS).select("dimension", F.round("rho", 9).alias("rho"))
     observed = T.spearman(base, ["dimension"], "composite", "z").select("dimension", F.round("rho", 9).alias("observed"))
-    stood = rhos.join(observed, "dimension").groupBy("dimension", "observed").agg(*T.permutation_summary("rho", F.col("observed"), less=False))
+    stood = rhos.join(observed, "dimension").groupBy("dimension", "observed").agg(*R.permutation_summary("rho", F.col("observed"), less=False))
     return stood.withColumn("beyond_chance", F.col("p") <= 0.05)
 
 
+def rank_permutation(s, d):
+    """The median rank of units for their own adapters, and where it stands among those of units dealt to the adapters."""
+    rows = G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").select("policy", F.col("unit").alias("other"), F.round("d", 9).alias("d"))
+    ranks = S.ranks(rows, ["policy"], "d", ["other"]).select(F.regexp_replace("policy", "_adapter$", "").alias("unit"), "other", F.col("rank_by_count").alias("rank"))
+    # Only units that have an adapter can be dealt, so that each deal is one of the same units.
+    units = written(ranks.select("unit").distinct(), "units")
+    ranks = ranks.join(units.withColumnRenamed("unit", "other"), "other")
+    null = R.permuted_medians(ranks, ANCHOR_DEALS)
+    observed = ranks.where("unit = other").agg(F.percentile("rank", 0.5).alias("observed"))
+    return null.crossJoin(F.broadcast(observed)).groupBy("observed").agg(*R.permutation_summary("median", F.col("observed")), F.percentile("median", 0.5).alias("null_median")).withColumn("beyond_chance", F.col("p") <= 0.05)
+
+
 AVG = lambda x, by: f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 register(
     "r10_anchor_permutation",
@@ -252,15 +312,44 @@ register(
     "means anchors",
     "observed p p05 p95 null_sd",
 )
+ADAPTED = "SELECT replace(policy, '_adapter', '') AS unit, unit AS other, rank() OVER (PARTITION BY policy ORDER BY round(d, 9)) AS r FROM (SELECT policy, unit, avg(tvd) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)"
 register(
-    "r11_least_squares",
-    lambda s, d: T.least_squares(X.lines(s, d).withColumns({"q": F.col("l_quantity") / 50, "t": F.col("l_tax") * 10}), ["unit"], ["q", "t"], "l_discount"),
-    """SELECT unit, term, CASE term WHEN 'q' THEN bq WHEN 't' THEN bt ELSE my - bq * mq - bt * mt END AS b, sqrt(greatest(0, n * (vy - bq * cq - bt * ct)) / (n - 3) * CASE term WHEN 'q' THEN c11 / (n * g) WHEN 't' THEN c00 / (n * g) ELSE (1 + (mq * mq * c11 - 2 * mq * mt * c01 + mt * mt * c00) / g) / n END) AS se, n
-    FROM (SELECT *, (cq * c11 - ct * c01) / g AS bq, (ct * c00 - cq * c01) / g AS bt FROM (SELECT *, c00 * c11 - c01 * c01 AS g FROM (SELECT unit, var_pop(l_quantity / 50) AS c00, covar_pop(l_quantity / 50, l_tax * 10) AS c01, var_pop(l_tax * 10) AS c11, covar_pop(l_quantity / 50, l_discount) AS cq, covar_pop(l_tax * 10, l_discount) AS ct,
-    var_pop(l_discount) AS vy, avg(l_quantity / 50) AS mq, avg(l_tax * 10) AS mt, avg(l_discount) AS my, count(*) AS n FROM lines GROUP BY 1))), (VALUES ('const'), ('q'), ('t')) v(term)""",
-    "lines",
-    "b se",
+    "r10_rank_permutation",
+    rank_permutation,
+    f"""SELECT observed, avg((m <= observed)::INT) AS p, quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.95) AS p95, stddev_samp(m) AS null_sd, quantile_cont(m, 0.5) AS null_median, avg((m <= observed)::INT) <= 0.05 AS beyond_chance FROM (SELECT rep, quantile_cont(r, 0.5) AS m FROM (SELECT rep, unit, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || unit), unit) AS i
+    FROM (SELECT DISTINCT unit FROM ({ADAPTED})), generate_series(1, {ANCHOR_DEALS}) g(rep)) u JOIN (SELECT unit AS other, row_number() OVER (ORDER BY unit) AS i FROM (SELECT DISTINCT unit FROM ({ADAPTED}))) o USING (i) JOIN ({ADAPTED}) a ON a.unit = u.unit AND a.other = o.other GROUP BY rep), (SELECT quantile_cont(r, 0.5) AS observed FROM ({ADAPTED}) WHERE unit = other) GROUP BY observed""",
+    "evaluated",
+    "observed p p05 p95 null_sd null_median",
 )
+
+def gradients(s, d):
+    """Each unit's discounts, and all units' together, on a flag, an amount, its square and the tax: four covariates."""
+    q = F.col("l_quantity") / 50
+    rows = X.lines(s, d).select("unit", F.when(F.col("I4") == 1, 1.0).otherwise(0.0).alias("flag"), q.alias("amount"), (q * q).alias("amount2"), (F.col("l_tax") * 10).alias("tax"), "l_discount")
+    out = T.least_squares(rows, ["unit"], ["flag", "amount", "amount2", "tax"], "l_discount", pooled=True)
+    return out.select(F.when(F.col("pooled"), "pooled").otherwise(F.col("unit")).alias("spec"), "term", "b", "se", "n")
+
+
+def gradients_sql() -> str:
+    """The same by inverting the covariances in columns, one pivot after the other."""
+    xs = {"flag": "CASE WHEN I4 = 1 THEN 1.0::DOUBLE ELSE 0.0 END", "amount": "l_quantity / 50", "amount2": "l_quantity / 50 * l_quantity / 50", "tax": "l_tax * 10"}
+    p, at = range(len(xs)), [*xs.values(), "l_discount"]
+    sums = [f"n * covar_pop({at[i]}, {at[j]}) AS s{i}{j}" for i in p for j in [*p, 4]] + [f"{int(i == j)}.0::DOUBLE AS v{i}{j}" for i in p for j in p]
+    body = f"SELECT coalesce(unit, 'pooled') AS spec, count(*) AS n, {', '.join(f'avg({c}) AS m{k}' for k, c in enumerate(at))}, n * var_pop(l_discount) AS yy, {', '.join(sums)} FROM lines GROUP BY GROUPING SETS ((unit), ())"
+    body = body.replace("n * ", "count(*) * ")
+    cells = [f"s{{i}}{j}" for j in [*p, 4]] + [f"v{{i}}{j}" for j in p]
+    for k in p:
+        new = [f"{c.format(i=i)} / s{k}{k} AS {c.format(i=i)}" if i == k else f"{c.format(i=i)} - s{i}{k} / s{k}{k} * {c.format(i=k)} AS {c.format(i=i)}" for i in p for c in cells]
+        body = f"SELECT spec, n, yy, {', '.join(f'm{i}' for i in range(5))}, {', '.join(f'c{i}' if k else f's{i}4 AS c{i}' for i in p)}, {', '.join(new)} FROM ({body})"
+    rss = "yy - " + " - ".join(f"s{i}4 * c{i}" for i in p)
+    level = "m4 - " + " - ".join(f"s{i}4 * m{i}" for i in p)
+    spread = "1.0 / n + " + " + ".join(f"m{i} * v{i}{j} * m{j}" for i in p for j in p)
+    b = " ".join(f"WHEN '{x}' THEN s{k}4" for k, x in enumerate(xs))
+    v = " ".join(f"WHEN '{x}' THEN v{k}{k}" for k, x in enumerate(xs))
+    return f"SELECT spec, term, CASE term {b} ELSE {level} END AS b, sqrt(greatest(0, {rss}) / (n - 5) * CASE term {v} ELSE {spread} END) AS se, n FROM ({body}), (VALUES ('const'), {', '.join(f"('{x}')" for x in xs)}) t(term)"
+
+
+register("r11_least_squares", gradients, gradients_sql(), "lines", "b se")
 register("r12_r13_agreement", lambda s, d: X.anchors(s, d).select("unit", "dimension", T.benchmark_agreement(F.col("z") * 3, F.when(F.col("unit") < "N20", F.lit(1))).alias("agrees"), (F.col("z") * -1 >= 0.2).alias("ordered")), "SELECT unit, dimension, CASE WHEN unit < 'N20' THEN sign(z) = 1 AND abs(z * 3) > 1.96 END AS agrees, z * -1 >= 0.2 AS ordered FROM anchors", "anchors")
 register("r14_median_rank", lambda s, d: G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 12)), F.col("policy") == F.concat("unit", F.lit("_adapter"))).agg(F.percentile("own_rank", 0.5).alias("median_rank"), F.max((F.col("n") + 1) / 2).alias("chance")), "SELECT quantile_cont(r, 0.5) AS median_rank, max((n + 1) / 2) AS chance FROM (SELECT policy, unit, rank() OVER (PARTITION BY policy ORDER BY d) AS r, count(*) OVER (PARTITION BY policy) AS n FROM (SELECT policy, unit, round(avg(tvd), 12) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)) WHERE policy = unit || '_adapter'", "evaluated", "median_rank chance")
 

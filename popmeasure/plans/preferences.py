@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import columns as C
 from ..operators import pairs as P
 from ..operators import quality as K
 from ..sources import files
+from ..sources.shared import scratch
 from ..streaming import jobs
 from . import fixtures as X
 from .registry import register
@@ -18,14 +17,6 @@ from .registry import register
 DIMS = ["amount", "patience", "risk", "trust"]
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in the cluster's shared one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Banks and labels
 register("q1_content_key", lambda s, d: X.bank(s, d).select("p_partkey", C.content_key(F.col("dimension"), F.col("prompt")).alias("key"), F.substring(F.sha2(F.to_json(F.struct("dimension", "prompt")), 256), 1, 16).alias("cache_key")), """SELECT p_partkey, substr(sha1(dimension || chr(10) || prompt), 1, 12) AS key, substr(sha256('{"dimension":"' || dimension || '","prompt":"' || prompt || '"}'), 1, 16) AS cache_key FROM bank""", "bank")
 register("q2_bank", lambda s, d: X.bank(s, d).drop("seq"), "SELECT * FROM bank", "bank", "m_a m_b")
@@ -149,6 +140,15 @@ register("q26_record_fields", lambda s, d: X.table(s, d, "events").select("event
 
 # Contracts and text jobs
 register("c1_expectations", lambda s, d: K.expect(X.missing(s, d), {"value_known": F.col("value") >= 0, "weight_known": F.col("weight").isNotNull(), "item_named": F.col("item").startswith("I")}), "SELECT * FROM (SELECT 'value_known' AS \"check\", count(*) FILTER (value < 0) = 0 AS passed, count(*) FILTER (value < 0) AS observed FROM missing UNION ALL SELECT 'weight_known', count(*) FILTER (weight IS NULL) = 0, count(*) FILTER (weight IS NULL) FROM missing UNION ALL SELECT 'item_named', TRUE, 0)", "missing")
+
+
+def checked(s, d):
+    """The same rules, checked while the rows are written."""
+    rules = {"value_known": F.col("value") >= 0, "weight_known": F.col("weight").isNotNull(), "item_named": F.col("item").startswith("I")}
+    return K.checked_write(X.missing(s, d), scratch(s, "checked"), rules, stop=False)
+
+
+register("c1_checked_write", checked, "SELECT * FROM (SELECT 'value_known' AS \"check\", count(*) FILTER (value < 0) = 0 AS passed, count(*) FILTER (value < 0) AS observed FROM missing UNION ALL SELECT 'weight_known', count(*) FILTER (weight IS NULL) = 0, count(*) FILTER (weight IS NULL) FROM missing UNION ALL SELECT 'item_named', TRUE, 0)", "missing")
 register("c1_probabilities_sum", lambda s, d: K.probabilities_sum(X.people(s, d), ["unit", "item"]), "SELECT count(*) AS cells, 0 AS broken FROM (SELECT DISTINCT unit, item FROM people)", "people", ints="broken")
 register("c1_same_as_stored", lambda s, d: K.same_as(X.means(s, d), X.means(s, d).withColumn("mean", F.when(F.col("item") == "I2", F.col("mean") + 1).otherwise(F.col("mean"))), ["unit", "item"], "mean"), "SELECT count(*) AS keys, 0 AS only_one, count(*) FILTER (item = 'I2') AS different FROM means", "means", ints="only_one")
 register("j1_unique_keys", lambda s, d: K.unique_keys(X.bank_rows(s, d), ["p_partkey"]), "SELECT count(*) AS keys, count(*) FILTER (n > 1) AS repeated FROM (SELECT p_partkey, count(*) AS n FROM bank_rows GROUP BY 1)", "bank_rows")
@@ -234,36 +234,71 @@ register("s8_units_sink", by_unit, "SELECT unit, item, count(*) AS n, sum(weight
 
 
 def appended(s, d):
+    """Twice the same keys and once all: what is there already isn't appended again."""
     path = scratch(s, "cache")
     rows = X.table(s, d, "part").select("p_partkey", "p_brand")
-    files.append_new(rows.where("p_partkey % 2 = 0"), path, ["p_partkey"])
-    files.append_new(rows, path, ["p_partkey"])
-    return s.read.parquet(f"{path}/*").groupBy("p_brand").agg(F.count("*").alias("n"))
+    for part in (rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 0"), rows):
+        cache = files.append_new(part, path, ["p_partkey"])
+    return cache.groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 register("s12_append_cache", appended, "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 
 
+#: Events arrive in runs: ten days each, and every 50th only after all others. So in the last run most of these are late.
+RUNS, LATE = range(4), "2 days"
+
+
+def in_runs(s, d, job, mode="append", prepare=None, seen=None) -> DataFrame:
+    """What the job has written after all runs. Each run's events are put into one inbox, and the job takes what is new there."""
+    inbox, path, state = (scratch(s, f"events-{x}") for x in ("inbox", "out", "state"))
+    rows = X.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.least(F.lit(2), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10))
+    out = None
+    for r in RUNS:
+        rows.where(F.when(F.col("event_id") % 50 == 0, 3).otherwise(day) == r).write.mode("append").parquet(inbox)
+        out = jobs.run_once(job(jobs.arriving(s, inbox, rows.schema)), path, state, mode, prepare, seen)
+    return out
+
+
+#: When each event arrives, and the watermark that it meets there: two days behind the newest of earlier runs.
+ARRIVED = """arrived AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 3 ELSE least(2, date_diff('day', DATE '2024-01-01', ts::DATE) // 10) END AS run FROM events),
+    marks AS (SELECT run, date_trunc('millisecond', (SELECT max(ts) FROM arrived a WHERE a.run < r.run)) - INTERVAL 2 DAY AS mark FROM generate_series(0, 4) r(run))"""
+
+
 def streamed_rates(s, d):
-    rows = jobs.run_once(jobs.failure_rates(jobs.events(s, d), F.col("event_type") == "error"), scratch(s, "rates"), scratch(s, "rates-state"), "complete")
+    rows = in_runs(s, d, lambda e: jobs.failure_rates(e, F.col("event_type") == "error", late=LATE))
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failures", "share", "closed")
 
 
-register("x1_failure_rates", streamed_rates, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, avg((event_type = 'error')::INT) AS share, avg((event_type = 'error')::INT) > 0.75 AS closed FROM events GROUP BY 1", doubles="share")
+register(
+    "x1_failure_rates",
+    streamed_rates,
+    f"""WITH {ARRIVED} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, avg((event_type = 'error')::INT) AS share, avg((event_type = 'error')::INT) > 0.75 AS closed
+    FROM arrived JOIN marks USING (run) WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY 1, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE run = 4)""",
+    doubles="share",
+)
+
+DAY = 86400
 
 
 def streamed_gate(s, d):
-    rows = jobs.events(s, d).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("at"), "event_id", (F.col("event_type") == "error").alias("failed"))
-    after = jobs.run_once(jobs.last_outcomes(rows, "key", ["at", "event_id"], "failed", 5, 0.5), scratch(s, "gate"), scratch(s, "gate-state"), "update")
-    return after.groupBy("key").agg(F.max_by(F.struct("seen", "share", "closed"), "batch").alias("x")).select("key", "x.*")
+    rows = in_runs(s, d, lambda e: jobs.last_outcomes(e, "user_id", "ts", "event_id", F.col("event_type") == "error", DAY, 7 * DAY, LATE, 5, 0.5))
+    return rows.select(F.col("user_id").alias("key"), F.date_format("start", "yyyy-MM-dd").alias("day"), "seen", "share", "closed")
 
 
-register("x1_last_outcomes", streamed_gate, "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS seen, avg((event_type = 'error')::INT) AS share, count(*) >= 5 AND avg((event_type = 'error')::INT) > 0.5 AS closed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5 GROUP BY 1", doubles="share")
+register(
+    "x1_last_outcomes",
+    streamed_gate,
+    f"""WITH {ARRIVED}, heard AS (SELECT a.* FROM arrived a JOIN marks USING (run) WHERE mark IS NULL OR ts > mark), ends AS (SELECT DISTINCT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS e FROM heard)
+    SELECT CAST(user_id AS VARCHAR) AS key, strftime(e - INTERVAL 1 DAY, '%Y-%m-%d') AS day, count(*) AS seen, avg(failed) AS share, count(*) >= 5 AND avg(failed) > 0.5 AS closed FROM
+    (SELECT n.user_id, n.e, (h.event_type = 'error')::INT AS failed, row_number() OVER (PARTITION BY n.user_id, n.e ORDER BY h.ts DESC, h.event_id DESC) AS k FROM ends n JOIN heard h ON h.user_id = n.user_id AND h.ts < n.e AND h.ts >= n.e - INTERVAL 7 DAY WHERE n.e <= (SELECT mark FROM marks WHERE run = 4)) WHERE k <= 5 GROUP BY user_id, e""",
+    doubles="share",
+)
 
 
 def streamed_cache(s, d):
-    path = scratch(s, "keys")
-    rows = jobs.run_once(jobs.events(s, d).select("user_id", "event_type"), path, scratch(s, "seen"), prepare=jobs.unseen(path, ["user_id", "event_type"]))
+    rows = in_runs(s, d, lambda e: jobs.first_of_keys(e.select("user_id", "event_type"), ["user_id", "event_type"]))
     return rows.groupBy("event_type").agg(F.count("*").alias("users"))
 
 
@@ -273,7 +308,7 @@ register("x2_idempotent_cache", streamed_cache, "SELECT event_type, count(DISTIN
 def streamed_counts(s, d):
     """Options that nobody chose are on the grid, too: here one type that the stream never has."""
     grid = X.table(s, d, "events").select("event_type").distinct().union(s.createDataFrame([("never",)], "event_type string"))
-    rows = jobs.run_once(jobs.option_counts(jobs.events(s, d), ["event_type"], "value"), scratch(s, "counts"), scratch(s, "counts-state"), "update", jobs.on_grid(grid, ["event_type"]))
+    rows = in_runs(s, d, lambda e: jobs.option_counts(e, ["event_type"], "value"), "update", jobs.on_grid(grid, ["event_type"]))
     latest = rows.where("n > 0 or batch = 0").groupBy("event_type").agg(F.max_by(F.struct("n", "weight"), F.struct("batch", "n")).alias("x"))
     return latest.select("event_type", "x.*")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +44,41 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE")
 
 
-def map_of_maps(text: DataFrame, column: str) -> DataFrame:
-    """unit, dimension, z of JSON texts like {"unit": {"dimension": z}}."""
-    parsed = F.from_json(column, "map<string,map<string,double>>")
-    return text.select(F.explode(parsed).alias("unit", "m")).select("unit", F.explode("m").alias("dimension", "z"))
+def map_of_maps(spark: SparkSession, path: str) -> DataFrame:
+    """unit, dimension, z of JSON files like {"unit": {"dimension": z}}, each read as a whole, over however many lines. A file that isn't such an object is an error that names it."""
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = F.from_json("value", "map<string,map<string,double>>")
+    sound = F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("no map of maps: "), "file")).cast("map<string,map<string,double>>"))
+    return text.select(F.explode(sound).alias("unit", "m")).select("unit", F.explode("m").alias("dimension", "z"))
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether the path, or anything that its pattern matches, is there; in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
 
 
-def family(spark: SparkSession, paths: list[str], pattern: str, tag: str) -> DataFrame:
-    """Parquet files of one family, with a tag taken from each file's path by the pattern's first group."""
-    return spark.read.parquet(*paths).withColumn(tag, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+def families(spark: SparkSession, paths: dict[str, str], keep: list[str] | None = None, tag: str = "bank") -> DataFrame:
+    """The Parquet files of several families (tag: path or pattern) with the family and file that each row is from.
+
+    Columns may differ from file to file: each family has all that its files' footers have, and the union those of all families,
+    or only `keep`; null where a file lacks one. Families that aren't there are skipped with a warning; their tags are in the
+    result's `missing`. None at all is an error.
+    """
+    missing = [t for t, p in paths.items() if not there(spark, p)]
+    if missing:
+        warnings.warn(f"missing families, skipped: {', '.join(missing)}", stacklevel=2)
+    if len(missing) == len(paths):
+        raise ValueError(f"none of the families is there: {', '.join(missing)}")
+    out = None
+    for name, path in paths.items():
+        if name not in missing:
+            rows = spark.read.option("mergeSchema", True).parquet(path)
+            rows = rows.select(*(c for c in rows.columns if keep is None or c in keep), F.lit(name).alias(tag), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    out.missing = missing
+    return out
 
 
 def waves(frames: list[DataFrame], keep: list[str] | None = None) -> DataFrame:
@@ -91,16 +119,14 @@ def manifest(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
 
 def append_new(new: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Appends rows whose key the cache at path lacks, once each; returns what was appended, read back from its own folder."""
-    import uuid
-
-    spark = new.sparkSession
-    try:
-        old = spark.read.parquet(f"{path}/*")
-        new = new.join(old.select(*key), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    part = f"{path}/part-{uuid.uuid4().hex}"
-    new.dropDuplicates(key).write.parquet(part)
-    return spark.read.parquet(part)
+    """Appends rows whose key the cache at path lacks, once each; returns the rows of the cache.
+
+    Rows go to the cache's inbox, where any number of writers may put theirs, and a streaming job takes what is new there. Which keys
+    there are is its state, so an append looks up its own keys and reads nothing of what was written before; a row that comes
+    twice, from a writer that tried again or from two of them, counts once.
+    """
+    from ..streaming import jobs
+
+    new.write.mode("append").parquet(f"{path}/inbox")
+    rows = jobs.arriving(new.sparkSession, f"{path}/inbox", new.schema)
+    return jobs.run_once(jobs.first_of_keys(rows, key), f"{path}/rows", f"{path}/state").drop("batch")

@@ -1,34 +1,124 @@
-"""Structured Streaming jobs on event streams."""
+"""Structured Streaming jobs on event streams.
+
+State is kept by RocksDB on the executors' disks and checkpointed as changes, so a batch costs what it brings, not what there
+is. Each run takes what has arrived since the last one and stops; the checkpoint carries state and watermark on.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """The session's settings of state stores, for as long as a stream starts and runs."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+def arriving(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The Parquet files of a folder as a stream: each file once, also those that are put there later, by whichever writer."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def failure_rates(stream: DataFrame, failed: Column, time: str = "ts", width: str = "1 day", late: str = "2 days", most: float = 0.75) -> DataFrame:
-    """Failures in each time window, with a watermark for late rows, and whether their share is above `most`."""
+    """Failures in each time window, and whether their share is above `most`. For append mode: a window comes once, when the watermark
+    has passed its end; then its state is dropped, and rows for it that come later are."""
     counts = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"))
     return counts.select(F.col("w.start").alias("start"), "n", "failures", (F.col("failures") / F.col("n")).alias("share"), (F.col("failures") / F.col("n") > most).alias("closed"))
 
 
+class _Gate(StatefulProcessor):
+    """Of one key: its outcomes that windows still open or to come can need, a timer at each such window's end, and one for the end of its state."""
+
+    def __init__(self, key: str, width: int, keep: int, last: int, most: float):
+        self.key, self.width, self.keep, self.last, self.most = key, width, keep, last, most
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at array<long>, id array<long>, failed array<boolean>")
+
+    def close(self) -> None:
+        pass
+
+    def _held(self) -> list[tuple]:
+        return list(zip(*self.kept.get(), strict=True)) if self.kept.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  (Spark's names)
+        new = []
+        for pdf in rows:
+            new += list(zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["failed"].astype(bool).tolist(), strict=True))
+        for end in {(at // 1000 // self.width + 1) * self.width for at, *_ in new}:
+            self.handle.registerTimer(end)
+        held = self._held() + new
+        self.kept.update(tuple(list(c) for c in zip(*held, strict=True)))
+        return iter(())
+
+    def _ends(self, held: list[tuple]) -> int:
+        """When nothing of what is held can matter any more: one beside the windows' ends, which are multiples of the width."""
+        return ((max(at for at, *_ in held) // 1000 + self.keep) // self.width + 2) * self.width + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        end, held = expiredTimerInfo.getExpiryTimeInMs(), sorted(self._held())
+        if end % self.width:
+            if held and self._ends(held) <= end:
+                self.kept.clear()
+            return
+        past = [r for r in held if (end - self.keep) * 1000 <= r[0] < end * 1000][-self.last :]
+        # What the next window can still need: the last of those before this end that are young enough, and all after it.
+        rest = [r for r in past if r[0] >= (end + self.width - self.keep) * 1000] + [r for r in held if r[0] >= end * 1000]
+        if rest:
+            self.kept.update(tuple(list(c) for c in zip(*rest, strict=True)))
+            self.handle.registerTimer(self._ends(rest))
+        else:
+            self.kept.clear()
+        share = sum(f for *_, f in past) / len(past)
+        yield pd.DataFrame({self.key: [key[0]], "start": [pd.Timestamp(end - self.width, unit="ms")], "seen": [len(past)], "share": [share], "closed": [len(past) >= self.last and share > self.most]})
+
+
+def last_outcomes(stream: DataFrame, key: str, time: str, order: str, failed: Column, width: int, keep: int, late: str, last: int = 20, most: float = 0.75) -> DataFrame:
+    """key, start, seen, share, closed: for each key and time window with rows, the share of failures among its last outcomes as of the window's end.
+
+    Of the outcomes of the last `keep` seconds before the end the `last` newest count (ties in time by order, a whole number);
+    the gate is closed where all of them are there and more than `most` failed. For append mode: a window comes once, when the
+    watermark (`late` behind the newest row) has passed its end; rows that come later than that are dropped. width and keep in seconds.
+    A key's state holds `last` outcomes and those of open windows, and ends when its newest is older than `keep`.
+    """
+    rows = stream.select(F.col(key).cast("string").alias(key), F.col(time).alias("__time"), F.unix_micros(time).alias("at"), F.col(order).cast("long").alias("id"), failed.alias("failed")).withWatermark("__time", late)
+    gate = _Gate(key, width * 1000, keep * 1000, last, most)
+    return rows.groupBy(key).transformWithStateInPandas(gate, f"{key} string, start timestamp, seen long, share double, closed boolean", "Append", "EventTime")
+
+
+def first_of_keys(stream: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key one row, of the batch that has it first; for append mode. Keys are state on disk: a batch looks up its own keys, however many there are, and reads nothing of what was written before."""
+    return stream.dropDuplicates(key)
+
+
 def option_counts(stream: DataFrame, group: list[str], weight: str) -> DataFrame:
     """Running counts and weights of each option, for update mode. on_grid() joins them to a static grid batch by batch."""
     return stream.groupBy(*group).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
 
 
 def on_grid(grid: DataFrame, keys: list[str]) -> Callable[[DataFrame, int], DataFrame]:
-    """For run_once(): each batch's counts over all options of a static grid; options without answers have 0."""
+    """For run_once(): each batch's counts over all options of a static grid; options without answers in it have 0."""
 
     def prepare(df: DataFrame, batch: int) -> DataFrame:
         return grid.join(df, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -40,51 +130,22 @@ def with_batch(rows: DataFrame) -> T.StructType:
     return T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Runs the stream over what is there now and stops. Returns what was written: the stream's columns (or prepare's) and batch.
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None, seen: list | None = None) -> DataFrame:
+    """Runs the stream over what is there now and stops. Returns what was written, in all runs: the stream's columns (or prepare's) and batch.
 
     Each batch has a folder named by its number and replaces it as a whole, so a batch that is run again after a failure doubles
-    nothing. Nothing passes through the driver. In complete mode the last batch has all that counts.
+    nothing. Nothing passes through the driver. `seen` takes the progress reports of this run.
     """
 
     def sink(df: DataFrame, batch: int) -> None:
         rows = prepare(df, batch) if prepare else df
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer.foreachBatch(sink).start().awaitTermination()
     spark = stream.sparkSession
-    out = spark.read.schema(with_batch(stream)).option("basePath", path).parquet(f"{path}/batch=*")
-    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch") if mode == "complete" else out
-
-
-def unseen(path: str, key: list[str]) -> Callable[[DataFrame, int], DataFrame]:
-    """For run_once(): of each batch the first row of each key that no other batch has written. What is known is on disk, not in state."""
-
-    def prepare(df: DataFrame, batch: int) -> DataFrame:
-        spark = df.sparkSession
-        known = spark.read.schema(with_batch(df)).option("basePath", path).parquet(f"{path}/batch=*") if batch else spark.createDataFrame([], with_batch(df))
-        return df.dropDuplicates(key).join(known.where(F.col("batch") < batch).select(*key).distinct(), key, "left_anti").select(*df.columns)
-
-    return prepare
-
-
-def last_outcomes(stream: DataFrame, key: str, order: list[str], failed: str, last: int = 20, most: float = 0.75) -> DataFrame:
-    """Exact last-N gate of each key by state: key, seen, share, closed after each batch of its rows.
-
-    The last N are those with the greatest values of order (two whole numbers, say time and id), whatever the order and the
-    chunks that rows come in. The state is at most N outcomes a key.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(k, batches, state):
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        for pdf in batches:
-            kept += list(zip(*(pdf[o].tolist() for o in order), pdf[failed].astype(bool).tolist(), strict=True))
-            kept = sorted(kept)[-last:]
-        state.update(tuple(list(c) for c in zip(*kept, strict=True)))
-        share = sum(f for *_, f in kept) / len(kept)
-        yield pd.DataFrame({key: [k[0]], "seen": [len(kept)], "share": [share], "closed": [len(kept) >= last and share > most]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, seen long, share double, closed boolean", "first array<long>, second array<long>, kept array<boolean>", "update", GroupStateTimeout.NoTimeout)
+    with state_on_disk(spark):
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = writer.foreachBatch(sink).start()
+        query.awaitTermination()
+        if seen is not None:
+            seen += [p.json for p in query.recentProgress]
+    return spark.read.schema(with_batch(stream)).option("basePath", path).parquet(f"{path}/batch=*")

@@ -11,6 +11,7 @@ from popmeasure.operators import distributions as D
 from popmeasure.operators import metrics as M
 from popmeasure.operators import pairs as P
 from popmeasure.operators import quality as K
+from popmeasure.operators import resampling as R
 from popmeasure.operators import statistics as T
 from popmeasure.operators import summaries as S
 from popmeasure.sources import files
@@ -99,14 +100,14 @@ def test_ties_share_ranks(spark):
 
 def test_bootstrap_holds_the_mean(spark):
     rows = spark.createDataFrame([("g", k, float(k)) for k in range(20)], "g string, k int, x double")
-    r = one(T.bootstrap_mean(rows, ["g"], "x", ["k"], 200))
+    r = one(R.bootstrap_mean(rows, ["g"], "x", ["k"], 200))
     assert r["low"] < r["mean"] < r["high"] and r["n"] == 20
 
 
 def test_permutations_keep_labels(spark):
-    units = spark.createDataFrame([(f"u{k}", k % 3) for k in range(9)], "unit string, class int")
-    got = T.permutations(units, "class", 5).groupBy("rep", "class").count().collect()
-    assert len(got) == 15 and all(r["count"] == 3 for r in got)
+    units = spark.createDataFrame([(f"u{k}",) for k in range(9)], "unit string")
+    got = [r["dealt"] for r in R.permutations(units, 5).collect()]
+    assert all(sorted(d[k] for d in got) == list(range(1, 10)) for k in range(5)) and len({tuple(d[k] for d in got) for k in range(5)}) == 5
 
 
 def test_least_squares_recovers_coefficients(spark):
