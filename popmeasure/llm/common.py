@@ -40,11 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

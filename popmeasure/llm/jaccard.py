@@ -18,7 +18,7 @@ the copies of a passage, or a group that a third of the rows is in, form no pair
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, ready, written
+from . import common
+from .common import documents, dropped, ready
 from .components import components
 from .repeats import _mixed
 from .shingles import lots, window_hashes
@@ -38,6 +39,15 @@ from .similar import bit_filter, held, how_common, plausible, prefix, short_sket
 TURNS, TRIES, FEW = 3, 4, 0.01
 
 
+#: Nodes whose index entries are formed at a time.
+SLICE = 512
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As common.written(). Many small tables of hashes: compressors would hold memory outside the heap for each of their files, and gain little."""
+    return common.written(df, label, "none")
+
+
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed longs."""
     h = xxhash.xxh3_128_intdigest(values.tobytes())
@@ -45,7 +55,7 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, hi, lo, size, short, sketch, prefix of each row. The last three are null where the task has sent those of an equal set lately."""
+    """doc_id, hi, lo, size, short, sketch, prefix of each row. The last three are null where the task has sent those of an equal set lately. Written."""
     sent = docs.sparkSession.sparkContext.broadcast(how_common(docs, shingle))
 
     def run(batches):
@@ -58,7 +68,7 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 for k in keys:
                     new.append(k not in known)
                     known.add(k)
-                known = known if len(known) < 200_000 else set()
+                known = known if len(known) < 20_000 else set()
                 firsts = [prefix(s, common, least).view(np.int64) if n else None for s, n in zip(sets, new, strict=True)]
                 shorts = [short_sketch(s) if n else None for s, n in zip(sets, new, strict=True)]
                 sketches = [sketch(s) if n else None for s, n in zip(sets, new, strict=True)]
@@ -66,11 +76,13 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 own = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(shorts, longs), pa.array(sketches, pa.binary()), pa.array(firsts, longs)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *own], names=["doc_id", "hi", "lo", "size", "short", "sketch", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hi long, lo long, size int, short array<long>, sketch binary, prefix array<long>")
+    out = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hi long, lo long, size int, short array<long>, sketch binary, prefix array<long>"), "sets")
+    sent.destroy()
+    return out
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """n, set (array of hashes) of the nodes (n, hi, lo, first). Filters of fixed size keep other documents from being hashed, and other sets from the shuffle."""
+    """n, set (array of hashes) of the nodes (n, hi, lo, first). Filters of fixed size keep other documents from being hashed, and other sets from the shuffle. Written."""
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((bit_filter(nodes.where("first is not null").select("first")), bit_filter(nodes.select("lo"))))
 
@@ -88,7 +100,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[k][0] for k in keep], pa.int64()), pa.array([keys[k][1] for k in keep], pa.int64()), lists], names=["hi", "lo", "set"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hi long, lo long, set array<long>")
-    return found.join(nodes.select("n", "hi", "lo"), ["hi", "lo"]).groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("set").alias("set")).select("n", "set")
+    sets = found.join(nodes.select("n", "hi", "lo"), ["hi", "lo"]).groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("set").alias("set")).select("n", "set")
+    out = written(sets, "compared-sets")
+    sent.destroy()
+    return out
 
 
 def edges(percent: int) -> np.ndarray:
@@ -108,10 +123,16 @@ def reach(size: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return (size * percent + 99) // 100, (size - at) * (100 + percent) // percent - size
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
+
+
 def block_entries(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, ...]:
     """k, row, at, own, look of the entries of a batch of n, size, prefix: an entry stands in its own block of its list and in each one that it looks into. k is a hash of the n-gram and the block."""
     sizes, lists = batch.column(1).to_numpy(), batch.column(2)
-    counts = np.diff(lists.offsets.to_numpy())
+    counts = lists.value_lengths().to_numpy()
     keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), counts)
     at = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
     low, high = reach(sizes[row], at, percent)
@@ -134,8 +155,8 @@ def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """k (a block of an index list), n, size, at, own, look of each prefix's entries: whether the block is the entry's own, and whether it looks into it. Only blocks of several sets. Written."""
 
     def blocks(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(block_entries(batch, percent)[0])], names=["k"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(block_entries(part, percent)[0])], names=["k"])
 
     listed = nodes.select("n", "size", "prefix")
     several = written(listed.mapInArrow(blocks, "k long").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k").alias("__k")), "several")
@@ -143,14 +164,15 @@ def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         bits = sent.value
-        for batch in batches:
-            k, row, at, own, look = block_entries(batch, percent)
+        for part in sliced(batches):
+            k, row, at, own, look = block_entries(part, percent)
             keep = held(bits, k)
-            parts = [k[keep], batch.column(0).to_numpy()[row[keep]], batch.column(1).to_numpy()[row[keep]], at[keep].astype(np.int32), own[keep], look[keep]]
+            parts = [k[keep], part.column(0).to_numpy()[row[keep]], part.column(1).to_numpy()[row[keep]], at[keep].astype(np.int32), own[keep], look[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["k", "n", "size", "at", "own", "look"])
 
     entries = listed.mapInArrow(run, "k long, n long, size int, at int, own boolean, look boolean")
     out = written(entries.join(several, F.col("k") == F.col("__k"), "left_semi"), "index-lists")
+    sent.destroy()
     dropped(several)
     return out
 
@@ -226,7 +248,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
     """pairs with o, how many members the sets a and b share. Only these nodes' sets are formed. Written."""
     ends = pairs.select(F.col("a").alias("__n")).union(pairs.select("b")).distinct()
     own = written(nodes.select("n", "hi", "lo", "first").join(ends, F.col("n") == F.col("__n"), "left_semi"), "compared-nodes")
-    sets = written(sets_of(docs, own, shingle), "compared-sets")
+    sets = sets_of(docs, own, shingle)
     one, two = (sets.select(F.col("n").alias(f"__{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
     met = pairs.join(one, F.col("a") == F.col("__a")).select(*pairs.columns, "set_a").join(two, F.col("b") == F.col("__b"))
     out = written(met.select(*pairs.columns, F.size(F.array_intersect("set_a", "set_b")).alias("o")), "overlaps")
@@ -260,7 +282,7 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     An empty table gives an empty result; other columns are not read. percent is below 100.
     """
     ready(docs.sparkSession)
-    prints = written(prints_of(docs, shingle, Fraction(percent, 100)), "sets")
+    prints = prints_of(docs, shingle, Fraction(percent, 100))
     merged = prints.where("size > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), *(F.first(c, True).alias(c) for c in ("short", "sketch", "prefix")))
     # Numbered as they are written: from here on a set's number stays.
     nodes = written(merged.withColumn("n", F.monotonically_increasing_id()), "set-nodes")
@@ -274,7 +296,7 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
         count = links.count()
         if roots is None or count:
             every = links if roots is None else links.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-            before, roots = roots, written(components(every), "set-roots")
+            before, roots = roots, written(components(every, compression="none"), "set-roots")
             dropped(*([before] if before is not None else []))
         dropped(links)
         return count
