@@ -189,7 +189,21 @@ def principal_axes(s, d):
     return G.projected(means, plane).withColumnRenamed("unit", "name").union(G.projected(policies, plane, "policy"))
 
 
-register("d10_principal_axes", principal_axes)
+def leading(matrix: str, name: str, steps: int = 1500) -> str:
+    """SQL: table `name` with v, the leading eigenvector of a symmetric matrix m (a list of rows, one row of table `matrix`), by power iteration, and l, its value."""
+    again = "[x / sqrt(list_dot_product(w, w)) FOR x IN w]"
+    return f"""{name}_steps AS (SELECT 0 AS i, [1.0::DOUBLE / (1 + k) FOR k IN range(len(m))] AS v FROM {matrix} UNION ALL SELECT i + 1, {again} FROM (SELECT i, [list_dot_product(r, v) FOR r IN m] AS w FROM {name}_steps, {matrix} WHERE i < {steps})),
+    {name} AS MATERIALIZED (SELECT v, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS l FROM {name}_steps, {matrix} WHERE i = {steps})"""
+
+
+#: The plane of the units' principal axes, by power iteration and deflation: items with center, x1 and x2; of each axis the largest loading is above 0.
+PLANE = f"""items AS MATERIALIZED (SELECT item, avg(mean) AS center, row_number() OVER (ORDER BY item) AS k FROM means GROUP BY item HAVING count(*) = (SELECT count(DISTINCT unit) FROM means)),
+    cells AS (SELECT x.unit, i.k, x.mean - i.center AS away FROM means x JOIN items i USING (item)),
+    cross1 AS MATERIALIZED (SELECT list(r ORDER BY k) AS m FROM (SELECT k, list(c ORDER BY j) AS r FROM (SELECT a.k, b.k AS j, sum(a.away * b.away) AS c FROM cells a JOIN cells b USING (unit) GROUP BY 1, 2) GROUP BY k)), {leading("cross1", "axis1")},
+    cross2 AS MATERIALIZED (SELECT [[m[p][q] - l * v[p] * v[q] FOR q IN range(1, len(m) + 1)] FOR p IN range(1, len(m) + 1)] AS m FROM cross1, axis1), {leading("cross2", "axis2")},
+    plane AS MATERIALIZED (SELECT item, center, a.v[k] * sign(a.v[list_position([abs(y) FOR y IN a.v], list_max([abs(y) FOR y IN a.v]))]) AS x1, b.v[k] * sign(b.v[list_position([abs(y) FOR y IN b.v], list_max([abs(y) FOR y IN b.v]))]) AS x2 FROM items, axis1 a, axis2 b),
+    placed AS MATERIALIZED (SELECT name, sum((mean - center) * x1) AS x1, sum((mean - center) * x2) AS x2, count(*) AS n_items FROM (SELECT unit AS name, item, mean FROM means UNION ALL SELECT policy, item, sum(prob * value) FROM policies GROUP BY 1, 2) JOIN plane USING (item) GROUP BY name)"""
+register("d10_principal_axes", principal_axes, f"WITH RECURSIVE {PLANE} SELECT name, x1, x2, n_items FROM placed", "means policies", "x1 x2")
 
 # Statistics
 
@@ -379,15 +393,22 @@ register(
 
 
 def plane_ranks(s, d):
-    """Each unit's rank among all others from one unit, in the plane of the principal axes and by population distance."""
-    means = X.means(s, d)
-    at = G.projected(means, G.principal_plane(means))
-    home = at.where("unit = 'N03'").select(F.col("x1").alias("h1"), F.col("x2").alias("h2"))
-    plane = at.where("unit <> 'N03'").crossJoin(F.broadcast(home)).select("unit", F.sqrt(F.pow(F.col("x1") - F.col("h1"), 2) + F.pow(F.col("x2") - F.col("h2"), 2)).alias("d_plane"))
-    far = G.symmetric(X.pairs(s, d)).where("a = 'N03'").select(F.col("b").alias("unit"), "d")
-    both = plane.join(far, "unit")
-    one = W.partitionBy(F.lit(1))
-    return both.withColumns({"rank_plane": F.rank().over(one.orderBy("d_plane")), "rank_distance": F.rank().over(one.orderBy("d"))})
+    """Of each adapter the rank of its own unit among all units, in the plane of the principal axes and by total variation, with both distances."""
+    at = principal_axes(s, d)
+    own = F.col("policy") == F.concat("unit", F.lit("_adapter"))
+    policies = at.where("name like '%_adapter'").select(F.col("name").alias("policy"), F.col("x1").alias("p1"), F.col("x2").alias("p2"))
+    # Populations squared, never rows of data.
+    far = policies.crossJoin(F.broadcast(at.where("name not like '%_adapter' and name <> 'base'").select(F.col("name").alias("unit"), "x1", "x2")))
+    plane = far.select("policy", "unit", F.round(F.sqrt(F.pow(F.col("p1") - F.col("x1"), 2) + F.pow(F.col("p2") - F.col("x2"), 2)), 9).alias("d"))
+    by_tvd = G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 9)), own)
+    return G.own_unit_rank(plane, own).select("policy", F.col("own_rank").alias("plane_rank"), F.col("own_d").alias("plane_d")).join(by_tvd.select("policy", F.col("own_rank").alias("tvd_rank"), F.col("own_d").alias("tvd_d")), "policy")
 
 
-register("d11_plane_ranks", plane_ranks)
+register(
+    "d11_plane_ranks",
+    plane_ranks,
+    f"""WITH RECURSIVE {PLANE} SELECT policy, plane_rank, plane_d, tvd_rank, tvd_d FROM (SELECT policy, max(r) FILTER (policy = unit || '_adapter') AS plane_rank, max(d) FILTER (policy = unit || '_adapter') AS plane_d FROM (SELECT *, rank() OVER (PARTITION BY policy ORDER BY d) AS r FROM (SELECT p.name AS policy, u.name AS unit, round(sqrt(pow(p.x1 - u.x1, 2) + pow(p.x2 - u.x2, 2)), 9) AS d FROM placed p JOIN placed u ON p.name LIKE '%_adapter' AND u.name NOT LIKE '%_adapter' AND u.name <> 'base')) GROUP BY 1)
+    JOIN (SELECT policy, max(r) FILTER (policy = unit || '_adapter') AS tvd_rank, max(d) FILTER (policy = unit || '_adapter') AS tvd_d FROM (SELECT *, rank() OVER (PARTITION BY policy ORDER BY d) AS r FROM (SELECT policy, unit, round(avg(tvd), 9) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)) GROUP BY 1) USING (policy) WHERE plane_d IS NOT NULL AND tvd_d IS NOT NULL""",
+    "means policies evaluated",
+    "plane_d tvd_d",
+)
