@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, ready, written
+from . import common
+from .common import dropped, ready
 from .components import components
 from .shingles import lots, window_hashes
 from .simhash import SEED, fingerprint_links
@@ -47,6 +48,15 @@ TURNS, TRIES, FEW = 3, 4, 0.01
 DISTANCE = 3
 
 
+#: Nodes whose prefixes are handled at a time.
+SLICE = 512
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As common.written(). Many small tables of hashes: compressors would hold memory outside the heap for each of their files, and gain little."""
+    return common.written(df, label, "none")
+
+
 def set_id(values: np.ndarray) -> int:
     """One signed long for equal sets."""
     return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63)
@@ -158,15 +168,15 @@ def meeting(prints: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, known = sent.value, set()
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             # One row of each set is enough; a task remembers so many that it has sent.
             new = np.ones(len(ids), bool)
             for k, i in enumerate(ids.tolist()):
                 new[k] = i not in known
                 known.add(i)
-            known = known if len(known) < 200_000 else set()
-            counts = np.diff(lists.offsets.to_numpy())
+            known = known if len(known) < 20_000 else set()
+            counts = lists.value_lengths().to_numpy()
             keys, node = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), counts)
             at = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = new[node] & held(bits, keys)
@@ -174,6 +184,7 @@ def meeting(prints: DataFrame) -> DataFrame:
 
     rows = prints.select("id", "size", "prefix").mapInArrow(run, "key long, id long, size int, at int").distinct()
     out = written(rows.join(several.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"), "left_semi"), "meeting")
+    sent.destroy()
     dropped(several)
     return out
 
@@ -328,7 +339,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         if roots is None or count:
             # What is linked already stays so: each node and its root, and the new pairs.
             links = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-            before, roots = roots, written(components(links), "similar-roots")
+            before, roots = roots, written(components(links, compression="none"), "similar-roots")
             dropped(*([before] if before is not None else []))
         dropped(pairs, new)
         return count
