@@ -178,7 +178,24 @@ def scaled(s, d):
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.sqrt(F.pow(F.col("p") - F.col("r"), 2) + F.pow(F.col("q") - F.col("t"), 2)).alias("d"))
 
 
-register("d9_classical_scaling", scaled)
+def leading(matrix: str, name: str, steps: int = 1500) -> str:
+    """SQL: table `name` with v, the leading eigenvector of a symmetric matrix m (a list of rows, one row of table `matrix`), by power iteration, and l, its value."""
+    again = "[x / sqrt(list_dot_product(w, w)) FOR x IN w]"
+    return f"""{name}_steps AS (SELECT 0 AS i, [1.0::DOUBLE / (1 + k) FOR k IN range(len(m))] AS v FROM {matrix} UNION ALL SELECT i + 1, {again} FROM (SELECT i, [list_dot_product(r, v) FOR r IN m] AS w FROM {name}_steps, {matrix} WHERE i < {steps})),
+    {name} AS MATERIALIZED (SELECT v, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS l FROM {name}_steps, {matrix} WHERE i = {steps})"""
+
+
+register(
+    "d9_classical_scaling",
+    scaled,
+    f"""WITH RECURSIVE sides AS MATERIALIZED (SELECT a, b, d FROM pairs UNION ALL SELECT b, a, d FROM pairs), names AS MATERIALIZED (SELECT unit, row_number() OVER (ORDER BY unit) AS k FROM (SELECT DISTINCT a AS unit FROM sides)),
+    squares AS (SELECT x.k AS i, y.k AS j, coalesce(d * d, 0) AS s FROM names x CROSS JOIN names y LEFT JOIN sides ON a = x.unit AND b = y.unit), centred AS (SELECT i, j, -0.5 * (s - avg(s) OVER (PARTITION BY i) - avg(s) OVER (PARTITION BY j) + avg(s) OVER ()) AS c FROM squares),
+    cross1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM centred GROUP BY i)), {leading("cross1", "axis1")},
+    cross2 AS MATERIALIZED (SELECT [[m[p][q] - l * v[p] * v[q] + CASE WHEN p = q THEN l ELSE 0 END FOR q IN range(1, len(m) + 1)] FOR p IN range(1, len(m) + 1)] AS m FROM cross1, axis1), {leading("cross2", "axis2")},
+    spots AS (SELECT unit, x.v[k] * sqrt(greatest(x.l, 0)) AS x1, y.v[k] * sqrt(greatest(y.l - x.l, 0)) AS x2 FROM names, axis1 x, axis2 y) SELECT p.unit AS a, q.unit AS b, sqrt(pow(p.x1 - q.x1, 2) + pow(p.x2 - q.x2, 2)) AS d FROM spots p JOIN spots q ON p.unit < q.unit""",
+    "pairs",
+    "d",
+)
 
 
 def principal_axes(s, d):
@@ -189,13 +206,6 @@ def principal_axes(s, d):
     return G.projected(means, plane).withColumnRenamed("unit", "name").union(G.projected(policies, plane, "policy"))
 
 
-def leading(matrix: str, name: str, steps: int = 1500) -> str:
-    """SQL: table `name` with v, the leading eigenvector of a symmetric matrix m (a list of rows, one row of table `matrix`), by power iteration, and l, its value."""
-    again = "[x / sqrt(list_dot_product(w, w)) FOR x IN w]"
-    return f"""{name}_steps AS (SELECT 0 AS i, [1.0::DOUBLE / (1 + k) FOR k IN range(len(m))] AS v FROM {matrix} UNION ALL SELECT i + 1, {again} FROM (SELECT i, [list_dot_product(r, v) FOR r IN m] AS w FROM {name}_steps, {matrix} WHERE i < {steps})),
-    {name} AS MATERIALIZED (SELECT v, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS l FROM {name}_steps, {matrix} WHERE i = {steps})"""
-
-
 #: The plane of the units' principal axes, by power iteration and deflation: items with center, x1 and x2; of each axis the largest loading is above 0.
 PLANE = f"""items AS MATERIALIZED (SELECT item, avg(mean) AS center, row_number() OVER (ORDER BY item) AS k FROM means GROUP BY item HAVING count(*) = (SELECT count(DISTINCT unit) FROM means)),
     cells AS (SELECT x.unit, i.k, x.mean - i.center AS away FROM means x JOIN items i USING (item)),
