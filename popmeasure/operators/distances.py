@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..sources.shared import dropped, written
 from .order import running_totals
 
 
@@ -116,8 +118,11 @@ def filled(pairs: DataFrame) -> DataFrame:
     return pairs.crossJoin(F.broadcast(mean)).withColumn("d", F.coalesce("d", "__m")).drop("__m")
 
 
-def classical_scaling(pairs: DataFrame, axes: int = 2) -> DataFrame:
-    """unit, x1 .. of all units from their distances. The matrix has one row for each population (a bounded number), so one task solves it."""
+def classical_scaling(pairs: DataFrame, axes: int = 2, most: int = 2000) -> DataFrame:
+    """unit, x1 .. of all units from their distances. Up to `most` units one task solves the matrix; of more, none holds it (spectral_axes()). The distances between the places are the same."""
+    names = pairs.select("a").union(pairs.select("b")).distinct()
+    if names.count() > most:
+        return spectral_axes(pairs, axes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf["a"], *pdf["b"]})
@@ -134,6 +139,54 @@ def classical_scaling(pairs: DataFrame, axes: int = 2) -> DataFrame:
     return pairs.select("a", "b", "d", F.lit(1).alias("one")).groupBy("one").applyInPandas(solve, "unit string, " + ", ".join(f"x{k + 1} double" for k in range(axes)))
 
 
+def spectral_axes(pairs: DataFrame, axes: int = 2, extra: int = 4, rounds: int = 100, tolerance: float = 1e-11) -> DataFrame:
+    """unit, x1 ..: the same by block power iteration over the table of pairs.
+
+    A few vectors more than axes are multiplied with the centred matrix of squared distances again and again: a join of pairs with
+    the vectors' table, and sums by unit. Between rounds only the vectors' products with each other (a matrix as wide as the
+    block) pass through the driver, which keep them at right angles and tell the axes. Each round's vectors are written.
+    """
+    sides = written(pairs.where("d is not null").select("a", "b", (F.col("d") * F.col("d")).cast("double").alias("s")).transform(lambda p: p.union(p.select("b", "a", "s"))), "sides")
+    names = [f"v{k}" for k in range(axes + extra)]
+    start = sides.select(F.col("a").alias("unit")).distinct().select("unit", *((C.hash_int(F.lit(n), "unit") / 2.0**32).alias(n) for n in names))
+
+    def centred(rows: DataFrame) -> DataFrame:
+        means = rows.agg(*(F.avg(n).alias(f"__{n}") for n in names))
+        return rows.crossJoin(F.broadcast(means)).select("unit", *others(rows), *((F.col(n) - F.col(f"__{n}")).alias(n) for n in names))
+
+    def others(rows: DataFrame) -> list[str]:
+        return [c for c in rows.columns if c != "unit" and c not in names]
+
+    def products(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        sums = rows.agg(*(F.sum(F.col(p) * F.col(q)).alias(f"s{i}_{j}") for i, p in enumerate(left) for j, q in enumerate(right))).first()
+        return np.array([[sums[f"s{i}_{j}"] for j in range(len(right))] for i in range(len(left))])
+
+    def turned(rows: DataFrame, columns: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
+        return rows.select("unit", *(sum((F.col(c) * float(by[i, j]) for i, c in enumerate(columns)), F.lit(0.0)).alias(o) for j, o in enumerate(out)))
+
+    now, before = written(centred(start), "vectors"), None
+    for _ in range(rounds):
+        # At right angles, without what has no length left.
+        lengths, vectors = np.linalg.eigh(products(now, names, names))
+        keep = lengths > lengths.max() * 1e-14
+        at = turned(now, names, vectors[:, keep] / np.sqrt(lengths[keep]), kept := names[: int(keep.sum())])
+        met = sides.join(at.withColumnRenamed("unit", "b"), "b").groupBy(F.col("a").alias("unit")).agg(*(F.sum(-0.5 * F.col("s") * F.col(n)).alias(n) for n in kept))
+        names = kept
+        old = [f"old_{n}" for n in names]
+        both = written(centred(met.join(at.withColumnsRenamed(dict(zip(names, old, strict=True))), "unit")), "vectors")
+        values, turn = np.linalg.eigh((h := products(both, old, names)) / 2 + h.T / 2)
+        top = np.argsort(values)[::-1][:axes]
+        found, previous = values[top], before
+        before = found
+        dropped(now)
+        now = both
+        if previous is not None and len(previous) == len(found) and np.abs(found - previous).max() <= tolerance * np.abs(values).max():
+            break
+    out = turned(now, old, turn[:, top] * np.sqrt(np.maximum(found, 0)), [f"x{k + 1}" for k in range(len(top))])
+    dropped(sides)
+    return out
+
+
 def principal_plane(means: DataFrame, axes: int = 2) -> DataFrame:
     """item, center, x1 ..: the items that every unit has, their mean over units, and their loadings on the first principal axes.
 

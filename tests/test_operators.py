@@ -223,6 +223,18 @@ def test_scaling_gives_back_distances_in_a_plane(spark):
     assert all(math.isclose(math.dist(got[a], got[b]), math.dist(at[a], at[b]), abs_tol=1e-9) for a in at for b in at)
 
 
+def test_axes_by_power_iteration(spark):
+    """Distances that no space has: some eigenvalues are below 0. The same places as by the whole matrix."""
+    import random
+
+    rng = random.Random(6)
+    units = [f"u{k:02}" for k in range(14)]
+    at = {u: [rng.gauss(0, s) for s in (3, 2, 0.6, 0.3)] for u in units}
+    pairs = spark.createDataFrame([(a, b, math.dist(at[a], at[b]) * rng.uniform(0.9, 1.1)) for a in units for b in units if a < b], "a string, b string, d double")
+    one, two = ({r["unit"]: (r["x1"], r["x2"]) for r in G.classical_scaling(pairs, most=m).collect()} for m in (2000, 3))
+    assert all(math.isclose(math.dist(one[a], one[b]), math.dist(two[a], two[b]), rel_tol=1e-4) for a in units for b in units if a < b)
+
+
 def test_answers_are_counted_once_and_null_is_not_valid(spark):
     answers = spark.createDataFrame([("p", "u", "i", "1", True, 1), ("p", "u", "i", "9", False, 2), ("p", "u", "j", None, False, 1), ("p", "v", "k", "1", None, 1)], "policy string, unit string, item string, answer string, truncated boolean, at int")
     spec = spark.createDataFrame([("i", ["1", "2"]), ("j", ["1"])], "item string, codes array<string>")
