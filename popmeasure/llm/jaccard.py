@@ -36,7 +36,7 @@ from .shingles import lots, window_hashes
 from .similar import bit_filter, held, how_common, plausible, prefix, short_sketch, sketch
 
 #: Turns in which sets are compared with leaders at most, leaders of a list in later turns, and the share of sets that a turn must link for another one to follow.
-TURNS, TRIES, FEW = 3, 4, 0.01
+TURNS, TRIES, FEW = 2, 4, 0.01
 
 
 #: Nodes whose index entries are formed at a time.

@@ -149,7 +149,7 @@ def bit_filter(values: DataFrame) -> np.ndarray:
     """BITS bits, as bytes, that the values of a single long column have set. Its size is fixed."""
     bit = values.select(F.pmod(F.col(values.columns[0]), F.lit(BITS)).alias("bit"))
     out = np.zeros(BITS // 8, np.uint8)
-    for r in bit.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).toLocalIterator():
+    for r in bit.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).collect():
         out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
