@@ -9,11 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,65 +44,28 @@ def failure_rates(stream: DataFrame, failed: Column, time: str = "ts", width: st
     return counts.select(F.col("w.start").alias("start"), "n", "failures", (F.col("failures") / F.col("n")).alias("share"), (F.col("failures") / F.col("n") > most).alias("closed"))
 
 
-class _Gate(StatefulProcessor):
-    """Of one key: its outcomes that windows still open or to come can need, a timer at each such window's end, and one for the end of its state."""
-
-    def __init__(self, key: str, width: int, keep: int, last: int, most: float):
-        self.key, self.width, self.keep, self.last, self.most = key, width, keep, last, most
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("kept", "at array<long>, id array<long>, failed array<boolean>")
-
-    def close(self) -> None:
-        pass
-
-    def _held(self) -> list[tuple]:
-        return list(zip(*self.kept.get(), strict=True)) if self.kept.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  (Spark's names)
-        new = []
-        for pdf in rows:
-            new += list(zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["failed"].astype(bool).tolist(), strict=True))
-        for end in {(at // 1000 // self.width + 1) * self.width for at, *_ in new}:
-            self.handle.registerTimer(end)
-        held = self._held() + new
-        self.kept.update(tuple(list(c) for c in zip(*held, strict=True)))
-        return iter(())
-
-    def _ends(self, held: list[tuple]) -> int:
-        """When nothing of what is held can matter any more: one beside the windows' ends, which are multiples of the width."""
-        return ((max(at for at, *_ in held) // 1000 + self.keep) // self.width + 2) * self.width + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        end, held = expiredTimerInfo.getExpiryTimeInMs(), sorted(self._held())
-        if end % self.width:
-            if held and self._ends(held) <= end:
-                self.kept.clear()
-            return
-        past = [r for r in held if (end - self.keep) * 1000 <= r[0] < end * 1000][-self.last :]
-        # What the next window can still need: the last of those before this end that are young enough, and all after it.
-        rest = [r for r in past if r[0] >= (end + self.width - self.keep) * 1000] + [r for r in held if r[0] >= end * 1000]
-        if rest:
-            self.kept.update(tuple(list(c) for c in zip(*rest, strict=True)))
-            self.handle.registerTimer(self._ends(rest))
-        else:
-            self.kept.clear()
-        share = sum(f for *_, f in past) / len(past)
-        yield pd.DataFrame({self.key: [key[0]], "start": [pd.Timestamp(end - self.width, unit="ms")], "seen": [len(past)], "share": [share], "closed": [len(past) >= self.last and share > self.most]})
-
-
 def last_outcomes(stream: DataFrame, key: str, time: str, order: str, failed: Column, width: int, keep: int, late: str, last: int = 20, most: float = 0.75) -> DataFrame:
     """key, start, seen, share, closed: for each key and time window with rows, the share of failures among its last outcomes as of the window's end.
 
     Of the outcomes of the last `keep` seconds before the end the `last` newest count (ties in time by order, a whole number);
     the gate is closed where all of them are there and more than `most` failed. For append mode: a window comes once, when the
     watermark (`late` behind the newest row) has passed its end; rows that come later than that are dropped. width and keep in seconds.
-    A key's state holds `last` outcomes and those of open windows, and ends when its newest is older than `keep`.
+
+    Three aggregates follow each other: rows wait until the watermark passes them (so what is late is told by rows, not by windows),
+    a window hands on its last outcomes, and these meet those of the windows before, in windows of `keep` that end where each does.
+    State is by key and time, with outcomes of open windows and `last` of each closed one, and ends when the watermark has passed it.
     """
-    rows = stream.select(F.col(key).cast("string").alias(key), F.col(time).alias("__time"), F.unix_micros(time).alias("at"), F.col(order).cast("long").alias("id"), failed.alias("failed")).withWatermark("__time", late)
-    gate = _Gate(key, width * 1000, keep * 1000, last, most)
-    return rows.groupBy(key).transformWithStateInPandas(gate, f"{key} string, start timestamp, seen long, share double, closed boolean", "Append", "EventTime")
+    parts, span = -(-keep // width), f"{width} seconds"
+    rows = stream.select(F.col(key).cast("string").alias(key), F.col(time).alias("__time"), F.struct(F.unix_micros(time).alias("at"), F.col(order).cast("long").alias("id"), F.coalesce(failed, F.lit(False)).alias("failed")).alias("o"))
+    newest = lambda c: F.slice(F.sort_array(c, asc=False), 1, last)
+    heard = rows.withWatermark("__time", late).groupBy(key, "__time").agg(F.collect_list("o").alias("o"))
+    windows = heard.groupBy(key, F.window("__time", span).alias("w")).agg(newest(F.flatten(F.collect_list("o"))).alias("o"))
+    windows = windows.select(key, F.window_time("w").alias("__time"), F.unix_micros("w.end").alias("end"), "o")
+    gates = windows.groupBy(key, F.window("__time", f"{parts * width} seconds", span).alias("w")).agg(F.max("end").alias("end"), F.flatten(F.collect_list("o")).alias("o"))
+    young = newest(F.filter("o", lambda x: x["at"] >= F.col("end") - keep * 1_000_000))
+    own = gates.where(F.unix_micros("w.end") == F.col("end")).select(key, F.timestamp_micros(F.col("end") - width * 1_000_000).alias("start"), young.alias("o")).where(F.size("o") > 0)
+    share = F.size(F.filter("o", lambda x: x["failed"])) / F.size("o")
+    return own.select(key, "start", F.size("o").cast("long").alias("seen"), share.alias("share"), ((F.size("o") >= last) & (share > most)).alias("closed"))
 
 
 def first_of_keys(stream: DataFrame, key: list[str]) -> DataFrame:

@@ -60,6 +60,14 @@ def test_gates_close_by_the_last_outcomes(spark):
     assert max(rows_held(seen)) > rows_held(seen)[-1] and rows_held(seen)[-1] <= 4
 
 
+def test_gates_are_aggregates_without_a_call_for_each_key(spark):
+    path = scratch(spark, "none")
+    rows = spark.createDataFrame([("u", at(0), 1, True)], EVENT)
+    rows.write.parquet(path)
+    plan = gate(jobs.arriving(spark, path, rows.schema))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
 def test_rates_come_once_and_late_rows_go(spark):
     runs = [[("u", at(0), 1, True), ("u", at(0), 2, False), ("u", at(4), 3, True)], [("u", at(0), 4, True), ("u", at(4, 20), 5, True)], [("u", at(9), 6, True)]]
     seen = []
