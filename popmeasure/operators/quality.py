@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .order import alike
+
 
 def expect(df: DataFrame, rules: dict[str, Column], stop: bool = False) -> DataFrame:
     """check, passed, observed: for each rule how many rows break it (a null counts as broken), from one aggregate over df."""
@@ -88,7 +91,13 @@ def answer_validity(answers: DataFrame, spec: DataFrame, order: list[str]) -> Da
     """policy, unit, n_questions, valid, valid_rate, truncated: of each policy's answers for a unit, one an item (the first by order).
 
     answers: policy, unit, item, answer, truncated. spec: item and its codes (an array); an answer that is null or no code isn't valid.
+    The least of the first column of order is found by itself, as a number that is updated in place; whole rows are compared, and
+    sorted for it, only where they have it.
     """
+    cell, lead = ["policy", "unit", "item"], order[0]
+    # Null comes first in an order.
+    least = answers.groupBy(*cell).agg(F.when(~F.bool_or(F.col(lead).isNull()), F.min(lead)).alias(lead))
+    answers = alike(answers, written(least, "least"), [*cell, lead])
     first = answers.groupBy("policy", "unit", "item").agg(F.min_by(F.struct("answer", "truncated"), F.struct(*order)).alias("a"))
     valid = F.coalesce(F.array_contains("codes", F.col("a.answer")), F.lit(False))
     rows = first.join(spec.select("item", "codes"), "item", "left").withColumn("ok", valid)

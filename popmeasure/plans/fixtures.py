@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import distributions as D
+from ..sources.shared import written
 
 ITEMS = {"I1": "number", "I2": "discount", "I3": "tax", "I4": "flag", "I5": "status", "I6": "quantity", "I7": "priority"}
 DIMENSIONS = {"I1": "trust", "I2": "risk", "I3": "risk", "I4": "patience", "I5": "trust", "I6": "patience", "I7": "trust"}
@@ -35,9 +36,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    name = lambda c: F.format_string("N%02d", c)
-    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    flag = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(3.0)
+    status = F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", flag.alias("I4"), status.alias("I5"))
+    # As N%02d, from functions that are quick on every line.
+    name = lambda c: F.concat(F.lit("N"), F.when(F.col(c).between(0, 9), F.lit("0")).otherwise(F.lit("")), F.col(c).cast("string"))
+    # Orders find their nation first, and lines theirs: so lines are shuffled once, to their orders, and customers only meet orders.
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    items = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         name("c_nationkey").alias("unit"),
         name("s_nationkey").alias("source"),
@@ -52,8 +59,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("I1"),
         F.round(F.col("l_discount") * 100).alias("I2"),
         F.round(F.col("l_tax") * 100).alias("I3"),
-        F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(3.0).alias("I4"),
-        F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0).alias("I5"),
+        "I4",
+        "I5",
         F.round("l_quantity").alias("I6"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("I7"),
     )
@@ -130,31 +137,41 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("unit", "item", code.alias("value"), F.when(F.col("l_linenumber") != 7, F.col("weight")).alias("weight"))
 
 
-def tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit, source, item, value and sums over their answers; clean and n_clean over weights that count. Written, for plans of several jobs: its size doesn't depend on the lines, which are read and shuffled once."""
+    return written(_sums(answers(spark, sf_dir)), "sums")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    clean = C.clean_weight(F.col("weight"))
+    return rows.groupBy("unit", "source", "item", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum("price").alias("price"), F.sum(clean).alias("clean"), F.count(clean).alias("n_clean"))
+
+
+def tallies(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
     """kind, key, item, value, n, weight: what people and policies are sums of.
 
     Answers are added up once by unit, source, item and value. Each of these sums is then three rows: of its unit's people,
     of its source's adapter and of base. Plans that take several of them share the one aggregation (Spark reuses its shuffle).
     """
-    sums = answers(spark, sf_dir).groupBy("unit", "source", "item", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum("price").alias("price"))
+    sums = _sums(answers(spark, sf_dir)) if sums is None else sums
     of = lambda kind, key, weight: F.struct(F.lit(kind).alias("kind"), key.alias("key"), weight.alias("weight"))
     kinds = F.array(of("people", F.col("unit"), F.col("weight")), of("policy", F.concat("source", F.lit("_adapter")), F.col("price")), of("policy", F.lit("base"), F.col("n").cast("double")))
     return sums.select("item", "value", "n", F.explode(kinds).alias("of")).select("of.kind", "of.key", "item", "value", "n", "of.weight")
 
 
-def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tallies(spark, sf_dir).where("kind = 'people'").withColumnRenamed("key", "unit")
+def people(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
+    rows = tallies(spark, sf_dir, sums).where("kind = 'people'").withColumnRenamed("key", "unit")
     return D.distribution(rows, ["unit"], count="n")
 
 
-def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policies(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
     """policy, item, value, prob: an adapter for each source (weighted by price), and base (unweighted)."""
-    rows = tallies(spark, sf_dir).where("kind = 'policy'").withColumnRenamed("key", "policy")
+    rows = tallies(spark, sf_dir, sums).where("kind = 'policy'").withColumnRenamed("key", "policy")
     return D.distribution(rows, ["policy"], count="n").select("policy", "item", "value", "prob")
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.joined(policies(spark, sf_dir), people(spark, sf_dir))
+def aligned(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
+    return D.joined(policies(spark, sf_dir, sums), people(spark, sf_dir, sums))
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +205,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return population_distance(item_pairs(moments(spark, sf_dir)))
 
 
-def means(spark: SparkSession, sf_dir: str) -> DataFrame:
+def means(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
     from ..operators.summaries import weighted_mean
 
+    if sums is not None:
+        return weighted_mean(sums, ["unit", "item"], weight="clean", count="n_clean")
     return weighted_mean(answers(spark, sf_dir), ["unit", "item"])
 
 
