@@ -46,7 +46,10 @@ def quantiles(rows: DataFrame, group: list[str], value: str, probs: list[float],
     (combined before), and no task ever gets a group's values, distinct or not. Rounds grow with the logarithm of the spread.
     """
     x = F.col(value).cast("double")
-    data = written(rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*group, x.alias("__x")), "values")
+    data, own = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*group, x.alias("__x")), []
+    if not hasattr(rows, "written_to"):
+        data = written(data, "values")
+        own = [data]
     facts = data.groupBy(*group).agg(F.count("*").alias("n"), F.min("__x").alias("low"), F.max("__x").alias("high"))
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("h")) for k, p in enumerate(probs)))
     facts = written(facts.withColumn("wanted", wanted), "value-facts")
@@ -72,5 +75,5 @@ def quantiles(rows: DataFrame, group: list[str], value: str, probs: list[float],
     of = lambda h, end: F.element_at("at", end(h))
     exact = F.transform("wanted", lambda w: of(w["h"], F.floor) + (of(w["h"], F.ceil) - of(w["h"], F.floor)) * (w["h"] - F.floor(w["h"])))
     out = written(met.select(*group, "n", exact.alias("q")), "quantiles")
-    dropped(data, facts, sought)
+    dropped(*own, facts, sought)
     return out

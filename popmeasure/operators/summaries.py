@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shared import written
 from .order import alike, quantiles
 from .resampling import bootstrap_mean
 
@@ -17,7 +18,8 @@ def metric_rows(rows: DataFrame, keep: list[str], metrics: list[str]) -> DataFra
 
 
 def summary(rows: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """Over values that are there: mean, exact median, sample standard deviation (null for one) and n. Groups without a value have nulls."""
+    """Over values that are there: mean, exact median, sample standard deviation (null for one) and n. Groups without a value have nulls. rows are worked out once, and written."""
+    rows = rows if hasattr(rows, "written_to") else written(rows.select(*group, value), "summary-rows")
     moments = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
     middle = quantiles(rows, group, value, [0.5]).select(*group, F.get("q", F.lit(0)).alias("median"))
     return alike(moments, middle, group, "left").select(*group, "mean", "median", "std", "n")
@@ -25,14 +27,15 @@ def summary(rows: DataFrame, group: list[str], value: str = "value") -> DataFram
 
 def summary_with_interval(rows: DataFrame, group: list[str], value: str, order: list[str], reps: int = 2000) -> DataFrame:
     """The same with low and high, the bootstrap interval of the mean. order tells a group's rows apart."""
+    rows = written(rows.select(*group, *(o for o in order if o not in group), value), "summary-rows")
     bounds = bootstrap_mean(rows, group, value, order, reps).select(*group, "low", "high")
     return alike(summary(rows, group, value), bounds, group, "left")
 
 
-def weighted_mean(rows: DataFrame, group: list[str], value: str = "value", weight: str = "weight", least: int = 1) -> DataFrame:
-    """Mean by weight over rows that have both, and their number; groups with fewer than `least` go."""
+def weighted_mean(rows: DataFrame, group: list[str], value: str = "value", weight: str = "weight", least: int = 1, count: str | None = None) -> DataFrame:
+    """Mean by weight over rows that have both, and their number; groups with fewer than `least` go. Where rows are sums over answers already, count names the column that says of how many."""
     w = F.when(F.col(value).isNotNull(), C.clean_weight(F.col(weight)))
-    out = rows.groupBy(*group).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("mean"), F.count(w).alias("n"))
+    out = rows.groupBy(*group).agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias("mean"), (F.coalesce(F.sum(F.when(w.isNotNull(), F.col(count))), F.lit(0)) if count else F.count(w)).alias("n"))
     return out.where(F.col("n") >= least)
 
 
