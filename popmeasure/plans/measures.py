@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from ..operators import quality as K
 from ..operators import summaries as S
 from ..sources import files
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 from . import fixtures as X
 from .registry import register
 
@@ -289,10 +289,13 @@ register("b8_missing_cells", lacking, f"{WANTED} EXCEPT SELECT weights, prompt,
 
 
 def banks(s, d):
-    rows = X.answers(s, d)
+    clean = {w: C.clean_weight(F.col(w)) for w in ("weight", "price", "one")}
+    rows = X.answers(s, d).withColumn("one", F.lit(1.0)).groupBy("unit", "item", "value").agg(*(F.sum(c).alias(w) for w, c in clean.items()), *(F.count(c).alias(f"n_{w}") for w, c in clean.items()))
+    # Lines are summed up once; the three banks are made of the sums.
+    rows = written(rows, "bank-sums")
     out = None
     for k, w in enumerate(["weight", "price", "one"]):
-        part = D.distribution(rows.withColumn("one", F.lit(1.0)).select("unit", "item", "value", F.col(w).alias("weight")), ["unit"]).where(F.substring("unit", 3, 1).cast("int") % 3 >= k).select("unit", "item", "value", "prob", F.lit(w).alias("bank"))
+        part = D.distribution(rows.select("unit", "item", "value", F.col(w).alias("weight"), F.col(f"n_{w}").alias("k")), ["unit"], count="k").where(F.substring("unit", 3, 1).cast("int") % 3 >= k).select("unit", "item", "value", "prob", F.lit(w).alias("bank"))
         out = part if out is None else out.unionByName(part)
     return out
 
