@@ -81,8 +81,9 @@ def euclidean_pairs(z: DataFrame, strong: float = 0.3, least: int = 4) -> DataFr
 def pair_standing(pairs: DataFrame) -> DataFrame:
     """pairs with their rank among all (1 + how many are strictly smaller) and the share that is at most as far.
 
-    Equal distances are counted first, so one that very many pairs have is one row; no task sees all of them.
+    Equal distances are counted first, so one that very many pairs have is one row; no task sees all of them. Pairs are worked out once, and written.
     """
+    pairs = written(pairs, "pairs")
     same = running_totals(pairs.groupBy("d").agg(F.count("*").alias("k")), ["d"], F.col("k"))
     place = same.select(F.col("d").alias("__d"), (F.col("before") + 1).alias("rank"), ((F.col("before") + F.col("k")) / F.col("total")).alias("share"))
     return pairs.join(place, F.col("d") == F.col("__d")).drop("__d")
@@ -120,6 +121,7 @@ def filled(pairs: DataFrame) -> DataFrame:
 
 def classical_scaling(pairs: DataFrame, axes: int = 2, most: int = 2000) -> DataFrame:
     """unit, x1 .. of all units from their distances. Up to `most` units one task solves the matrix; of more, none holds it (spectral_axes()). The distances between the places are the same."""
+    pairs = written(pairs.select("a", "b", "d"), "pairs")
     names = pairs.select("a").union(pairs.select("b")).distinct()
     if names.count() > most:
         return spectral_axes(pairs, axes)
