@@ -37,9 +37,14 @@ def poisson_cuts() -> list[float]:
 
 def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps: int = 200, seed: str = "boot") -> DataFrame:
     """As resampling.bootstrap_mean, with Poisson(1) weights: each row draws its own weight in each resample, sums combine before the shuffle."""
-    u = C.hash_int(F.lit(seed), F.col(key).cast("string"), F.col("__rep").cast("string")) / float(2**32)
-    weight = sum(((u >= c).cast("int") for c in poisson_cuts()), F.lit(0))
-    drawn = rows.where(F.col(value).isNotNull()).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__w", weight)
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("__rep").cast("string")).cast("binary"))
+    # A draw u is the first 8 of the hash's digits as a share of 2**32. Digits of one case are ordered as their numbers, so u >= c is asked of the text; most draws are below the first cuts.
+    weight = None
+    for k, c in enumerate(poisson_cuts()):
+        below = F.col("__draw") < f"{math.ceil(c * 2**32):08x}"
+        weight = F.when(below, k) if weight is None else weight.when(below, k)
+    weight = weight.otherwise(len(poisson_cuts()))
+    drawn = rows.where(F.col(value).isNotNull()).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__draw", draw).withColumn("__w", weight)
     means = drawn.groupBy(*group, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("__m"))
     return means.groupBy(*group).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
 
