@@ -378,7 +378,7 @@ register("r12_r13_agreement", lambda s, d: X.anchors(s, d).select("unit", "dimen
 register("r14_median_rank", lambda s, d: G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 12)), F.col("policy") == F.concat("unit", F.lit("_adapter"))).agg(F.percentile("own_rank", 0.5).alias("median_rank"), F.max((F.col("n") + 1) / 2).alias("chance")), "SELECT quantile_cont(r, 0.5) AS median_rank, max((n + 1) / 2) AS chance FROM (SELECT policy, unit, rank() OVER (PARTITION BY policy ORDER BY d) AS r, count(*) OVER (PARTITION BY policy) AS n FROM (SELECT policy, unit, round(avg(tvd), 12) AS d FROM evaluated WHERE policy <> 'base' GROUP BY 1, 2)) WHERE policy = unit || '_adapter'", "evaluated", "median_rank chance")
 
 # Further views of the same tables
-register("a38_value_counts", lambda s, d: X.answers(s, d).groupBy("item", "value").agg(F.count("*").alias("n"), F.min(F.struct("l_orderkey", "l_linenumber"))["l_orderkey"].alias("first_order")), "SELECT item, value, count(*) AS n, min(l_orderkey) AS first_order FROM answers GROUP BY 1, 2", "answers", "value")
+register("a38_value_counts", lambda s, d: X.answers(s, d).groupBy("item", "value").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order")), "SELECT item, value, count(*) AS n, min(l_orderkey) AS first_order FROM answers GROUP BY 1, 2", "answers", "value")
 register(
     "a43_reference_margin",
     lambda s, d: baseline(s, d).where("relationship = 'matched'").groupBy("unit").agg(F.avg("tvd").alias("tvd"), F.avg("base_tvd").alias("base_tvd"), F.avg(F.col("base_jsd") - F.col("jsd")).alias("jsd_gain"), F.avg((F.col("base_tvd") > F.col("tvd")).cast("double")).alias("improved"), F.count("*").alias("n")),
