@@ -316,6 +316,7 @@ def anchor_permutation(s, d):
 def rank_permutation(s, d):
     """The median rank of units for their own adapters, and where it stands among those of units dealt to the adapters."""
     rows = G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").select("policy", F.col("unit").alias("other"), F.round("d", 9).alias("d"))
+    rows = written(rows, "unit-distances")
     ranks = S.ranks(rows, ["policy"], "d", ["other"]).select(F.regexp_replace("policy", "_adapter$", "").alias("unit"), "other", F.col("rank_by_count").alias("rank"))
     # Only units that have an adapter can be dealt, so that each deal is one of the same units.
     units = written(ranks.select("unit").distinct(), "units")
