@@ -198,11 +198,12 @@ register(
 )
 
 
-def principal_axes(s, d):
+def principal_axes(s, d, sums=None):
     """Units and policies in the plane of the units' principal axes."""
-    means = X.means(s, d)
+    sums = X.sums(s, d) if sums is None else sums
+    means = X.means(s, d, sums)
     plane = G.principal_plane(means)
-    policies = X.policies(s, d).groupBy("policy", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"))
+    policies = X.policies(s, d, sums).groupBy("policy", "item").agg(F.sum(F.col("prob") * F.col("value")).alias("mean"))
     return G.projected(means, plane).withColumnRenamed("unit", "name").union(G.projected(policies, plane, "policy"))
 
 
@@ -405,13 +406,14 @@ register(
 
 def plane_ranks(s, d):
     """Of each adapter the rank of its own unit among all units, in the plane of the principal axes and by total variation, with both distances."""
-    at = principal_axes(s, d)
+    sums = X.sums(s, d)
+    at = principal_axes(s, d, sums)
     own = F.col("policy") == F.concat("unit", F.lit("_adapter"))
     policies = at.where("name like '%_adapter'").select(F.col("name").alias("policy"), F.col("x1").alias("p1"), F.col("x2").alias("p2"))
     # Populations squared, never rows of data.
     far = policies.crossJoin(F.broadcast(at.where("name not like '%_adapter' and name <> 'base'").select(F.col("name").alias("unit"), "x1", "x2")))
     plane = far.select("policy", "unit", F.round(F.sqrt(F.pow(F.col("p1") - F.col("x1"), 2) + F.pow(F.col("p2") - F.col("x2"), 2)), 9).alias("d"))
-    by_tvd = G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d)).where("policy <> 'base'").withColumn("d", F.round("d", 9)), own)
+    by_tvd = G.own_unit_rank(G.policy_unit_tvd(X.aligned(s, d, sums)).where("policy <> 'base'").withColumn("d", F.round("d", 9)), own)
     return G.own_unit_rank(plane, own).select("policy", F.col("own_rank").alias("plane_rank"), F.col("own_d").alias("plane_d")).join(by_tvd.select("policy", F.col("own_rank").alias("tvd_rank"), F.col("own_d").alias("tvd_d")), "policy")
 
 
