@@ -44,7 +44,9 @@ def poisson_mean(rows: DataFrame, group: list[str], value: str, key: str, reps:
         below = F.col("__draw") < f"{math.ceil(c * 2**32):08x}"
         weight = F.when(below, k) if weight is None else weight.when(below, k)
     weight = weight.otherwise(len(poisson_cuts()))
-    drawn = rows.where(F.col(value).isNotNull()).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__draw", draw).withColumn("__w", weight)
+    # A row costs `reps` digests, so a few large files are dealt to all cores first.
+    dealt = rows.where(F.col(value).isNotNull()).select(*group, key, value).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+    drawn = dealt.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__draw", draw).withColumn("__w", weight)
     means = drawn.groupBy(*group, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("__m"))
     return means.groupBy(*group).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
 
