@@ -11,16 +11,18 @@ from popmeasure.llm import bpe, common, mixing, novelty, quality, similar
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or their stratum's certified cutoffs go."""
-    return quality.passing(docs, common.labels(spark, sf_dir))
+    return quality.passing(docs, common.labels(common.small_batches(spark), sf_dir))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    common.small_batches(spark)
     return similar.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; no document goes."""
+    common.small_batches(spark)
     return novelty.redacted(docs)
 
 
@@ -31,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
-    common.ready(spark)
+    common.small_batches(common.ready(spark))
     return bpe.tokenised(docs).drop("decoded")
 
 

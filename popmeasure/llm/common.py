@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Order of a document whose id is null: before all others.
 NULL_ID = -(2**63)
+#: Rows that Spark and a Python worker hand to each other at a time, where a session runs many such steps.
+BATCH = 1_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -22,6 +24,15 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets the session hand rows to Python BATCH at a time at most (Spark's default is 10,000): texts of a whole task would lie outside the heap, and again in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

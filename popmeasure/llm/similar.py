@@ -8,8 +8,8 @@ meet under its key by an equality join. A pair is left unverified only if other
 
 1. One pass makes each text's set, its fingerprint and its prefix. Equal sets are one node from here on.
 2. Keys that two nodes have are kept; nodes without such a key are alone and cost nothing more.
-3. Pairs of nodes with linked fingerprints are verified.
-4. Under each key, nodes are compared with a centre, and the groups are formed anew; again with others while that links many.
+3. Pairs of nodes with linked fingerprints, and pairs of a node and the centre of most of its keys, are verified at once, and groups are formed.
+4. Under each key, nodes are compared with other centres, and the groups are formed anew; again while that links many.
 5. All pairs under a key that are in different groups still are compared; a key's largest group meets only those outside it.
 
 To verify pairs, first their parity sketches are compared (a bit for each cell of hashes, whether it holds an odd number of
@@ -125,7 +125,7 @@ def row_hash() -> Column:
 
 
 def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """doc_id, row (hash of the text), id (of the set), size, fp, sketches and prefix of each row of docs."""
+    """doc_id, row (hash of the text), id (of the set), size, fp, sketches and prefix of each row of docs. Written."""
     sent = docs.sparkSession.sparkContext.broadcast(how_common(docs, shingle))
 
     def run(batches):
@@ -142,7 +142,9 @@ def prints_of(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *own], names=["doc_id", "row", "id", "size", "fp", "sketch", "short", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, sketch binary, short array<long>, prefix array<long>")
+    out = written(rows.mapInArrow(run, "doc_id long, row long, id long, size int, fp long, sketch binary, short array<long>, prefix array<long>"), "prefixes")
+    sent.destroy()
+    return out
 
 
 def bit_filter(values: DataFrame) -> np.ndarray:
@@ -200,7 +202,9 @@ def may_match(least: Fraction) -> Column:
     return sizes & (left * (num + den) >= (F.col("size") + F.col("size_b")) * num)
 
 
-def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
     own = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return rows.join(own, F.col("id") == F.col("__node"), "left").select(*rows.columns, F.coalesce("__root", "id").alias("root"))
 
@@ -256,7 +260,7 @@ def open_pairs(rows: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """id, set (array of hashes) of the nodes (id, first). Bit filters of fixed size keep most other sets from the shuffle."""
+    """id, set (array of hashes) of the nodes (id, first). Bit filters of fixed size keep most other sets from the shuffle. Written."""
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((bit_filter(nodes.select("id")), bit_filter(nodes.where("first is not null").select("first"))))
 
@@ -274,7 +278,10 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), lists], names=["id", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, set array<long>")
-    return rows.join(nodes.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    sets = rows.join(nodes.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    out = written(sets, "sets")
+    sent.destroy()
+    return out
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
@@ -305,7 +312,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int,
     pairs = written(plausible(pairs, nodes, least), "plausible")
     ends = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
     own = written(nodes.select("id", "first").join(ends, F.col("id") == F.col("__id"), "left_semi"), "plausible-nodes")
-    sets = written(candidate_sets(docs, own, shingle), "sets")
+    sets = candidate_sets(docs, own, shingle)
     one, two = (sets.select(F.col("id").alias(f"id_{n}"), F.col("set").alias(f"set_{n}")) for n in "ab")
     met = pairs.join(one, F.col("a") == F.col("id_a")).select("a", "b", "set_a").join(two, F.col("b") == F.col("id_b"))
     same, num, den = F.size(F.array_intersect("set_a", "set_b")), least.numerator, least.denominator
@@ -324,7 +331,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """
     least = Fraction(str(similarity))
     ready(docs.sparkSession)
-    prints = written(prints_of(docs, shingle, least), "prefixes")
+    prints = prints_of(docs, shingle, least)
     nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "short"))), "prefix-nodes")
     shared = meeting(prints)
     some = written(nodes.join(shared.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi"), "meeting-nodes")
@@ -344,10 +351,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         dropped(pairs, new)
         return count
 
-    linked(print_pairs(some.select("id", "fp")))
-    for turn in range(TURNS):
-        if linked(star_pairs(with_roots(shared, roots), turn, least)) < FEW * nodes_met:
+    # The first pairs are verified at once: another pass over the texts and another forming of groups would cost more than the few pairs that either spares the other.
+    prints_met, stars = print_pairs(some.select("id", "fp")), star_pairs(with_roots(shared, None), 0, least)
+    new = linked(written(prints_met.union(stars).distinct(), "first-pairs"))
+    dropped(prints_met, stars)
+    for turn in range(1, TURNS):
+        if new < FEW * nodes_met:
             break
+        new = linked(star_pairs(with_roots(shared, roots), turn, least))
     linked(open_pairs(with_roots(shared, roots), some, least))
     dropped(shared, some)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")

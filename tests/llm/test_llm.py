@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -581,6 +582,27 @@ def test_similar_groups_are_those_of_exact_similarity(spark):
     assert near > 200 and got == {k: root(k) for k in range(len(texts))}
 
 
+def test_first_pairs_of_both_kinds_are_verified_at_once_and_broadcasts_are_destroyed(spark, monkeypatch):
+    log, sent = [], []
+
+    def noted(name, keep):
+        original = getattr(similar, name)
+        monkeypatch.setattr(similar, name, lambda *a: (log.append(keep(a)), original(*a))[1])
+
+    noted("star_pairs", lambda a: f"star {a[1]}")
+    noted("verified", lambda a: "verified")
+    context = type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sent.append(broadcast(self, value)), sent[-1])[1])
+    words = [[f"w{k}x{j}" for j in range(60)] for k in range(10)]
+    texts = words + [w[:-1] for w in words] + [w[:-8] for w in words]  # nearly equal, and too different for fingerprints alone
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
+    assert got == {k: k % 10 for k in range(30)}
+    assert log[:2] == ["star 0", "verified"] and log.count("verified") == sum(x.startswith("star") for x in log) + 1
+    assert sent and not any(Path(b._path).exists() for b in sent)
+
+
 def test_only_the_document_that_is_a_copy_goes(spark):
     words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     rows = [(3, words(1)), (7, words(1)), (7, words(2)), (None, words(1)), (None, words(3)), (8, None), (9, ""), (9, ""), (5, "one two"), (6, "ONE  two")]

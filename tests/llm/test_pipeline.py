@@ -1,6 +1,10 @@
 """The stages of the pipeline, one after another."""
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
+
+from popmeasure.llm import common
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +23,15 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and all(len(r["ids"]) > 0 for r in rows.limit(20).collect())
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "near_copies", "secret_scan", "tokens"])
+def test_python_gets_few_rows_at_a_time(spark, stage):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, SF).collect()
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()
+    spark.conf.set(name, before)
+    assert sum(r["n"] for r in rows) == 5000 and max(r["n"] for r in rows) <= common.BATCH
